@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatloom.llm import chat, packing, secrets, sharding, simhash, warc
+from heatloom.llm import chat, decontaminate, imatch, packing, secrets, sharding, simhash, warc
 from heatloom.llm.common import table
 
 SHARDS = 8
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_regions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(chat.probe(spark, -7, PROBE))
@@ -53,6 +57,10 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -91,6 +99,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat, op5_packing, op6_warc, op8_secrets, op9_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_imatch, op5_packing, op6_warc, op8_secrets, op9_simhash, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op6_warc": OP6_SQL}
