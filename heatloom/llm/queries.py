@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatloom.llm import chat, decontaminate, imatch, packing, secrets, sharding, simhash, warc
+from heatloom.llm import chat, decontaminate, imatch, packing, quality, secrets, sharding, simhash, toxicity, warc
 from heatloom.llm.common import table
 
 SHARDS = 8
@@ -61,6 +61,10 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -83,6 +87,11 @@ FROM k
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
@@ -99,6 +108,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_imatch, op5_packing, op6_warc, op8_secrets, op9_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_imatch, op4_quality, op5_packing, op6_warc, op7_toxicity, op8_secrets, op9_simhash, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op6_warc": OP6_SQL}
