@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -211,6 +212,15 @@ class Matcher:
         return out
 
 
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> Iterator[list[tuple[int | None, str]]]:
+    """The items in blocks of about ``BLOCK_CHARS`` characters, so that a benchmark of any size fits a task's memory."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = total // BLOCK_CHARS + 1
+    for b in range(blocks):
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()]
+
+
 def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start, end, edits: where documents hold a whole benchmark item.
 
@@ -219,16 +229,11 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, erro
     diagonal bands that share as many q-grams with the item as the lemma asks for; banded alignment
     then settles them. Items of fewer than q characters match as whole words, exactly;
     items without letters or digits match nothing. Documents are read where they lie,
-    one task per input split, and never move.
+    one task per input split, and never move; each block of the benchmark takes a pass over them.
 
-    The items go to the tasks in blocks of ``BLOCK_CHARS`` characters (one pass over the documents
-    for each block), so a benchmark of any size can be searched for in bounded memory. Null
-    texts are empty; ids may repeat or be null; other columns are ignored.
+    Null texts are empty; ids may repeat or be null; other columns are ignored; an empty table or benchmark gives no rows.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = total // BLOCK_CHARS + 1
 
     def passed(block: list[tuple[int | None, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,14 +247,20 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, erro
 
         return rows.mapInArrow(run, SCHEMA)
 
-    parts = [passed([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()]) for b in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return reduce(DataFrame.union, map(passed, item_blocks(benchmark, item_col, item_text)))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: float = ERROR_RATE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose texts hold a benchmark item, as ``contaminated_regions`` finds them; columns stay as they are."""
+    where = docs.columns.index(text_col)
+
+    def cleared(rows: DataFrame, block: list[tuple[int | None, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block, q, error_rate)
+            for batch in batches:
+                texts = [t or "" for t in batch.column(where).to_pylist()]
+                yield batch.filter(pa.array([not hits for hits in matcher.find(texts)], pa.bool_()))
 
+        return rows.mapInArrow(run, docs.schema)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows of a null id are judged together."""
-    bad = contaminated_regions(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    return reduce(cleared, item_blocks(benchmark, item_col, item_text), docs)

@@ -245,3 +245,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 4) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that of the smallest id; all columns stay.
+
+    Rows of equal id are one document, of which one row stays. Rows of a null id can't be named in a
+    decision and all stay. Texts move at most once, in the join with the ids to drop.
+    """
+    groups = written(near_duplicates(docs, id_col, text_col, shingle, budget))
+    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
+    kept = docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
+    repeated = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, kept[id_col] == repeated["__twice"], "left_anti")
+    return once.unionByName(kept.join(repeated, kept[id_col] == repeated["__twice"], "left_semi").dropDuplicates([id_col]))
