@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 
 from heatloom.llm.common import written
 
-#: Entries of a worker's caches, after which they start anew.
-CACHE_WORDS = 500_000
+#: Entries of a worker's word cache, after which it starts anew.
+CACHE_WORDS = 300_000
 #: Characters whose normal form, lower case and class are alike in Python and in the tokenizer: all but these.
 RARE = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ]")
 #: The tokenizer's words, for text that is in lower case and has no rare characters.
@@ -26,46 +26,46 @@ WORDS = re.compile(r"[a-zªµºß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|\d|[^\sa-z\dª
 class TokenBytes:
     """Little-endian unsigned 32-bit ids of whole texts, as the tokenizer file gives them.
 
-    White space always ends a word and the tokenizer encodes each word by itself, so ids are kept by
-    word; texts with rare characters or special-token marks go through the tokenizer whole.
+    The tokenizer encodes each word by itself and marks its last id, so unknown words are encoded as one text and
+    cut at those ids, and ids are kept by word. Texts with rare characters or special-token marks go through
+    the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spans: dict[str, bytes] = {}  # of what stands between white space
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes()
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, new: set[str]) -> None:
-        words = self.words
-        split = [(span, WORDS.findall(span)) for span in new]
-        unknown = list({w for _, parts in split for w in parts if w not in words})
-        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            words[w] = self._bytes(e.ids)
-        for span, parts in split:
-            self.spans[span] = b"".join([words[w] for w in parts])
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            ids = self._encode(" ".join(part))
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            if len(ends) != len(part) or ends[-1] != len(raw):
+                raise ValueError("the tokenizer doesn't mark the ends of words")
+            self.words.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 32):
             block = texts[at : at + 32]
-            split = [None if RARE.search(t) or "<|" in t else t.lower().split() for t in block]
-            every = {w for spans in split if spans for w in spans}
-            for cache in (self.spans, self.words):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-            if new := every.difference(self.spans):
-                self._learn(new)
-            known = self.spans.__getitem__
-            for text, spans in zip(block, split, strict=True):
-                if spans is None:
-                    yield self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-                else:
-                    yield b"".join(map(known, spans))
+            split = [None if RARE.search(t) or "<|" in t else WORDS.findall(t.lower()) for t in block]
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
+            known = self.words
+            new = set().union(*filter(None, split)).difference(known)
+            if new:
+                self._learn(list(new))
+            get = known.__getitem__
+            for text, words in zip(block, split, strict=True):
+                yield self._encode(text).tobytes() if words is None else b"".join(map(get, words))
 
 
 def best_fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
