@@ -10,6 +10,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heatloom.functions.dense import squared_distances
+
+#: Coordinates up to which k-means runs on the driver: jobs would cost more than the arithmetic.
+LOCAL_VALUES = 2_000_000
 #: Anchors at most: matrices of anchors by anchors are held on the driver and in every task.
 MAX_ANCHORS = 8000
 
@@ -30,6 +34,30 @@ def hash_sample(points: DataFrame, s: int, seed: int = 0, key: str | None = None
     return points.orderBy(by, "row_id").limit(s)
 
 
+def lloyd(x: np.ndarray, s: int, steps: int, seed: int) -> tuple[np.ndarray, float]:
+    """Centres and cost of k-means from a greedy spread-out seeding; empty clusters take the farthest rows."""
+    rng = np.random.default_rng(seed)
+    centers = x[rng.integers(len(x))][None]
+    nearest = ((x - centers[0]) ** 2).sum(1)
+    for _ in range(s - 1):
+        total = nearest.sum()
+        pick = x[min(np.searchsorted(np.cumsum(nearest), rng.uniform() * total), len(x) - 1)] if total > 0 else x[rng.integers(len(x))]
+        centers = np.vstack([centers, pick])
+        nearest = np.minimum(nearest, ((x - pick) ** 2).sum(1))
+    for _ in range(steps):
+        own = np.concatenate([squared_distances(x[i : i + 4096], centers).argmin(1) for i in range(0, len(x), 4096)])
+        size = np.bincount(own, minlength=s)
+        sums = np.stack([np.bincount(own, weights=x[:, j], minlength=s) for j in range(x.shape[1])], 1)
+        new = sums / np.maximum(size, 1)[:, None]
+        if (size == 0).any():
+            far = np.argsort(-((x - centers[own]) ** 2).sum(1), kind="stable")
+            new[size == 0] = x[far[: int((size == 0).sum())]]
+        if np.allclose(new, centers, rtol=0, atol=1e-9):
+            break
+        centers = new
+    return centers, float(((x - centers[own]) ** 2).sum())
+
+
 def subsample(points: DataFrame, s: int, method: str = "kmeans", nstart: int = 1, seed: int = 0) -> Anchors:
     """``s`` anchors of ``points`` (fewer if there are fewer distinct rows) with the sizes of their clusters.
 
@@ -44,6 +72,13 @@ def subsample(points: DataFrame, s: int, method: str = "kmeans", nstart: int = 1
         u = np.array([r["x"] for r in hash_sample(points, s, seed).select("x").collect()])
     elif method in ("kmeans", "minibatchkmeans"):
         rows = points.select("row_id", "x") if method == "kmeans" else hash_sample(points, 20 * s, seed).select("row_id", "x")
+        size = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+        if size["n"] * size["d"] <= LOCAL_VALUES:
+            x = np.array([r["x"] for r in sorted(rows.collect(), key=lambda r: r["row_id"])])
+            distinct = np.unique(x, axis=0)
+            steps = 100 if method == "kmeans" else 20
+            u = distinct if len(distinct) <= s else min((lloyd(x, s, steps, seed + i) for i in range(nstart)), key=lambda c: c[1])[0]
+            return Anchors(u, cluster_sizes(points, u))
         vectors = rows.select(array_to_vector("x").alias("features")).persist()
         try:
             if vectors.count() <= s:

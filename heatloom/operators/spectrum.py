@@ -21,12 +21,58 @@ NEGLIGIBLE = 1e-7
 MAX_KERNEL = 200_000_000
 
 
+#: Points by anchors up to which weights are decomposed on the driver: jobs would cost more than the arithmetic.
+LOCAL_VALUES = 10_000_000
+
+
 @dataclass(frozen=True)
 class Spectrum:
-    """Similarity eigenvalues (descending), and row_id and v for every point."""
+    """Similarity eigenvalues (descending), and row_id and v for every point; for few points also on the driver (ids ascending, v)."""
 
     values: np.ndarray
     vectors: DataFrame
+    local: tuple[np.ndarray, np.ndarray] | None = None
+
+
+@dataclass(frozen=True)
+class LocalWeights:
+    """Sparse weights on the driver: ids ascending, anchors and weights of each row."""
+
+    ids: np.ndarray
+    idx: np.ndarray
+    w: np.ndarray
+
+    @classmethod
+    def of(cls, z: DataFrame, value: str = "w") -> LocalWeights:
+        rows = sorted(z.select("row_id", "idx", value).collect(), key=lambda r: r["row_id"])
+        return cls(np.array([r["row_id"] for r in rows]), np.array([r["idx"] for r in rows]), np.array([r[value] for r in rows]))
+
+    def normalized(self, size: np.ndarray, gl: str) -> LocalWeights:
+        w = self.w
+        if gl != "rw":
+            sums = np.bincount(self.idx.ravel(), weights=w.ravel(), minlength=len(size)) + TINY
+            w = w * ((size if gl == "cluster-normalized" else 1.0) / sums)[self.idx]
+        return LocalWeights(self.ids, self.idx, w / (w.sum(1, keepdims=True) + TINY))
+
+    def projection(self, s: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        sums = np.bincount(self.idx.ravel(), weights=self.w.ravel(), minlength=s)
+        dense = np.zeros((len(self.ids), s))
+        np.put_along_axis(dense, self.idx.astype(np.int64), self.w, 1)
+        return projection(sums, dense.T @ dense, len(self.ids), k)
+
+    def spectrum(self, s: int, k: int, root: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Values and the vectors of all rows."""
+        sigma, project = self.projection(s, k)
+        return sigma if root else sigma**2, np.einsum("nr,nrk->nk", self.w, project[self.idx])
+
+
+def projection(sums: np.ndarray, squares: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values of A = Z diag(sums)^-1/2 and what turns a row of Z into its scaled left vectors; ``squares`` is Z'Z."""
+    scale = 1 / np.sqrt(np.abs(sums) + TINY)
+    found, right = top_eigen(squares * scale[:, None] * scale, len(sums) if k < 0 else min(k, len(sums)))
+    sigma = np.sqrt(np.maximum(found, 0.0))
+    keep = sigma > NEGLIGIBLE * max(float(sigma[0]), TINY)
+    return sigma[keep], scale[:, None] * right[:, keep] / sigma[keep] * np.sqrt(n)
 
 
 def gram_pairs(z: DataFrame) -> DataFrame:
@@ -35,8 +81,8 @@ def gram_pairs(z: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("p.idx").alias("i"), F.col("q.idx").alias("j")).agg(F.sum(F.col("p.w") * F.col("q.w")).alias("g"))
 
 
-def gram(z: DataFrame, s: int, scale: np.ndarray) -> np.ndarray:
-    """diag(scale) Z'Z diag(scale), on the driver: anchors by anchors, whatever the number of points."""
+def gram(z: DataFrame, s: int) -> np.ndarray:
+    """Z'Z on the driver: anchors by anchors, whatever the number of points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,7 +98,7 @@ def gram(z: DataFrame, s: int, scale: np.ndarray) -> np.ndarray:
     out = np.zeros(s * s)
     for r in z.select("idx", "w").mapInArrow(run, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).toLocalIterator():
         out[r["k"]] = r["g"]
-    return out.reshape(s, s) * scale[:, None] * scale
+    return out.reshape(s, s)
 
 
 def spectrum_from_weights(z: DataFrame, s: int, k: int = -1, root: bool = False) -> Spectrum:
@@ -61,12 +107,9 @@ def spectrum_from_weights(z: DataFrame, s: int, k: int = -1, root: bool = False)
     A'A is summed over the points and decomposed on the driver; a second pass multiplies each row by the
     right vectors. ``k`` below 0 or above the rank takes all there are.
     """
-    scale = 1 / np.sqrt(np.abs(column_sums(z, s)) + TINY)
-    squares, right = top_eigen(gram(z, s, scale), s if k < 0 else min(k, s))
-    sigma = np.sqrt(np.maximum(squares, 0.0))
-    keep = sigma > NEGLIGIBLE * max(float(sigma[0]), TINY)
-    sigma, right = sigma[keep], right[:, keep]
-    project = scale[:, None] * right / sigma * np.sqrt(z.count())
+    n = z.count()
+    local = LocalWeights.of(z) if n * s <= LOCAL_VALUES else None
+    sigma, project = local.projection(s, k) if local else projection(column_sums(z, s), gram(z, s), n, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +122,8 @@ def spectrum_from_weights(z: DataFrame, s: int, k: int = -1, root: bool = False)
                 v += w[:, c : c + 1] * project[idx[:, c]]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(v)], names=["row_id", "v"])
 
-    return Spectrum(sigma if root else sigma**2, z.select("row_id", "idx", "w").mapInArrow(run, "row_id long, v array<double>"))
+    vectors = z.select("row_id", "idx", "w").mapInArrow(run, "row_id long, v array<double>")
+    return Spectrum(sigma if root else sigma**2, vectors, (local.ids, np.einsum("nr,nrk->nk", local.w, project[local.idx])) if local else None)
 
 
 def heat_kernel(left: DataFrame, right: DataFrame, values: np.ndarray, t: float, k: int = -1) -> DataFrame:

@@ -20,7 +20,7 @@ from heatloom.operators.anchors import subsample
 from heatloom.operators.graph import graph_base, graph_eigen
 from heatloom.operators.neighbors import matrix, nearest_anchors
 from heatloom.operators.nystrom import Nystrom
-from heatloom.operators.spectrum import Spectrum, heat_kernel, spectrum_from_weights
+from heatloom.operators.spectrum import LOCAL_VALUES, LocalWeights, Spectrum, heat_kernel, spectrum_from_weights
 from heatloom.operators.weights import NORMS, cross_similarity_lae, cross_similarity_se, mean_distance, normalize, se_weights
 from heatloom.plans.tasks import run_tasks, sum_arrays
 from heatloom.sources.points import check_points
@@ -119,7 +119,16 @@ def candidates(points: DataFrame, method: str, s: int | None, r: int, k: int, a2
         near = nearest_anchors(points, anchors.u, min(r, len(anchors.u))).persist()
         mean = mean_distance(near)
         build = lambda a2: spectrum_from_weights(normalize(se_weights(near, a2 * mean), anchors, models.gl), len(anchors.u), k, models.root)
-        return Candidates(grid, build, build, [near])
+        if near.count() * len(anchors.u) > LOCAL_VALUES:
+            return Candidates(grid, build, build, [near])
+        few = LocalWeights.of(near, "d2")
+
+        def local(a2: float) -> Spectrum:
+            z = LocalWeights(few.ids, few.idx, np.exp(-few.w / (a2 * mean))).normalized(anchors.size, models.gl)
+            values, v = z.spectrum(len(anchors.u), k, models.root)
+            return Spectrum(values, None, (few.ids, v))
+
+        return Candidates(grid, local, build, [near])
     if method == "nystrom":
         u = subsample(points, s, models.subsample, nstart, seed).u
         train = points.where("is_train").persist()
@@ -156,22 +165,31 @@ def best_of(found: Candidates, fit: Callable[[Spectrum], object], objective: Cal
     return found.a2s[best], fits[best]
 
 
-def training_rows(points: DataFrame, spectrum: Spectrum, columns: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """ids, vectors and label columns of the training rows, by id."""
-    labels = points.where("is_train").select("row_id", *columns)
-    m = labels.count()
-    if not m:
+def training_labels(points: DataFrame, columns: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """ids (ascending) and label columns of the training rows."""
+    rows = sorted(points.where("is_train").select("row_id", *columns).collect(), key=lambda r: r["row_id"])
+    if not rows:
         raise ValueError("there are no training rows")
-    if m * len(spectrum.values) > MAX_TRAIN_VALUES:
-        raise ValueError(f"{m} training rows by {len(spectrum.values)} eigenpairs don't fit the driver; take fewer of either")
-    rows = sorted(spectrum.vectors.join(labels, "row_id").select("row_id", "v", *columns).collect(), key=lambda r: r["row_id"])
     if any(r[c] is None for r in rows for c in columns):
         raise ValueError("training rows must have labels")
-    return np.array([r["row_id"] for r in rows]), np.array([r["v"] for r in rows]), {c: np.array([r[c] for r in rows], float) for c in columns}
+    return np.array([r["row_id"] for r in rows]), {c: np.array([r[c] for r in rows], float) for c in columns}
+
+
+def training_vectors(points: DataFrame, spectrum: Spectrum, ids: np.ndarray) -> np.ndarray:
+    """The vectors of the training rows ``ids``, in their order."""
+    if len(ids) * len(spectrum.values) > MAX_TRAIN_VALUES:
+        raise ValueError(f"{len(ids)} training rows by {len(spectrum.values)} eigenpairs don't fit the driver; take fewer of either")
+    if spectrum.local:
+        return spectrum.local[1][np.searchsorted(spectrum.local[0], ids)]
+    rows = spectrum.vectors.join(points.where("is_train").select("row_id"), "row_id", "left_semi").collect()
+    return np.array([r["v"] for r in sorted(rows, key=lambda r: r["row_id"])])
 
 
 def moments(points: DataFrame, spectrum: Spectrum) -> gp.Moments:
-    """V'V, V'Y, Y'Y and the count of training rows, summed where they lie."""
+    """V'V, V'Y, Y'Y and the count of training rows, summed where they lie (or on the driver, where the vectors are)."""
+    if spectrum.local:
+        ids, labels = training_labels(points, ["y"])
+        return gp.Moments.of(training_vectors(points, spectrum, ids), labels["y"])
     y = F.col("y") if dict(points.dtypes)["y"].startswith("array") else F.array(F.col("y").cast("double"))
     rows = spectrum.vectors.join(points.where("is_train").select("row_id", y.alias("ys")), "row_id").select("v", "ys")
     k, q = len(spectrum.values), rows.select(F.max(F.size("ys"))).first()[0]
@@ -231,8 +249,8 @@ def fit_regression(points: DataFrame, method: str = "lae", s: int | None = None,
     def one(spec: Spectrum) -> gp.RegressionFit:
         if noise == "same":
             return gp.fit_regression(moments(points, spec), spec.values, sigma, approach)
-        _, v, labels = training_rows(points, spec, ["y"])
-        return gp.fit_regression_pointwise(v, labels["y"], spec.values, sigma, approach)
+        ids, labels = training_labels(points, ["y"])
+        return gp.fit_regression_pointwise(training_vectors(points, spec, ids), labels["y"], spec.values, sigma, approach)
 
     a2, best = best_of(found, one, lambda b: b.objective)
     spec = found.whole(a2)
@@ -248,22 +266,21 @@ def fit_logit(points: DataFrame, method: str = "lae", s: int | None = None, r: i
     found = candidates(points, method, s, r, _rank(method, s, k), a2s, models, nstart, threshold, sparse, seed)
     columns = ["y", "n_trials"] if "n_trials" in points.columns else ["y"]
 
-    def one(spec: Spectrum) -> tuple:
-        ids, v, labels = training_rows(points, spec, columns)
-        trials = labels.get("n_trials", np.ones(len(ids)))
-        if ((labels["y"] < 0) | (labels["y"] > trials)).any():
-            raise ValueError("labels must lie between 0 and the number of trials")
-        return ids, v, labels["y"], trials, *gp.best_time(v, spec.values, labels["y"], trials, sigma, approach)
+    ids, labels = training_labels(points, columns)
+    y, trials = labels["y"], labels.get("n_trials", np.ones(len(ids)))
+    if ((y < 0) | (y > trials)).any():
+        raise ValueError("labels must lie between 0 and the number of trials")
 
-    a2, (_, _, y, trials, _, _) = best_of(found, one, lambda b: b[-1])
+    def one(spec: Spectrum) -> tuple[float, float]:
+        return gp.best_time(training_vectors(points, spec, ids), spec.values, y, trials, sigma, approach)
+
+    a2, _ = best_of(found, one, lambda b: b[-1])
     spec = found.whole(a2)
-    ids, v, _ = training_rows(points, spec, columns)
-    best = gp.fit_logit(v, spec.values, y, trials, sigma, approach, sweeps, seed, average=average)
-    order = np.argsort(ids)
+    best = gp.fit_logit(training_vectors(points, spec, ids), spec.values, y, trials, sigma, approach, sweeps, seed, average=average)
 
     def predict(rows: np.ndarray, x: np.ndarray) -> list:
-        at = np.minimum(np.searchsorted(ids[order], rows), len(ids) - 1)
-        own = np.where(ids[order][at] == rows, best.own[order][at], 0.0)
+        at = np.minimum(np.searchsorted(ids, rows), len(ids) - 1)
+        own = np.where(ids[at] == rows, best.own[at], 0.0)
         pi = gp.sigmoid(x @ best.label + own)
         return [(pi > 0.5).astype(float), pi, x @ best.mean, quadratic(x, best.spread) + sigma]
 
@@ -282,20 +299,19 @@ def fit_multinomial(points: DataFrame, method: str = "lae", s: int | None = None
     spark = points.sparkSession
     found = candidates(points, method, s, r, _rank(method, s, k), a2s, models, nstart, threshold, sparse, seed)
 
-    def one(spec: Spectrum) -> tuple:
-        ids, v, labels = training_rows(points, spec, ["y"])
-        y = labels["y"].astype(int)
-        if (y < 0).any() or (y != labels["y"]).any():
-            raise ValueError("labels must be integers from 0")
-        targets = [(y == j).astype(float) for j in range(y.max() + 1)]
-        values, ones = spec.values, np.ones(len(y))
-        times = run_tasks(spark, lambda t: gp.best_time(v, values, t, ones, sigma, approach), targets)
-        return targets, times, sum(o for _, o in times)
-
-    a2, (targets, _, objective) = best_of(found, one, lambda b: b[-1])
+    ids, labels = training_labels(points, ["y"])
+    y, ones = labels["y"].astype(int), np.ones(len(ids))
+    if (y < 0).any() or (y != labels["y"]).any():
+        raise ValueError("labels must be integers from 0")
+    targets = [(y == j).astype(float) for j in range(y.max() + 1)]
+
+    def one(spec: Spectrum) -> float:
+        v, values = training_vectors(points, spec, ids), spec.values
+        return sum(o for _, o in run_tasks(spark, lambda t: gp.best_time(v, values, t, ones, sigma, approach), targets))
+
+    a2, objective = best_of(found, one, lambda o: o)
     spec = found.whole(a2)
-    _, v, _ = training_rows(points, spec, ["y"])
-    values, ones = spec.values, np.ones(len(v))
+    v, values = training_vectors(points, spec, ids), spec.values
     fits = run_tasks(spark, lambda t: gp.fit_logit(v, values, t, ones, sigma, approach, sweeps, seed, ridge_in_posterior=False, ridge_in_labels=False), targets)
     label, mean = np.stack([f.label for f in fits], 1), np.stack([f.mean for f in fits], 1)
 
