@@ -182,12 +182,13 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with every secret of its texts replaced by a mark; all columns and rows stay. Null texts stay null."""
-    spans = F.col("__spans")
-    base = base_spans(F.col(text_col))
-    kinds = {**base, "random": random_spans(F.col(text_col))}
+    name = "spans"
+    while name in docs.columns:
+        name += "_"
+    kinds = {**base_spans(F.col(text_col)), "random": random_spans(F.col(text_col))}
     every = F.concat(*[F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for c in kinds.values()])
-    out = docs.withColumn("__spans", F.array_sort(every))
-    out = out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), redact(F.col(text_col), spans)))
+    out = docs.withColumn(name, F.array_sort(every))
+    out = out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), redact(F.col(text_col), F.col(name))))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.size(spans) > 0, F.length(text_col).cast("long")).otherwise(F.col(chars_col)))
-    return out.drop("__spans")
+        out = out.withColumn(chars_col, F.when(F.size(name) > 0, F.length(text_col).cast("long")).otherwise(F.col(chars_col)))
+    return out.drop(name)
