@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions import gp
+from heatloom.functions.rbf import RbfFit, fit_rbf
 from heatloom.operators.anchors import subsample
 from heatloom.operators.graph import graph_base, graph_eigen
 from heatloom.operators.neighbors import matrix, nearest_anchors
@@ -325,6 +326,19 @@ def fit_multinomial(points: DataFrame, method: str = "lae", s: int | None = None
     return Fit({"t": [f.t for f in fits], "a2": a2, "sigma": sigma, "objective": objective}, spec, out, points, sigma, found.held)
 
 
+def fit_rbf_regression(points: DataFrame, s: int, sigma: float = 1e-5, noise: str = "same", approach: str = "posterior", subsample_method: str = "kmeans", nstart: int = 1, seed: int = 0) -> tuple[RbfFit, DataFrame]:
+    """A squared-exponential kernel seen through anchors: the fit, and row_id, is_train, y_pred of every point."""
+    d = check_points(points)
+    u = subsample(points, s, subsample_method, nstart, seed).u
+    ids, labels = training_labels(points, ["y"])
+    if len(ids) * max(d, len(u)) > MAX_TRAIN_VALUES:
+        raise ValueError(f"{len(ids)} training rows by {len(u)} anchors don't fit the driver; take fewer of either")
+    x = np.array([r["x"] for r in sorted(points.where("is_train").select("row_id", "x").collect(), key=lambda r: r["row_id"])])
+    fit = fit_rbf(x, labels["y"], u, sigma, noise, approach)
+    predicted = project(points.withColumnRenamed("x", "v"), "y_pred double", lambda _, v: [fit.predict(v)[:, 0]])
+    return fit, predicted.join(points.select("row_id", "is_train"), "row_id").select("row_id", "is_train", "y_pred")
+
+
 # --- the twelve named fits -------------------------------------------------------------------------
 
 

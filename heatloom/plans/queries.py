@@ -237,6 +237,10 @@ def q_fit_lae_regression(spark, sf_dir):
     return fits.fit_lae_regression_gp(_docs(spark, sf_dir, "x[4]"), 60, R, 20).predictions
 
 
+def q_fit_rbf_regression(spark, sf_dir):
+    return fits.fit_rbf_regression(_docs(spark, sf_dir, "x[4]"), 60)[1]
+
+
 def q_fit_se_regression(spark, sf_dir):
     return fits.fit_se_regression_gp(_docs(spark, sf_dir, "x[4]"), 60, R, 20, a2s=GRID).predictions
 

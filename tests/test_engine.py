@@ -197,3 +197,24 @@ def test_registered_functions(spark):
     assert spark.sql("SELECT simplex_project(array(3D, 0D)) AS w").first()["w"] == [1.0, 0.0]
     assert sum(spark.sql("SELECT lae_weights(array(1D), array(array(0D), array(2D))) AS w").first()["w"]) == pytest.approx(1)
     assert spark.sql("SELECT heat_kernel(array(1D), array(2D), array(1D), 5D) AS h").first()["h"] == 2.0
+
+
+def test_distributed_paths_equal_local_ones(spark, monkeypatch):
+    from heatloom.operators import anchors as A
+    from heatloom.operators import spectrum as S
+
+    df = points(spark, X, X[:, 0], np.arange(60) % 2 == 0).persist()
+    anchors = Anchors(X[:8], cluster_sizes(df, X[:8]))
+    z = normalize(lae_weights(df, anchors.u, 3), anchors, "cluster-normalized").persist()
+    near = spectrum_from_weights(z, 8, 4)
+    fit = fits.fit_regression(df, "se", s=8, r=3, k=4, a2s=(0.5, 2.0), models=fits.ModelSpec(subsample="random"))
+    monkeypatch.setattr(S, "LOCAL_VALUES", 0)
+    monkeypatch.setattr(fits, "LOCAL_VALUES", 0)
+    far = spectrum_from_weights(z, 8, 4)
+    assert near.local and far.local is None and np.allclose(near.values, far.values)
+    assert np.allclose(by_id(near.vectors, "v"), by_id(far.vectors, "v"), atol=1e-8)
+    again = fits.fit_regression(df, "se", s=8, r=3, k=4, a2s=(0.5, 2.0), models=fits.ModelSpec(subsample="random"))
+    assert np.allclose(by_id(fit.predictions, "y_pred"), by_id(again.predictions, "y_pred"), atol=1e-4)
+    monkeypatch.setattr(A, "LOCAL_VALUES", 0)
+    a = subsample(df, 6, "kmeans")
+    assert a.u.shape == (6, 3) and a.size.sum() == 60

@@ -132,3 +132,27 @@ def test_heat_kernel_shrinks_with_time():
     kernels = [v * gp.heat(values, t) @ v.T for t in (0, 1, 5)]
     assert np.allclose(kernels[0], v @ v.T)
     assert np.linalg.eigvalsh(kernels[1]).min() > -1e-9 and np.trace(kernels[2]) < np.trace(kernels[1]) < np.trace(kernels[0])
+
+
+def test_subset_of_regressors():
+    from heatloom.functions import rbf
+
+    x = np.sort(RNG.uniform(-3, 3, 60))[:, None]
+    y = np.sin(2 * x) + 0.1 * RNG.standard_normal((60, 1))
+    u = x[::5]
+    d2_xu, d2_uu = dense.squared_distances(x, u), dense.squared_distances(u, u)
+    z = RNG.uniform(0.1, 0.5, 60)
+    value, grad, weights = rbf.evidence(d2_xu, d2_uu, y, 0.3, z)
+    c, k = rbf.kernel(d2_xu, 0.3), rbf.kernel(d2_uu, 0.3) + 1e-8 * np.eye(12)
+    whole = c @ np.linalg.solve(k, c.T) + np.diag(z)
+    assert value == pytest.approx((0.5 * y.T @ np.linalg.solve(whole, y)).item() + 0.5 * np.linalg.slogdet(whole)[1], rel=1e-5)
+    assert np.allclose(c @ weights, c @ np.linalg.solve(k, c.T) @ np.linalg.solve(whole, y), atol=1e-4)
+    for i in (0, 30):
+        e = np.eye(60)[i] * 1e-5
+        up, down = (rbf.evidence(d2_xu, d2_uu, y, 0.3, z + s * e)[0] for s in (1, -1))
+        assert grad[i] == pytest.approx((up - down) / 2e-5, rel=1e-2, abs=1e-5)
+    for noise in ("same", "different"):
+        fit = rbf.fit_rbf(x, y, u, noise=noise)
+        assert np.sqrt(((fit.predict(x) - np.sin(2 * x)) ** 2).mean()) < 0.15
+    with pytest.raises(ValueError):
+        rbf.fit_rbf(x, y, u, noise="other")
