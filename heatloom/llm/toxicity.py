@@ -267,7 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = [own.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = rows.select("y", "text").mapInArrow(features, "y int, x array<double>").orderBy("y", "x").collect()
+    got = rows.select("y", "text").mapInArrow(features, "y int, x array<double>").collect()  # as many as the sample has
+    got.sort(key=lambda r: (r["y"], r["x"]))
     x = np.array([r["x"] for r in got], float).reshape(len(got), 4)
     return Model(weights, ordinary, fit_logistic(x, np.array([r["y"] for r in got]), ridge=1.0))
 
