@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,16 +130,29 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, tie (XXH64 of the text as a signed long) and body (the text in Zstandard, about half of what a shuffle would write)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            ties = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ties), pa.array([squeeze.compress(r) for r in raw], pa.binary())], names=["doc_id", "tie", "body"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, tie long, body binary")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bucket, doc_id, text and copy, dealt and sorted so that each row's next in descending id order follows it.
+    """bucket, copy, doc_id and body, dealt and sorted so that each row's next in descending id order follows it.
 
     Ids are cut into ranges of similar size. A range's first document is also put, as a copy, at the end
-    of the range before it; the first of all, at the end of the last. Texts move once.
+    of the range before it; the first of all, at the end of the last. Texts move once, compressed.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = range_bounds(rows, "doc_id", n_buckets(docs.sparkSession))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    bounds = range_bounds(ids, "doc_id", n_buckets(docs.sparkSession))
     low = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    firsts = rows.groupBy(bucket_of(F.col("doc_id"), bounds).alias("bucket")).agg(F.max(low).alias("first")).collect()  # a row per range
+    firsts = ids.groupBy(bucket_of(F.col("doc_id"), bounds).alias("bucket")).agg(F.max(low).alias("first")).collect()  # a row per range
     firsts = sorted(((r["bucket"], r["first"]) for r in firsts), reverse=True)
     goes_to = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
     here = F.struct(bucket_of(F.col("doc_id"), bounds).alias("bucket"), F.lit(0).alias("copy"))
@@ -146,16 +160,16 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     if goes_to:
         target = F.element_at(F.create_map(*[F.lit(x) for pair in goes_to.items() for x in pair]), low)
         places = F.when(low.isin(list(goes_to)), F.array(here, F.struct(target.alias("bucket"), F.lit(1).alias("copy")))).otherwise(places)
-    dealt = rows.withColumn("place", F.explode(places)).select("place.bucket", "place.copy", "doc_id", "text")
+    dealt = packed(docs, id_col, text_col).withColumn("place", F.explode(places)).select("place.bucket", "place.copy", "doc_id", "tie", "body")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "copy", F.desc_nulls_last("doc_id"), "text")
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "copy", F.desc_nulls_last("doc_id"), "tie").drop("tie")
 
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and how alike they and the next document's are.
 
     Document frequencies are counted over all documents. The next document is that of the next lower id
-    (of equal ids, the next text in code-point order; null ids come last), and after the last the first.
+    (of equal ids, the next text by XXH64; null ids come last), and after the last the first.
     A null text is empty. A text with no term in the band is hashed by all its terms, one without
     terms has the fingerprint of zeros. Repeated rows get a row each. An empty table gives no rows;
     other columns are ignored.
@@ -165,13 +179,14 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lexicon = docs.sparkSession.sparkContext.broadcast(band_lexicon(docs, text_col, low, high))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = Fingerprinter(lexicon.value)
+        mark, unpack = Fingerprinter(lexicon.value), zstandard.ZstdDecompressor()
         held: tuple | None = None
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for batch in batches:
             out = []
-            for bucket, copy, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for bucket, copy, doc, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                text = unpack.decompress(body).decode("utf-8", "surrogatepass")
                 own = mark(text)
                 if held and held[0] == bucket:
                     _, last_copy, last_doc, last_text, last_own = held

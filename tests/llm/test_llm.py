@@ -137,7 +137,8 @@ def test_chat_query_has_the_probe(spark, sf_dir, docs):
 
 
 def expected_pairs(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode())) - (1 << 64) * (h >> 63)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
     out = []
     for i, (doc, text) in enumerate(order):
         after = order[(i + 1) % len(order)][1]
