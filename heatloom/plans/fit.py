@@ -108,6 +108,7 @@ class Candidates:
     train: Callable[[float | None], Spectrum]
     whole: Callable[[float | None], Spectrum]
     held: list = field(default_factory=list)
+    at_once: int = AT_ONCE
 
 
 def candidates(points: DataFrame, method: str, s: int | None, r: int, k: int, a2s, models: ModelSpec, nstart: int, threshold: float, sparse: bool, seed: int) -> Candidates:
@@ -129,7 +130,7 @@ def candidates(points: DataFrame, method: str, s: int | None, r: int, k: int, a2
             values, v = z.spectrum(len(anchors.u), k, models.root)
             return Spectrum(values, None, (few.ids, v))
 
-        return Candidates(grid, local, build, [near])
+        return Candidates(grid, local, build, [near], 1)  # plain arithmetic: threads would only contend
     if method == "nystrom":
         u = subsample(points, s, models.subsample, nstart, seed).u
         train = points.where("is_train").persist()
@@ -157,7 +158,7 @@ def candidates(points: DataFrame, method: str, s: int | None, r: int, k: int, a2
 
 def best_of(found: Candidates, fit: Callable[[Spectrum], object], objective: Callable[[object], float]) -> tuple[float | None, object]:
     """The bandwidth of the largest objective, the first of equals; several are tried at once."""
-    with ThreadPoolExecutor(AT_ONCE) as pool:
+    with ThreadPoolExecutor(found.at_once) as pool:
         fits = list(pool.map(lambda a2: fit(found.train(a2)), found.a2s))
     scores = [objective(f) for f in fits]
     if not np.isfinite(scores).any():
