@@ -63,7 +63,11 @@ class LocalWeights:
     def spectrum(self, s: int, k: int, root: bool) -> tuple[np.ndarray, np.ndarray]:
         """Values and the vectors of all rows."""
         sigma, project = self.projection(s, k)
-        return sigma if root else sigma**2, np.einsum("nr,nrk->nk", self.w, project[self.idx])
+        return sigma if root else sigma**2, self.times(project)
+
+    def times(self, right: np.ndarray) -> np.ndarray:
+        """The weights times a dense matrix."""
+        return sum(self.w[:, c : c + 1] * right[self.idx[:, c]] for c in range(self.w.shape[1]))
 
 
 def projection(sums: np.ndarray, squares: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +127,7 @@ def spectrum_from_weights(z: DataFrame, s: int, k: int = -1, root: bool = False)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(v)], names=["row_id", "v"])
 
     vectors = z.select("row_id", "idx", "w").mapInArrow(run, "row_id long, v array<double>")
-    return Spectrum(sigma if root else sigma**2, vectors, (local.ids, np.einsum("nr,nrk->nk", local.w, project[local.idx])) if local else None)
+    return Spectrum(sigma if root else sigma**2, vectors, (local.ids, local.times(project)) if local else None)
 
 
 def heat_kernel(left: DataFrame, right: DataFrame, values: np.ndarray, t: float, k: int = -1) -> DataFrame:

@@ -9,6 +9,7 @@ import math
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -187,10 +188,10 @@ def training_vectors(points: DataFrame, spectrum: Spectrum, ids: np.ndarray) ->
     return np.array([r["v"] for r in sorted(rows, key=lambda r: r["row_id"])])
 
 
-def moments(points: DataFrame, spectrum: Spectrum) -> gp.Moments:
+def moments(points: DataFrame, spectrum: Spectrum, known: Callable[[], tuple]) -> gp.Moments:
     """V'V, V'Y, Y'Y and the count of training rows, summed where they lie (or on the driver, where the vectors are)."""
     if spectrum.local:
-        ids, labels = training_labels(points, ["y"])
+        ids, labels = known()
         return gp.Moments.of(training_vectors(points, spectrum, ids), labels["y"])
     y = F.col("y") if dict(points.dtypes)["y"].startswith("array") else F.array(F.col("y").cast("double"))
     rows = spectrum.vectors.join(points.where("is_train").select("row_id", y.alias("ys")), "row_id").select("v", "ys")
@@ -248,10 +249,12 @@ def fit_regression(points: DataFrame, method: str = "lae", s: int | None = None,
     check_points(points)
     found = candidates(points, method, s, r, _rank(method, s, k), a2s, models, nstart, threshold, sparse, seed)
 
+    known = cache(lambda: training_labels(points, ["y"]))
+
     def one(spec: Spectrum) -> gp.RegressionFit:
         if noise == "same":
-            return gp.fit_regression(moments(points, spec), spec.values, sigma, approach)
-        ids, labels = training_labels(points, ["y"])
+            return gp.fit_regression(moments(points, spec, known), spec.values, sigma, approach)
+        ids, labels = known()
         return gp.fit_regression_pointwise(training_vectors(points, spec, ids), labels["y"], spec.values, sigma, approach)
 
     a2, best = best_of(found, one, lambda b: b.objective)
