@@ -10,8 +10,11 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_VALUE, ACCESS, HEX = 12, r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: What the battery looks at: runs of encoding characters, of so many at least.
-TOKEN, TOKEN_CHARS = r"[A-Za-z0-9+/_=-]", 20
+#: What the battery looks at: runs of encoding characters, of so many at least; "=" is padding at an end only.
+TOKEN, TOKEN_CHARS = r"[A-Za-z0-9+/_-]", 20
+PADDING = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
+#: Runs into which a token is split that has signs of both base64 alphabets and so fits no encoding.
+PARTS = (r"[A-Za-z0-9+/]", r"[A-Za-z0-9_-]", r"[A-Za-z0-9]")
 #: Level of the false-discovery control.
 LEVEL = 0.05
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -110,16 +113,42 @@ def battery_p(token: Column, alphabet: Column) -> Column:
     return _bind(symbols, of)
 
 
+def _runs(text: Column, chars: str) -> Column:
+    """Tokens of ``chars``, with their padding."""
+    return matches(text, chars + "{%d,}" % TOKEN_CHARS + PADDING)
+
+
+def tokens(text: Column) -> Column:
+    """Spans of the texts to test: tokens, or the parts of those that fit no encoding as a whole."""
+
+    def parts(t: Column) -> Column:
+        moved = [F.transform(_runs(t["found"], p), lambda s: F.struct((t["start"] + s["start"]).alias("start"), (t["start"] + s["end"]).alias("end"), s["found"].alias("found"))) for p in PARTS]
+        return F.when(t["found"].rlike("[+/]") & t["found"].rlike("[_-]"), F.array_distinct(F.concat(*moved))).otherwise(F.array(t))
+
+    return F.flatten(F.transform(_runs(text, TOKEN), parts))
+
+
+def _merged(spans: Column) -> Column:
+    """Overlapping ``spans`` as one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
+        return F.when(last["end"] > s["start"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
 def random_spans(text: Column, level: float = LEVEL) -> Column:
     """Spans of tokens for which randomness is not rejected.
 
     A token (20 or more encoding characters, digits and letters among them) is tested against the
-    narrowest encoding that holds it. Within a text, tokens are rejected by the Benjamini-Hochberg rule
+    narrowest encoding that holds it; one that no encoding holds, with "+" or "/" and "-" or "_", by its runs of
+    each base64 alphabet and of letters and digits. Overlapping findings are one. Within a text, tokens are rejected by the Benjamini-Hochberg rule
     at ``level`` on p-values divided by a weight, the token's share of the mean length: longer tokens,
     on which the tests have more power, are rejected at larger p-values.
     """
-    tokens = matches(text, TOKEN + "{%d,}" % TOKEN_CHARS)
-    mixed = F.filter(tokens, lambda t: t["found"].rlike("[0-9]") & t["found"].rlike("[A-Za-z]"))
+    mixed = F.filter(tokens(text), lambda t: t["found"].rlike("[0-9]") & t["found"].rlike("[A-Za-z]"))
 
     def encoded(t: Column) -> Column:
         core = F.rtrim(t["found"], F.lit("="))
@@ -136,7 +165,7 @@ def random_spans(text: Column, level: float = LEVEL) -> Column:
         total = F.aggregate(ts, F.lit(0.0), lambda acc, t: acc + t["n"])
         scaled = F.transform(ts, lambda t: F.struct((t["p"] * total / (t["n"] * m)).alias("q"), t["start"].alias("start"), t["end"].alias("end")))
         cut = F.array_max(F.transform(F.array_sort(scaled), lambda t, i: F.when(t["q"] <= level * (i + 1) / m, level * (i + 1) / m).otherwise(F.lit(-1.0))))
-        return F.transform(F.filter(scaled, lambda t: t["q"] > cut), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+        return _merged(F.transform(F.filter(scaled, lambda t: t["q"] > cut), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))))
 
     none = F.array().cast("array<struct<start:int,end:int>>")
     return _bind(tested, lambda ts: F.when(F.size(ts) > 0, control(ts)).otherwise(none))

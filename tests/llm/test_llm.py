@@ -348,6 +348,23 @@ def test_battery_keeps_random_tokens(spark):
     assert len([i for i in found if i < 60]) >= 50 and not [i for i in found if i >= 60]
 
 
+def test_random_values_behind_names_and_in_paths(spark):
+    rng = random.Random(11)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "https://host/get?sig={}&x=1", "PRIVATE_KEY={}==", "a_b/{}", "config/settings_{}/more-things", "my_files/{}_old"]
+    made = [(i, f, "".join(rng.choice(b62 + "+/" if f.startswith(("AWS", "PRI")) else b62) for _ in range(40))) for i, f in enumerate(forms * 20)]
+    df = spark.createDataFrame([(i, f"see {f.format(k)} now") for i, f, k in made], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 3] for r in secrets.find_secrets(df).collect()}
+    left = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df).collect()}
+    found = Counter()
+    for i, f, k in made:
+        at = f"see {f.format(k)} now".index(k)
+        hit = any(a <= at and at + len(k) <= b for a, b in got[i])
+        assert hit == (k not in left[i]) and all(b <= a for (_, b), (a, _) in zip(got[i], got[i][1:], strict=False))
+        found[f] += hit
+    assert min(found[f] for f in forms) >= 16, found
+
+
 def test_redaction(spark, awkward, empty):
     text = "a password = abcdefabcdef0123456789 b 0123456789abcdef c"
     df = spark.createDataFrame([(1, text, 56), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
