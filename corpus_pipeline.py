@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatloom.llm import decontaminate, packing, secrets, simhash, toxicity
+from heatloom.llm import decontaminate, jaccard, packing, secrets, toxicity
 from heatloom.llm.common import table, written
 from heatloom.llm.queries import tokenizer_path
 
@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near duplicates (five-word Jaccard similarity 0.8) the document of the smallest id."""
+    return jaccard.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,7 +253,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows of equal id are one document, of which one row stays. Rows of a null id can't be named in a
     decision and all stay. Texts move at most once, in the join with the ids to drop.
     """
-    groups = written(near_duplicates(docs, id_col, text_col, shingle, budget))
+    return drop_repeats(docs, written(near_duplicates(docs, id_col, text_col, shingle, budget)), id_col)
+
+
+def drop_repeats(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without those whose id isn't their ``groups``' component_id (doc_id, component_id), and one row of each id."""
     drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
     kept = docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
     repeated = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")

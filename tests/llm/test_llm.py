@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from heatloom.llm import chat, decontaminate, imatch, packing, quality, secrets, sharding, simhash, toxicity, warc
+from heatloom.llm import chat, decontaminate, imatch, jaccard, packing, quality, secrets, sharding, simhash, toxicity, warc
 from heatloom.llm.common import table
 from heatloom.llm.queries import PROBE, QUERIES, tokenizer_path
 
@@ -459,6 +459,53 @@ def test_near_duplicates_of_awkward_tables(awkward, empty):
     assert simhash.drop_near_duplicates(twice).count() == 1
 
 
+def five_word_sets(rows):
+    out = {}
+    for d, t in rows:
+        words = t.lower().split()
+        out[d] = frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    return out
+
+
+def test_pipeline_drops_all_pairs_of_jaccard_four_fifths(spark, docs, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    made = []
+    for g in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((12, 60, 150, 400)))]
+        for _ in range(rng.randint(2, 5)):
+            copy = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            made.append((200_000 + len(made), " ".join(copy)))
+    extra = made + [(300_000 + i, t) for i, t in enumerate(["", " \t\n", "one", "one two three", "ONE two  three"])] + [(300_010, None)]
+    df = docs.select("doc_id", "text").where("doc_id < 100").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    sets = five_word_sets(texts(df))
+    own = {d: d for d in sets}
+
+    def root(d):
+        while own[d] != d:
+            d = own[d]
+        return d
+
+    ids, pairs = sorted(sets), 0
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                own[y], pairs = x, pairs + (sets[a] != sets[b])
+    assert pairs > 50
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.components(df).collect()} == {d: root(d) for d in ids}
+    assert {r["doc_id"] for r in pipeline.drop_near_duplicates(spark, df, sf_dir).collect()} == {root(d) for d in ids}
+
+
+def test_jaccard_of_awkward_tables(awkward, empty):
+    kept = jaccard.drop_near_duplicates(awkward)
+    assert kept.columns == awkward.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "6", "7", "None"]
+    assert jaccard.drop_near_duplicates(empty).count() == 0
+
+
 # --- sharding
 
 
