@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Added to sums before dividing by them, so that empty rows and columns stay finite.
+#: Fixed value: added to sums before dividing by them, so that empty rows and columns stay finite.
 TINY = 1e-9
 
 

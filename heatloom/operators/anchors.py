@@ -1,19 +1,23 @@
-"""Anchor points: k-means centres, random rows, or k-means on a small sample."""
+"""Anchor points: k-means centers, random rows, or mini-batch k-means."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heatloom.functions.arrow import matrix, sum_arrays
 from heatloom.functions.dense import squared_distances
+from heatloom.operators.neighbors import cluster_sizes
 
 #: Coordinates up to which k-means runs on the driver: jobs would cost more than the arithmetic.
 LOCAL_VALUES = 2_000_000
+#: Steps of k-means at most; batches of the mini-batch form, and their rows per anchor.
+KMEANS_STEPS, BATCHES, BATCHED = 100, 30, 10
 #: Anchors at most: matrices of anchors by anchors are held on the driver and in every task.
 MAX_ANCHORS = 8000
 
@@ -34,8 +38,8 @@ def hash_sample(points: DataFrame, s: int, seed: int = 0, key: str | None = None
     return points.orderBy(by, "row_id").limit(s)
 
 
-def lloyd(x: np.ndarray, s: int, steps: int, seed: int) -> tuple[np.ndarray, float]:
-    """Centres and cost of k-means from a greedy spread-out seeding; empty clusters take the farthest rows."""
+def spread_out(x: np.ndarray, s: int, seed: int) -> np.ndarray:
+    """``s`` rows of ``x``, each drawn by its squared distance to those before."""
     rng = np.random.default_rng(seed)
     centers = x[rng.integers(len(x))][None]
     nearest = ((x - centers[0]) ** 2).sum(1)
@@ -44,50 +48,158 @@ def lloyd(x: np.ndarray, s: int, steps: int, seed: int) -> tuple[np.ndarray, flo
         pick = x[min(np.searchsorted(np.cumsum(nearest), rng.uniform() * total), len(x) - 1)] if total > 0 else x[rng.integers(len(x))]
         centers = np.vstack([centers, pick])
         nearest = np.minimum(nearest, ((x - pick) ** 2).sum(1))
+    return centers
+
+
+def assigned(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.concatenate([squared_distances(x[i : i + 4096], centers).argmin(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
+
+
+def cluster_sums(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Of each center's rows the sums of coordinates and the count, and last the cost; flat, so that parts add up."""
+    own, s = assigned(x, centers), len(centers)
+    sums = np.stack([np.bincount(own, weights=x[:, j], minlength=s) for j in range(x.shape[1])], 1)
+    return np.r_[sums.ravel(), np.bincount(own, minlength=s), ((x - centers[own]) ** 2).sum()]
+
+
+@dataclass
+class PointRows:
+    """All points: on the driver, in order of ids, where they are few, else where they lie. Both give the same sums."""
+
+    points: DataFrame
+    n: int
+    d: int
+    local: tuple[np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def of(cls, points: DataFrame) -> PointRows:
+        rows = points.select("row_id", "x")
+        size = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+        out = cls(rows, size["n"], size["d"] or 0)
+        if out.n * out.d <= LOCAL_VALUES:
+            out.local = _matrix_of(rows, out.d)
+        return out
+
+    def sums(self, centers: np.ndarray) -> np.ndarray:
+        if self.local:
+            return cluster_sums(self.local[1], centers)
+        d = self.d
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(centers.size + len(centers) + 1)
+            for batch in batches:
+                total += cluster_sums(matrix(batch.column(1), d), centers)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["a"])
+
+        return sum_arrays(self.points.mapInArrow(run, "a array<double>"))
+
+    def farthest(self, centers: np.ndarray, count: int) -> np.ndarray:
+        """The ``count`` rows that are farthest from their centers, the first by id of equals."""
+        if self.local:
+            x = self.local[1]
+            return x[np.argsort(-((x - centers[assigned(x, centers)]) ** 2).sum(1), kind="stable")[:count]]
+        d = self.d
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = matrix(batch.column(1), d)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(((x - centers[assigned(x, centers)]) ** 2).sum(1))], names=["row_id", "x", "d2"])
+
+        rows = self.points.mapInArrow(run, "row_id long, x array<double>, d2 double").orderBy(F.desc("d2"), "row_id").limit(count)
+        return np.array([r["x"] for r in rows.collect()])
+
+    def part(self, step: int, parts: int, seed: int) -> np.ndarray:
+        """About one in ``parts`` rows, in order of ids, other ones in each step; by a hash of their ids."""
+        if self.local:
+            return self.local[1][_mixed(self.local[0], seed, step) % np.uint64(parts) == 0]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_mixed(batch.column(0).to_numpy(), seed, step) % np.uint64(parts) == 0))
+
+        return _matrix_of(self.points.mapInArrow(run, "row_id long, x array<double>"), self.d)[1]
+
+    def distinct(self, most: int) -> np.ndarray | None:
+        """The distinct rows, if there are ``most`` at most."""
+        if self.local:
+            found = np.unique(self.local[1], axis=0)
+        else:
+            found = np.array(sorted(r["x"] for r in self.points.select("x").distinct().limit(most + 1).collect()))
+        return found if len(found) <= most else None
+
+    def seeds(self, s: int, seed: int) -> np.ndarray:
+        """Rows that a seeding is drawn from: all, or as many by a hash of their ids as the driver holds, in order of ids."""
+        if self.local:
+            return self.local[1]
+        return _matrix_of(hash_sample(self.points, max(20 * s, LOCAL_VALUES // self.d), seed), self.d)[1]
+
+
+def _matrix_of(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+    got = rows.select("row_id", "x").toArrow().combine_chunks()
+    if not got.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, d))
+    ids = got.column(0).chunk(0).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], matrix(got.column(1).chunk(0), d)[order]
+
+
+def _mixed(ids: np.ndarray, seed: int, step: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + step) % (1 << 64))
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+        return x ^ (x >> np.uint64(31))
+
+
+def lloyd(rows: PointRows, s: int, steps: int, seed: int) -> tuple[np.ndarray, float]:
+    """Centers and cost of k-means over all rows from a spread-out seeding; empty clusters take the farthest rows."""
+    centers = spread_out(rows.seeds(s, seed), s, seed)
     for _ in range(steps):
-        own = np.concatenate([squared_distances(x[i : i + 4096], centers).argmin(1) for i in range(0, len(x), 4096)])
-        size = np.bincount(own, minlength=s)
-        sums = np.stack([np.bincount(own, weights=x[:, j], minlength=s) for j in range(x.shape[1])], 1)
+        total = rows.sums(centers)
+        sums, size = total[: centers.size].reshape(centers.shape), total[centers.size : -1]
         new = sums / np.maximum(size, 1)[:, None]
-        if (size == 0).any():
-            far = np.argsort(-((x - centers[own]) ** 2).sum(1), kind="stable")
-            new[size == 0] = x[far[: int((size == 0).sum())]]
+        empty = np.flatnonzero(size == 0)
+        if len(empty):
+            far = rows.farthest(centers, len(empty))
+            new[empty[: len(far)]] = far
         if np.allclose(new, centers, rtol=0, atol=1e-9):
             break
         centers = new
-    return centers, float(((x - centers[own]) ** 2).sum())
+    return centers, float(rows.sums(centers)[-1])
+
+
+def mini_batches(rows: PointRows, s: int, steps: int, seed: int) -> np.ndarray:
+    """Centers that move towards the means of fresh batches of about ``BATCHED`` rows per center, by their share of all rows seen."""
+    parts = max(1, rows.n // (BATCHED * s))
+    centers, seen = spread_out(rows.seeds(s, seed), s, seed), np.zeros(s)
+    for step in range(steps):
+        x = rows.part(step, parts, seed)
+        if len(x):
+            total = cluster_sums(x, centers)
+            sums, size = total[: centers.size].reshape(centers.shape), total[centers.size : -1]
+            seen += size
+            centers = centers + np.where(size[:, None] > 0, sums - size[:, None] * centers, 0.0) / np.maximum(seen, 1)[:, None]
+    return centers
 
 
 def subsample(points: DataFrame, s: int, method: str = "kmeans", nstart: int = 1, seed: int = 0) -> Anchors:
     """``s`` anchors of ``points`` (fewer if there are fewer distinct rows) with the sizes of their clusters.
 
-    "kmeans" runs Lloyd's algorithm from a parallel seeding and keeps the best of ``nstart`` runs; "random"
-    takes rows; "minibatchkmeans" clusters a hash sample of 20 rows per anchor.
+    "kmeans" runs Lloyd's algorithm over all rows and keeps the best of ``nstart`` runs; "random" takes rows;
+    "minibatchkmeans" moves centers by successive batches that are drawn anew from all rows. Small tables are
+    read once and iterated on the driver by the same steps.
     """
-    from heatloom.operators.neighbors import cluster_sizes
-
     if not 1 <= s <= MAX_ANCHORS:
         raise ValueError(f"the number of anchors must be between 1 and {MAX_ANCHORS}")
     if method == "random":
         u = np.array([r["x"] for r in hash_sample(points, s, seed).select("x").collect()])
     elif method in ("kmeans", "minibatchkmeans"):
-        rows = points.select("row_id", "x") if method == "kmeans" else hash_sample(points, 20 * s, seed).select("row_id", "x")
-        size = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
-        if size["n"] * size["d"] <= LOCAL_VALUES:
-            x = np.array([r["x"] for r in sorted(rows.collect(), key=lambda r: r["row_id"])])
-            distinct = np.unique(x, axis=0)
-            steps = 100 if method == "kmeans" else 20
-            u = distinct if len(distinct) <= s else min((lloyd(x, s, steps, seed + i) for i in range(nstart)), key=lambda c: c[1])[0]
-            return Anchors(u, cluster_sizes(points, u))
-        vectors = rows.select(array_to_vector("x").alias("features")).persist()
-        try:
-            if vectors.count() <= s:
-                u = np.array(sorted({tuple(r[0].toArray()) for r in vectors.collect()}))
+        rows = PointRows.of(points)
+        if (u := rows.distinct(s)) is None:
+            if method == "kmeans":
+                u = min((lloyd(rows, s, KMEANS_STEPS, seed + i) for i in range(nstart)), key=lambda c: c[1])[0]
             else:
-                fits = [KMeans(k=s, maxIter=100 if method == "kmeans" else 20, seed=seed + i).fit(vectors) for i in range(nstart)]
-                u = np.array(min(fits, key=lambda m: m.summary.trainingCost).clusterCenters())
-        finally:
-            vectors.unpersist()
+                u = mini_batches(rows, s, BATCHES, seed)
     else:
         raise ValueError(f"unknown subsample method {method!r}")
     return Anchors(u, cluster_sizes(points, u))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions.dense import TINY, squared_distances, top_eigen
-from heatloom.operators.neighbors import lists, nearest_points
+from heatloom.functions.arrow import lists, matrix
+from heatloom.operators.neighbors import nearest_points, point_matrix
 from heatloom.operators.nystrom import graph_spectrum
 from heatloom.operators.spectrum import Spectrum
 
-#: Points up to which the graph is decomposed whole on the driver, and up to which subspace iteration keeps its block there.
+#: Points up to which all pairs are taken, and points of a full graph at most: its blocks of vectors are held on the driver.
 WHOLE, BLOCK = 3000, 300_000
+#: Edges up to which products are computed on the driver (200 MB): jobs would cost more than the arithmetic.
+LOCAL_EDGES = 10_000_000
 
 
 def neighbor_count(n: int, threshold: float) -> int:
@@ -46,82 +50,189 @@ def walk(pairs: DataFrame, scale: float) -> DataFrame:
     return both.select("i", "j", (F.col("w") / F.sqrt("di") / F.sqrt("dj")).alias("w"), F.sqrt("di").alias("root"))
 
 
-def subspace(w: DataFrame, ids: np.ndarray, k: int, steps: int = 200, tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` largest eigenpairs of the sparse symmetric matrix (i, j, w) by block iteration with Rayleigh-Ritz steps."""
-    spark = w.sparkSession
-    n, width = len(ids), min(len(ids), k + 10)
-    place = spark.createDataFrame([(int(i), p) for p, i in enumerate(ids)], "id long, p int")
-    packed = w.join(place.select(F.col("id").alias("i"), F.col("p").alias("ip")), "i").join(place.select(F.col("id").alias("j"), F.col("p").alias("jp")), "j")
-    rows = packed.groupBy("ip").agg(F.collect_list("jp").alias("idx"), F.collect_list("w").alias("w")).persist()
+@dataclass(frozen=True)
+class SparseRows:
+    """A symmetric sparse matrix by rows: on the driver (starts, columns, values) or as a table (ip, idx, w)."""
 
-    def times(block: np.ndarray) -> np.ndarray:
-        sent = spark.sparkContext.broadcast(block)
+    n: int
+    local: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    table: DataFrame | None = None
+
+    def times(self, block: np.ndarray) -> np.ndarray:
+        """The product with ``block``, which has a row for each point."""
+        if self.local:
+            return _product(*self.local, block)
+        sent = self.table.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                got = [np.asarray(v) @ sent.value[np.asarray(i)] for i, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                if got:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.array(got))], names=["ip", "v"])
+                if batch.num_rows:
+                    idx, w = batch.column(1), batch.column(2)
+                    starts = idx.offsets.to_numpy() - idx.offsets[0].as_py()
+                    got = _product(starts, idx.flatten().to_numpy(), w.flatten().to_numpy(), sent.value)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), lists(got)], names=["ip", "v"])
 
-        out = np.zeros_like(block)
-        for r in rows.mapInArrow(run, "ip int, v array<double>").toLocalIterator():
-            out[r["ip"]] = r["v"]
+        got = self.table.mapInArrow(run, "ip int, v array<double>").toArrow().combine_chunks()
         sent.unpersist()
+        out = np.zeros_like(block)
+        if got.num_rows:
+            out[got.column(0).to_numpy()] = matrix(got.column(1).chunk(0), block.shape[1])
         return out
 
-    q = np.linalg.qr(np.random.default_rng(0).standard_normal((n, width)))[0]
-    before = np.full(k, np.inf)
+
+def _product(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, block: np.ndarray) -> np.ndarray:
+    out = np.empty((len(starts) - 1, block.shape[1]))
+    for at in range(0, len(out), 1024):
+        cut = starts[at : at + 1025]
+        part = slice(cut[0], cut[-1])
+        out[at : at + 1024] = np.add.reduceat(values[part, None] * block[columns[part]], cut[:-1] - cut[0], axis=0)
+    return out
+
+
+def leading_pairs(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, start: np.ndarray | None = None, degree: int = 30, rounds: int = 60, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenpairs of a symmetric operator with eigenvalues in [-1, 1], and the block that they came from.
+
+    Chebyshev polynomials of the operator damp the eigenvalues below the block's least, so that a round of ``degree`` products
+    does what hundreds of plain steps do; a block finds repeated eigenvalues too. Residuals of all pairs
+    fall below ``tol``, or an error is raised.
+    """
+    width = min(n, k + max(10, k // 2))
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((n, width)) if start is None or start.shape != (n, width) else start)[0]
+    for _ in range(rounds):
+        y = times(q)
+        values, inner = top_eigen(q.T @ y, width)
+        q, y = q @ inner, y @ inner
+        rest = float(np.linalg.norm(y[:, :k] - q[:, :k] * values[:k], axis=0).max())
+        if rest < tol or width == n:
+            return values[:k], q
+        cut = min(values[-1], values[k - 1] - 5e-3)  # lower than the wanted ones, even where all of the block's are equal
+        middle, half = (cut - 1) / 2, max((cut + 1) / 2, 1e-3)
+        before, now = q, (y - middle * q) / half
+        for _ in range(degree - 1):
+            before, now = now, 2 * (times(now) - middle * now) / half - before
+        q = np.linalg.qr(now / np.linalg.norm(now, axis=0))[0]
+    raise FloatingPointError(f"eigenpairs of the full graph left a residual of {rest:.1e} after {rounds} rounds")
+
+
+def subspace(w: DataFrame, ids: np.ndarray, k: int, **options) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenpairs of the sparse symmetric matrix (i, j, w) with eigenvalues in [-1, 1]; rows of vectors follow ``ids``."""
+    rows = by_rows(w, ids, ["w"]).persist()
     try:
-        for _ in range(steps):
-            y = times(q)
-            values, inner = top_eigen(q.T @ y, width)
-            if np.abs(values[:k] - before).max() < tol:
-                break
-            before = values[:k]
-            q = np.linalg.qr(y + q)[0]  # shifted by one: the walk's eigenvalues are at least -1
+        values, block = leading_pairs(SparseRows(len(ids), table=rows).times, len(ids), k, **options)
     finally:
         rows.unpersist()
-    return values[:k], (q @ inner)[:, :k]
-
-
-def graph_eigen(points: DataFrame, pairs: DataFrame | None, mean: float, a2: float, k: int) -> Spectrum:
-    """The walk's spectrum for one bandwidth; ``pairs`` None takes all pairs of points, on the driver."""
-    spark = points.sparkSession
-    if pairs is None:
-        rows = sorted((r["row_id"], r["x"]) for r in points.select("row_id", "x").collect())
-        ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        values, vectors, _ = graph_spectrum(np.exp(-squared_distances(x, x) / (a2 * mean)), min(k, len(x)))
+    return values, block[:, :k]
+
+
+def by_rows(entries: DataFrame, ids: np.ndarray, names: list[str]) -> DataFrame:
+    """ip, idx and ``names`` (arrays) from (i, j, ...): the entries of each row, by the places of ``ids`` (ascending)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [pa.array(np.searchsorted(ids, batch.column(c).to_numpy()).astype(np.int32)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*places, *batch.columns[2:]], names=["ip", "jp", *names])
+
+    placed = entries.select("i", "j", *names).mapInArrow(run, "ip int, jp int, " + ", ".join(f"{c} double" for c in names))
+    packed = placed.groupBy("ip").agg(F.array_sort(F.collect_list(F.struct("jp", *names))).alias("e"))
+    return packed.select("ip", F.col("e.jp").alias("idx"), *[F.col(f"e.{c}").alias(c) for c in names])
+
+
+@dataclass
+class Graph:
+    """What all bandwidths share: ids, the mean squared distance, and d2 and share of each symmetric edge; or all pairs, whole."""
+
+    ids: np.ndarray
+    mean: float
+    rows: DataFrame | None = None
+    local: tuple[np.ndarray, ...] | None = None  # starts, columns, d2, share
+    whole: np.ndarray | None = None  # squared distances of all pairs
+    start: np.ndarray | None = None  # the block of the bandwidth before
+
+    def scaled(self, scale: float) -> tuple[SparseRows, np.ndarray]:
+        """The normalised walk for one bandwidth, and the root of each row's corrected degree.
+
+        Similarities exp(-d2 / scale), averaged with their transpose, are divided by both ends' degrees, and by the roots of
+        both ends' new degrees; ``walk`` gives the same as a table.
+        """
+        n, one = len(self.ids), np.ones((len(self.ids), 1))
+        if self.local:
+            starts, columns, d2, share = self.local
+            owner = np.repeat(np.arange(n), np.diff(starts))
+            w = share * np.exp(-d2 / scale)
+            for power in (1.0, 0.5):
+                degree = SparseRows(n, (starts, columns, w)).times(one)[:, 0] + TINY
+                w = w / degree[owner] ** power / degree[columns] ** power
+            return SparseRows(n, (starts, columns, w)), np.sqrt(degree)
+        table = self.rows.select("ip", "idx", F.zip_with("d2", "share", lambda d, c: c * F.exp(-d / F.lit(float(scale)))).alias("w"))
+        for power in (1.0, 0.5):
+            degree = SparseRows(n, table=table).times(one)[:, 0] + TINY
+            table = divided(table, degree**power)
+        return SparseRows(n, table=table), np.sqrt(degree)
+
+
+def divided(table: DataFrame, by: np.ndarray) -> DataFrame:
+    """The entries of (ip, idx, w) divided by ``by`` of their row and of their column."""
+    sent = table.sparkSession.sparkContext.broadcast(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                idx = batch.column(1)
+                owner = np.repeat(batch.column(0).to_numpy(), np.diff(idx.offsets.to_numpy()))
+                w = batch.column(2).flatten().to_numpy() / sent.value[owner] / sent.value[idx.flatten().to_numpy()]
+                starts = pa.array(idx.offsets.to_numpy() - idx.offsets[0].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0), idx, pa.ListArray.from_arrays(starts, pa.array(w))], names=["ip", "idx", "w"])
+
+    return table.mapInArrow(run, "ip int, idx array<int>, w array<double>")
+
+
+def graph_eigen(points: DataFrame, graph: Graph, a2: float, k: int) -> Spectrum:
+    """The walk's spectrum for one bandwidth."""
+    n = len(graph.ids)
+    if graph.whole is not None:
+        values, vectors, _ = graph_spectrum(np.exp(-graph.whole / (a2 * graph.mean)), min(k, n))
     else:
-        w = walk(pairs, a2 * mean).persist()
+        walked, root = graph.scaled(a2 * graph.mean)
+        if walked.table is not None:
+            walked = SparseRows(n, table=walked.table.persist())
         try:
-            roots = {r["i"]: r["root"] for r in w.groupBy("i").agg(F.first("root").alias("root")).collect()}
-            ids = np.array(sorted(roots))
-            n, root = len(ids), np.array([roots[i] for i in ids.tolist()])
-            if n > BLOCK:
-                raise ValueError(f"a full graph has at most {BLOCK} points; use anchors beyond")
-            if n <= WHOLE:
-                at = {i: p for p, i in enumerate(ids.tolist())}
-                dense = np.zeros((n, n))
-                for r in w.select("i", "j", "w").toLocalIterator():
-                    dense[at[r["i"]], at[r["j"]]] = r["w"]
-                values, vectors = top_eigen(dense, min(k, n))
-            else:
-                values, vectors = subspace(w.select("i", "j", "w"), ids, min(k, n))
-            vectors = vectors / root[:, None]
-            vectors = vectors * (np.sqrt(n) / np.sqrt((vectors**2).sum(0)))
+            values, block = leading_pairs(walked.times, n, min(k, n), graph.start)
         finally:
-            w.unpersist()
-    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "row_id long, v array<double>")
-    return Spectrum(values, frame)
-
-
-def graph_base(points: DataFrame, threshold: float, sparse: bool) -> tuple[DataFrame | None, float]:
-    """What all bandwidths share: the edges (None for all pairs) and the mean squared distance."""
+            if walked.table is not None:
+                walked.table.unpersist()
+        graph.start = block
+        vectors = block[:, : min(k, n)] / root[:, None]
+        vectors = vectors * (np.sqrt(n) / np.sqrt((vectors**2).sum(0)))
+        vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
+    table = pa.table({"row_id": pa.array(graph.ids, pa.int64()), "v": lists(vectors)})
+    return Spectrum(values, points.sparkSession.createDataFrame(table), (graph.ids, vectors))
+
+
+def graph_base(points: DataFrame, threshold: float, sparse: bool) -> Graph:
+    """The edges of all bandwidths; an error, before any work, for more points than a full graph takes."""
     n = points.count()
-    if sparse:
-        pairs = edges(nearest_points(points, neighbor_count(n, threshold))).persist()
-        return pairs, pairs.agg(F.avg("d2")).first()[0]
-    if n > WHOLE:
-        raise ValueError(f"all pairs of over {WHOLE} points; use a sparse graph")
-    x = np.array([r["x"] for r in points.select("x").collect()])
-    return None, float(squared_distances(x, x).mean())
+    if n > BLOCK:
+        raise ValueError(f"{n} points: a full graph has at most {BLOCK}; use anchors beyond")
+    if not sparse:
+        if n > WHOLE:
+            raise ValueError(f"all pairs of over {WHOLE} points; use a sparse graph")
+        ids, x = point_matrix(points)
+        d2 = squared_distances(x, x)
+        return Graph(ids, float(d2.mean()), whole=d2)
+    r = neighbor_count(n, threshold)
+    pairs = edges(nearest_points(points, r)).persist()
+    try:
+        mean = pairs.agg(F.avg("d2")).first()[0]
+        ids = np.sort(points.select("row_id").toArrow().column(0).to_numpy())
+        both = pairs.union(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d2"))
+        both = both.groupBy("i", "j").agg(F.max("d2").alias("d2"), (F.count("*") / 2).alias("share"))
+        rows = by_rows(both, ids, ["d2", "share"]).persist()
+        if 2 * n * r > LOCAL_EDGES:
+            rows.count()
+            return Graph(ids, mean, rows)
+        got = rows.orderBy("ip").toArrow().combine_chunks()
+        rows.unpersist()
+    finally:
+        pairs.unpersist()
+    columns = [got.column(c).chunk(0) for c in ("idx", "d2", "share")]
+    return Graph(ids, mean, local=(columns[0].offsets.to_numpy().astype(np.int64), *[c.flatten().to_numpy() for c in columns]))

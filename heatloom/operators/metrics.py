@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from heatloom.functions.dense import TINY
 from heatloom.functions.gp import sigmoid
 
-#: Added to a likelihood before its logarithm.
+#: Fixed value: added to a likelihood before its logarithm.
 FLOOR = 1e-2
 
 

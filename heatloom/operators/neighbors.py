@@ -9,19 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heatloom.functions.arrow import lists, matrix
 from heatloom.functions.dense import squared_distances
 
 #: Rows whose distances are held at once.
 BATCH = 2048
-
-
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """An array<double> column of equal lengths as a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-
-
-def lists(rows: np.ndarray) -> pa.Array:
-    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(rows).ravel()), rows.shape[1]).cast(pa.list_(pa.from_numpy_dtype(rows.dtype)))
+#: Coordinates of all points that a full graph sends to its tasks at most (256 MB).
+MAX_COORDINATES = 32_000_000
 
 
 def nearest(x: np.ndarray, u: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,29 +58,43 @@ def squared_distance(a: str, b: str):
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v)
 
 
+def point_matrix(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, ascending, and their coordinates on the driver; an error, before anything is collected, beyond ``MAX_COORDINATES``."""
+    size = points.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+    if size["n"] * (size["d"] or 0) > MAX_COORDINATES:
+        raise ValueError(f"{size['n']} points of {size['d']} coordinates: a full graph takes at most {MAX_COORDINATES} in all; use anchors beyond")
+    rows = points.select("row_id", "x").toArrow().combine_chunks()
+    if not rows.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, 1))
+    ids = rows.column(0).chunk(0).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], matrix(rows.column(1).chunk(0), size["d"])[order]
+
+
 def nearest_points(points: DataFrame, r: int, block: int = 4096) -> DataFrame:
     """row_id and nn (array of d2 and row_id, ascending): the ``r`` nearest points of every point, itself included.
 
-    Points are cut into blocks of ``block`` rows by a hash of their ids; each pair of blocks is one unit of work, in
-    which a point keeps its ``r`` best, and a point's candidates of all blocks are merged. The work is
-    quadratic by nature: it is a full graph.
+    All points go to the tasks, in one array of checked size; each task compares its rows with ``block`` of them at a time and
+    keeps the ``r`` best, equal distances by id. Rows stay where they are. The work is quadratic by nature: it
+    is a full graph.
     """
-    n = points.count()
-    blocks = max(1, -(-n // block))
-    packed = points.groupBy(F.pmod(F.xxhash64("row_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("row_id", "x")).alias("rows"))
-    left, right = packed.select(F.col("b").alias("lb"), F.col("rows").alias("lr")), packed.select(F.col("b").alias("rb"), F.col("rows").alias("rr"))
-    pairs = left.crossJoin(right).repartition(min(blocks * blocks, 2000), "lb", "rb")
+    ids, there = point_matrix(points)
+    sent = points.sparkSession.sparkContext.broadcast((ids, there))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, there = sent.value
+        keep = min(r, len(ids))
         for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = batch.column(1)[i].as_py(), batch.column(3)[i].as_py()
-                ids = np.array([x["row_id"] for x in b])
-                order = np.argsort(ids, kind="stable")
-                ids, there = ids[order], np.array([x["x"] for x in b])[order]
-                idx, d2 = nearest(np.array([x["x"] for x in a]), there, min(r, len(ids)))
-                near = pa.array([[{"d2": float(d), "row_id": int(j)} for d, j in zip(ds, ids[js], strict=True)] for ds, js in zip(d2, idx, strict=True)], pa.list_(pa.struct([("d2", pa.float64()), ("row_id", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array([x["row_id"] for x in a], pa.int64()), near], names=["row_id", "nn"])
-
-    found = pairs.mapInArrow(run, "row_id long, nn array<struct<d2:double,row_id:long>>")
-    return found.groupBy("row_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("nn"))), 1, r).alias("nn"))
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                x = matrix(part.column(1), there.shape[1])
+                idx, d2 = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0))
+                for lo in range(0, len(ids), block):
+                    near, dist = nearest(x, there[lo : lo + block], min(keep, len(ids) - lo, block))
+                    idx, d2 = np.hstack([idx, near.astype(np.int64) + lo]), np.hstack([d2, dist])
+                    order = np.argsort(d2, axis=1, kind="stable")[:, :keep]
+                    idx, d2 = np.take_along_axis(idx, order, 1), np.take_along_axis(d2, order, 1)
+                pairs = pa.StructArray.from_arrays([pa.array(d2.ravel()), pa.array(ids[idx.ravel()])], names=["d2", "row_id"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, d2.size + 1, keep, dtype=np.int32)), pairs)], names=["row_id", "nn"])
+
+    return points.select("row_id", "x").mapInArrow(run, "row_id long, nn array<struct<d2:double,row_id:long>>")

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from heatloom.functions.dense import TINY, squared_distances, top_eigen
-from heatloom.operators.neighbors import BATCH, lists, matrix
+from heatloom.functions.arrow import lists, matrix
+from heatloom.operators.neighbors import BATCH
 
 
 def graph_spectrum(z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

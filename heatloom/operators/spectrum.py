@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from heatloom.functions.dense import TINY, top_eigen
 from heatloom.functions.gp import heat
-from heatloom.operators.neighbors import lists, matrix
+from heatloom.functions.arrow import lists, matrix
 from heatloom.operators.weights import column_sums
 
 #: Singular values below this share of the largest are noise: a Gram matrix squares the condition number.
@@ -21,7 +21,7 @@ NEGLIGIBLE = 1e-7
 MAX_KERNEL = 200_000_000
 
 
-#: Points by anchors up to which weights are decomposed on the driver: jobs would cost more than the arithmetic.
+#: Points by anchors (a dense matrix of 80 MB) up to which weights are decomposed on the driver: jobs would cost more than the arithmetic.
 LOCAL_VALUES = 10_000_000
 
 
@@ -32,6 +32,7 @@ class Spectrum:
     values: np.ndarray
     vectors: DataFrame
     local: tuple[np.ndarray, np.ndarray] | None = None
+    held: tuple[DataFrame, ...] = ()  # persisted tables that the vectors are computed from
 
 
 @dataclass(frozen=True)
@@ -44,8 +45,11 @@ class LocalWeights:
 
     @classmethod
     def of(cls, z: DataFrame, value: str = "w") -> LocalWeights:
-        rows = sorted(z.select("row_id", "idx", value).collect(), key=lambda r: r["row_id"])
-        return cls(np.array([r["row_id"] for r in rows]), np.array([r["idx"] for r in rows]), np.array([r[value] for r in rows]))
+        got = z.select("row_id", "idx", value).toArrow().combine_chunks()
+        ids = got.column(0).to_numpy()
+        order, (idx, w) = np.argsort(ids, kind="stable"), (got.column(c).chunk(0) for c in (1, 2))
+        width = len(idx[0])
+        return cls(ids[order], idx.flatten().to_numpy().reshape(-1, width)[order], matrix(w, width)[order])
 
     def normalized(self, size: np.ndarray, gl: str) -> LocalWeights:
         w = self.w

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from heatloom.functions.dense import TINY, local_weights
 from heatloom.operators.anchors import Anchors
-from heatloom.operators.neighbors import BATCH, lists, matrix, nearest, nearest_anchors
+from heatloom.functions.arrow import lists, matrix
+from heatloom.operators.neighbors import BATCH, nearest, nearest_anchors
 
 NORMS = ("rw", "normalized", "cluster-normalized")
 
@@ -85,8 +86,8 @@ def normalize(z: DataFrame, anchors: Anchors, gl: str = "rw") -> DataFrame:
     return scale_columns(z, factor, True)
 
 
-def cross_similarity_lae(points: DataFrame, anchors: Anchors, r: int = 3, gl: str = "rw") -> DataFrame:
-    return normalize(lae_weights(points, anchors.u, r), anchors, gl)
+def cross_similarity_lae(points: DataFrame, anchors: Anchors, r: int = 3, gl: str = "rw", tol: float = 1e-5, steps: int = 100) -> DataFrame:
+    return normalize(lae_weights(points, anchors.u, r, tol, steps), anchors, gl)
 
 
 def cross_similarity_se(points: DataFrame, anchors: Anchors, r: int = 3, epsilon: float = 0.1, gl: str = "rw") -> DataFrame:

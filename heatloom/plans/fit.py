@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cache
 
 import numpy as np
@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions import gp
+from heatloom.functions.arrow import matrix, sum_arrays
 from heatloom.functions.rbf import RbfFit, fit_rbf
 from heatloom.operators.anchors import subsample
 from heatloom.operators.graph import graph_base, graph_eigen
-from heatloom.operators.neighbors import matrix, nearest_anchors
+from heatloom.operators.neighbors import nearest_anchors
 from heatloom.operators.nystrom import Nystrom
 from heatloom.operators.spectrum import LOCAL_VALUES, LocalWeights, Spectrum, heat_kernel, spectrum_from_weights
 from heatloom.operators.weights import NORMS, cross_similarity_lae, cross_similarity_se, mean_distance, normalize, se_weights
-from heatloom.plans.tasks import run_tasks, sum_arrays
+from heatloom.plans.tasks import run_tasks
 from heatloom.sources.points import check_points
 
 #: Training rows by eigenpairs that classification and per-point noise keep on the driver.
@@ -59,6 +60,11 @@ class Fit:
     ridge: float = 0.0
     keep: list = field(default_factory=list)
 
+    def release(self) -> None:
+        """Lets go of the tables that predictions are computed from, once they are no longer needed."""
+        for table in (*self.keep, *self.spectrum.held):
+            table.unpersist()
+
     def covariance(self) -> DataFrame:
         """(i, j, h): the heat kernel of every point i and training point j, with the ridge of classification where they are one."""
         train = self.points.where("is_train").select("row_id")
@@ -75,7 +81,9 @@ def heat_kernel_spectrum(points: DataFrame, s: int, r: int = 3, k: int = -1, mod
         z = cross_similarity_lae(points, anchors, r, models.gl)
     else:
         z = cross_similarity_se(points, anchors, r, epsilon, models.gl)
-    return spectrum_from_weights(z.persist(), len(anchors.u), k, models.root)
+    z = z.persist()
+    spec = spectrum_from_weights(z, len(anchors.u), k, models.root)
+    return replace(spec, held=(z,))
 
 
 def heat_kernel_covariance(points: DataFrame, s: int, r: int, t: float, k: int = -1, models: ModelSpec = ModelSpec(), epsilon: float = 0.1, nstart: int = 1, seed: int = 0) -> DataFrame:  # noqa: B008
@@ -145,15 +153,15 @@ def candidates(points: DataFrame, method: str, s: int | None, r: int, k: int, a2
 
         return Candidates(grid, extended(train), extended(points), [train])
     if method == "gl":
-        pairs, mean = graph_base(points, threshold, sparse)
+        graph = graph_base(points, threshold, sparse)
         made: dict[float, Spectrum] = {}
 
         def build(a2: float) -> Spectrum:
             if a2 not in made:
-                made[a2] = graph_eigen(points, pairs, mean, a2, k)
+                made[a2] = graph_eigen(points, graph, a2, k)
             return made[a2]
 
-        return Candidates(grid, build, build, [pairs] if pairs is not None else [])
+        return Candidates(grid, build, build, [graph.rows] if graph.rows is not None else [], 1)  # a bandwidth starts from the vectors of the one before
     raise ValueError(f"unknown method {method!r}; one of lae, se, nystrom, gl")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def check_points(points: DataFrame) -> int:
-    """The dimension of ``points``; an error if any x is null, ragged or not finite, or a row_id null or repeated."""
+    """The dimension of ``points``; an error if there are none, or any x is null, ragged or not finite, or a row_id null."""
+    return _checked(points.agg(*_checks()).first())
+
+
+def _checks() -> list[Column]:
     bad = F.col("row_id").isNull() | F.col("x").isNull() | F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    row = points.agg(F.count("*").alias("n"), F.sum(F.coalesce(bad, F.lit(True)).cast("long")).alias("bad"), F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high")).first()
+    return [F.count("*").alias("n"), F.sum(F.coalesce(bad, F.lit(True)).cast("long")).alias("bad"), F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high")]
+
+
+def _checked(row: Row) -> int:
     if not row["n"]:
         raise ValueError("there are no points")
     if row["bad"] or row["low"] != row["high"] or row["low"] < 1:
@@ -49,19 +56,24 @@ TEXT_FEATURES = (
 
 
 def document_points(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
-    """Every document by five standardised text features; labelled documents of even id train, others don't."""
+    """Every document by five standardised text features; labelled documents of even id train, others don't.
+
+    The features before standardising stay persisted; ``spark.catalog.clearCache()`` lets go of them.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("words", F.split("text", "\\s+"))
     labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("double").alias("y")).dropDuplicates(["doc_id"])
     raw = docs.select("doc_id", *[F.expr(f).alias(f"f{i}") for i, f in enumerate(TEXT_FEATURES)]).join(labels, "doc_id", "left")
     points = from_columns(raw, "doc_id", [f"f{i}" for i in range(len(TEXT_FEATURES))], "y is not null and doc_id % 2 = 0", y="y")
-    return standardize(points)
+    return standardize(points.persist())  # so that texts are read once, for the moments and for all that follows
 
 
 def standardize(points: DataFrame) -> DataFrame:
     """Each coordinate centred, divided by its standard deviation (n - 1) and by the root of the dimension."""
-    d = check_points(points)
-    stats = points.agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    first = points.select(F.size("x").alias("d")).first()
+    d = max(first["d"] or 0, 0) if first else 0
+    stats = points.agg(*_checks(), *[f(F.get("x", F.lit(i))).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    _checked(stats)
     columns = [(F.col("x")[i] - F.lit(stats[f"m{i}"])) / F.lit((stats[f"s{i}"] or 1.0) * math.sqrt(d)) for i in range(d)]
     return points.withColumn("x", F.array(*columns))
 

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from heatloom.operators.neighbors import BATCH, matrix
+from heatloom.functions.arrow import matrix
+from heatloom.operators.neighbors import BATCH
 from heatloom.operators.nystrom import Nystrom
 
 

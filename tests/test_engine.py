@@ -215,6 +215,46 @@ def test_distributed_paths_equal_local_ones(spark, monkeypatch):
     assert np.allclose(by_id(near.vectors, "v"), by_id(far.vectors, "v"), atol=1e-8)
     again = fits.fit_regression(df, "se", s=8, r=3, k=4, a2s=(0.5, 2.0), models=fits.ModelSpec(subsample="random"))
     assert np.allclose(by_id(fit.predictions, "y_pred"), by_id(again.predictions, "y_pred"), atol=1e-4)
+    near_anchors = {m: subsample(df, 6, m, nstart=2) for m in ("kmeans", "minibatchkmeans")}
     monkeypatch.setattr(A, "LOCAL_VALUES", 0)
-    a = subsample(df, 6, "kmeans")
-    assert a.u.shape == (6, 3) and a.size.sum() == 60
+    for method, a in near_anchors.items():
+        far_anchors = subsample(df.repartition(5), 6, method, nstart=2)
+        assert np.allclose(a.u, far_anchors.u, atol=1e-9) and (a.size == far_anchors.size).all() and a.size.sum() == 60
+    assert len(subsample(points(spark, np.repeat(X[:3], 4, 0)), 12, "kmeans").u) == 3
+    rows = A.PointRows.of(df.repartition(5))
+    assert np.allclose(rows.farthest(X[:2], 3), X[np.argsort(-squared_distances(X, X[:2]).min(1))[:3]])
+
+
+def test_full_graph_by_jobs_equals_the_driver(spark, monkeypatch):
+    """The eigenpairs of three sources: whole matrices, edges on the driver, edges in a table; and refusals before any work."""
+    from heatloom.operators import graph as G
+    from heatloom.operators import neighbors as N
+
+    df = points(spark, X, X[:, 0], np.arange(60) % 2 == 0).persist()
+    base = G.graph_base(df, 0.2, True)
+    near = G.graph_eigen(df, base, 0.7, 5)
+    monkeypatch.setattr(G, "LOCAL_EDGES", 0)
+    far = G.graph_eigen(df, G.graph_base(df, 0.2, True), 0.7, 5)
+    assert base.local and np.allclose(near.values, far.values) and np.allclose(near.local[1], far.local[1], atol=1e-4)
+    w = walk(edges(nearest_points(df, neighbor_count(60, 0.2))), 0.7 * base.mean)
+    dense = np.zeros((60, 60))
+    for r in w.collect():
+        dense[r["i"], r["j"]] = r["w"]
+    assert np.allclose(near.values, np.linalg.eigvalsh(dense)[::-1][:5], atol=1e-9)
+    with pytest.raises(FloatingPointError):
+        G.leading_pairs(lambda b: dense @ b, 60, 5, rounds=1, degree=2)
+    monkeypatch.setattr(G, "BLOCK", 59)
+    with pytest.raises(ValueError):
+        G.graph_base(df, 0.2, True)
+    monkeypatch.setattr(N, "MAX_COORDINATES", 179)
+    with pytest.raises(ValueError):
+        nearest_points(df, 3)
+
+
+def test_mini_batches_see_all_rows(spark):
+    """Batches differ from step to step, together hold every row, and their share is as asked for."""
+    from heatloom.operators import anchors as A
+
+    rows = A.PointRows.of(points(spark, X))
+    drawn = [{tuple(r) for r in rows.part(step, 4, 0)} for step in range(40)]
+    assert len(set().union(*drawn)) == 60 and len({frozenset(d) for d in drawn}) > 30 and 10 < np.mean([len(d) for d in drawn]) < 20
