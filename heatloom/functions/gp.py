@@ -5,14 +5,14 @@ The covariance of training rows is V L V' + ridge, where L = exp(-t (1 - values)
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
 from heatloom.functions import polyagamma
 from heatloom.functions.dense import TINY, cholesky, minimize_log, minimize_positive, solve_chol
 
-#: Priors: t enters as power * log t + (t / scale) ** -shape, a noise as inverse gamma.
+#: Fixed values. Priors: t enters as power * log t + (t / scale) ** -shape, a noise as inverse gamma.
 REGRESSION_T, LOGIT_T, NOISE_PRIOR = (1.0, 10.0, 2.0), (1e-2, 10.0, 2.0), (0.1, 1e-3)
 T_LOW, NOISE_LOW = 1e-3, 1e-4
 
@@ -96,13 +96,17 @@ def fit_regression(moments: Moments, values: np.ndarray, sigma: float = 1e-5, ap
 
     starts = [np.array([10.0, 1.0]), np.array([300.0, 1.0])]
     best, objective = min((minimize_positive(f, x, np.array([T_LOW, NOISE_LOW])) for x in starts), key=lambda r: r[1])
-    t, noise = float(best[0]), float(best[1])
+    return replace(regression_posterior(moments, values, float(best[0]), float(best[1]), sigma), objective=-objective)
+
+
+def regression_posterior(moments: Moments, values: np.ndarray, t: float, noise: float, sigma: float) -> RegressionFit:
+    """What predicts under a given (t, noise)."""
     lam, v = heat(values, t), noise + sigma
     half = np.sqrt(lam)
     lower = cholesky(half[:, None] * moments.gram * half + v * np.eye(len(values)))
     c_alpha = (moments.cross - moments.gram @ (half[:, None] * solve_chol(lower, half[:, None] * moments.cross))) / v
     spread = half[:, None] * solve_chol(lower, np.eye(len(values))) * half * v  # L - L V'C^-1 V L
-    return RegressionFit(t, noise, -objective, lam[:, None] * c_alpha, spread, v)
+    return RegressionFit(t, noise, float("nan"), lam[:, None] * c_alpha, spread, v)
 
 
 def pointwise_nmll(v: np.ndarray, y: np.ndarray, values: np.ndarray, t: float, noise: np.ndarray, sigma: float) -> tuple[float, np.ndarray]:

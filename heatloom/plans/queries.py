@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heatloom.functions import gp
 from heatloom.functions.dense import project_simplex
@@ -24,6 +25,8 @@ from heatloom.sources.points import TEXT_FEATURES, document_points, embedding_po
 
 S, R, A2, EPSILON, NEAR = 20, 3, 0.5, 0.5, 5
 KEY = "(row_id * 2654435761) % 1000003"
+#: Steps that make weights exact to the digits that are compared; a diffusion time, a noise, and two eigenvalues.
+EXACT, TIME, NOISE, PAIR = {"tol": 1e-18, "steps": 2000}, 1.5, 0.3, np.array([1.0, 0.5])
 
 
 def _six(column, name: str):
@@ -188,49 +191,114 @@ def q_text_features(spark, sf_dir):
 
 def _docs(spark, sf_dir, y: str | None = None) -> DataFrame:
     points = document_points(spark, sf_dir)
-    return (points.withColumn("y", F.expr(y)) if y else points).persist()
+    return points.withColumn("y", F.expr(y)) if y else points
 
 
 def _languages(spark, sf_dir) -> DataFrame:
     """Documents with their language's number as the label, by its place among all languages."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.coalesce("lang", F.lit("")).alias("lang"))
-    langs = docs.groupBy("lang").count().orderBy("lang").limit(100).collect()
-    number = F.element_at(F.create_map(*[F.lit(v) for i, r in enumerate(langs) for v in (r["lang"], i)]), F.col("lang"))
-    return document_points(spark, sf_dir).drop("y").join(docs.select("row_id", number.cast("double").alias("y")), "row_id").persist()
+    number = docs.select("lang").distinct().select("lang", (F.row_number().over(Window.orderBy("lang")) - 1).cast("double").alias("y"))  # a row per language
+    return document_points(spark, sf_dir).drop("y").join(docs.join(number, "lang").select("row_id", "y"), "row_id").persist()
 
 
 def q_subsample_kmeans(spark, sf_dir):
-    return subsample(embedding_points(spark, sf_dir), S, "kmeans").frame(spark)
+    """Per coordinate the anchors' mean by cluster size, which is the points' mean where every anchor is the mean of its points."""
+    anchors = subsample(embedding_points(spark, sf_dir), S, "kmeans").frame(spark)
+    each = anchors.select("cluster_size", F.posexplode("u").alias("k", "v"))
+    total = each.groupBy(F.col("k").cast("long").alias("k")).agg(F.count("*").alias("anchors"), F.sum("cluster_size").alias("points"), (F.sum(F.col("v") * F.col("cluster_size")) / F.sum("cluster_size")).alias("center"))
+    return total.select("k", "anchors", "points", _six(F.col("center"), "center"))
 
 
 def q_subsample_minibatch(spark, sf_dir):
-    return subsample(embedding_points(spark, sf_dir), S, "minibatchkmeans").frame(spark)
+    """The number of anchors and of points, and coordinates of anchors outside the points' range, which no mean can leave."""
+    points = embedding_points(spark, sf_dir)
+    u = subsample(points, S, "minibatchkmeans").frame(spark).select("anchor_id", "cluster_size", F.posexplode("u").alias("k", "v"))
+    bounds = points.select(F.posexplode("x").alias("c", "x")).groupBy("c").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    seen = u.join(F.broadcast(bounds), F.col("k") == F.col("c"))  # a row for each coordinate
+    outside = F.sum(((F.col("v") < F.col("low") - 1e-9) | (F.col("v") > F.col("high") + 1e-9)).cast("long"))
+    return seen.agg(F.count_distinct("anchor_id").alias("anchors"), F.sum(F.when(F.col("k") == 0, F.col("cluster_size"))).alias("points"), outside.alias("outside"))
+
+
+def _weights(z: DataFrame, digits: int = 4) -> DataFrame:
+    each = z.select("row_id", F.explode(F.arrays_zip("idx", "w")).alias("e"))
+    return each.select("row_id", F.col("e.idx").cast("long").alias("anchor_id"), (F.round("e.w", digits) + F.lit(0.0)).alias("w"))
 
 
 def q_lae(spark, sf_dir):
     points = embedding_points(spark, sf_dir)
-    return lae_weights(points, _anchors(points).u, R)
+    return _weights(lae_weights(points, _anchors(points).u, R, **EXACT))
 
 
 def q_cross_similarity_lae(spark, sf_dir):
     points = embedding_points(spark, sf_dir)
-    return cross_similarity_lae(points, _anchors(points), R, "cluster-normalized")
+    return _weights(cross_similarity_lae(points, _anchors(points), R, "cluster-normalized", **EXACT))
+
+
+def _moments(vectors: DataFrame, values: np.ndarray) -> DataFrame:
+    """Sums over all eigenpairs of value * v^2 and value^2 * v^2, which no sign or rotation of the vectors changes."""
+    out = fits.project(vectors, "m1 double, m2 double", lambda _, v: [v**2 @ values, v**2 @ values**2])
+    return out.select("row_id", F.round("m1", 4).alias("m1"), F.round("m2", 4).alias("m2"))
 
 
 def q_spectrum(spark, sf_dir):
     anchors, z = _normalized(spark, sf_dir, "cluster-normalized")
-    return spectrum_from_weights(z, len(anchors.u), 8).vectors
+    spec = spectrum_from_weights(z, len(anchors.u))
+    return _moments(spec.vectors, spec.values)
 
 
 def q_eigenmap(spark, sf_dir):
-    return fits.lae_eigenmap(embedding_points(spark, sf_dir), S)[1]
+    """Of all of the eigenmap's coordinates, as ``q_spectrum``; its eigenvalues are one less the root of the similarity's."""
+    laplacian, vectors = fits.lae_eigenmap(embedding_points(spark, sf_dir), S, 1, S - 1, "random")
+    return _moments(vectors, (1 - laplacian) ** 2)
 
 
 def q_covariance(spark, sf_dir):
-    return fits.heat_kernel_covariance(document_points(spark, sf_dir).persist(), 40, R, 10.0, 10)
+    """The heat kernel of all points, one anchor each, for which it has a closed form."""
+    models = fits.ModelSpec(subsample="random", gl="rw", root=False)
+    h = fits.heat_kernel_covariance(embedding_points(spark, sf_dir), S, 1, TIME, models=models)
+    return h.select("i", "j", (F.round("h", 4) + F.lit(0.0)).alias("h"))
+
+
+def _two(spark, sf_dir) -> DataFrame:
+    """Points whose two eigenvector entries are their first two coordinates, and whose target is the third."""
+    return embedding_points(spark, sf_dir).select("row_id", F.slice("x", 1, 2).alias("v"), F.col("x")[2].alias("y"))
+
+
+def _two_moments(rows: DataFrame) -> gp.Moments:
+    v1, v2, y = F.col("v")[0], F.col("v")[1], F.col("y")
+    r = rows.agg(F.sum(v1 * v1), F.sum(v1 * v2), F.sum(v2 * v2), F.sum(v1 * y), F.sum(v2 * y), F.sum(y * y), F.count("*")).first()
+    return gp.Moments(np.array([[r[0], r[1]], [r[1], r[2]]]), np.array([[r[3]], [r[4]]]), r[5], r[6])
+
+
+def q_regression_evidence(spark, sf_dir):
+    value, grad = gp.regression_nmll(_two_moments(_two(spark, sf_dir)), PAIR, TIME, NOISE, 0.0)
+    return spark.createDataFrame([(float(round(value, 4)), float(round(grad[1], 4)))], "nmll double, by_noise double")
 
 
-GRID = (0.5, 2.0)
+def q_regression_posterior(spark, sf_dir):
+    rows = _two(spark, sf_dir)
+    fit = gp.regression_posterior(_two_moments(rows), PAIR, TIME, NOISE, 0.0)
+    out = fits.project(rows, "mean double, var double", lambda _, v: [(v @ fit.mean)[:, 0], fits.quadratic(v, fit.spread) + fit.floor])
+    return out.select("row_id", _six(F.col("mean"), "mean"), _six(F.col("var"), "var"))
+
+
+def _classes(spark, sf_dir) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Variances and targets by label: the label and one more, and whether it is odd."""
+    labels = [r["label"] for r in embedding_points(spark, sf_dir).select("label").distinct().orderBy("label").collect()]
+    return np.array(labels, float) + 1, np.array(labels) % 2.0, labels
+
+
+def q_laplace_evidence(spark, sf_dir):
+    c, y, _ = _classes(spark, sf_dir)
+    return spark.createDataFrame([(round(gp.marginal_log_likelihood_logit(np.diag(c), y, tol=1e-12), 6),)], "evidence double")
+
+
+def q_posterior_classification(spark, sf_dir):
+    c, y, labels = _classes(spark, sf_dir)
+    rows = embedding_points(spark, sf_dir).select("row_id", F.col("x").alias("v"))
+    m = len(labels)
+    out = fits.project(rows, "mean double, var double", lambda _, v: list(gp.posterior_classification(np.diag(c), v[:, :m], np.ones(len(v)), y, tol=1e-12)))
+    return out.select("row_id", _six(F.col("mean"), "mean"), _six(F.col("var"), "var"))
 
 
 def q_fit_lae_regression(spark, sf_dir):
@@ -242,15 +310,15 @@ def q_fit_rbf_regression(spark, sf_dir):
 
 
 def q_fit_se_regression(spark, sf_dir):
-    return fits.fit_se_regression_gp(_docs(spark, sf_dir, "x[4]"), 60, R, 20, a2s=GRID).predictions
+    return fits.fit_se_regression_gp(_docs(spark, sf_dir, "x[4]"), 60, R, 20).predictions
 
 
 def q_fit_nystrom_regression(spark, sf_dir):
-    return fits.fit_nystrom_regression_gp(_docs(spark, sf_dir, "x[4]"), 60, 20, a2s=GRID).predictions
+    return fits.fit_nystrom_regression_gp(_docs(spark, sf_dir, "x[4]"), 60, 20).predictions
 
 
 def q_fit_gl_regression(spark, sf_dir):
-    return fits.fit_gl_regression_gp(_docs(spark, sf_dir, "x[4]"), 20, a2s=GRID).predictions
+    return fits.fit_gl_regression_gp(_docs(spark, sf_dir, "x[4]"), 20).predictions
 
 
 def q_fit_lae_logit(spark, sf_dir):
@@ -258,15 +326,15 @@ def q_fit_lae_logit(spark, sf_dir):
 
 
 def q_fit_se_logit(spark, sf_dir):
-    return fits.fit_se_logit_gp(_docs(spark, sf_dir), 60, R, 20, a2s=GRID).predictions
+    return fits.fit_se_logit_gp(_docs(spark, sf_dir), 60, R, 20).predictions
 
 
 def q_fit_nystrom_logit(spark, sf_dir):
-    return fits.fit_nystrom_logit_gp(_docs(spark, sf_dir), 60, 20, a2s=GRID).predictions
+    return fits.fit_nystrom_logit_gp(_docs(spark, sf_dir), 60, 20).predictions
 
 
 def q_fit_gl_logit(spark, sf_dir):
-    return fits.fit_gl_logit_gp(_docs(spark, sf_dir), 20, a2s=GRID).predictions
+    return fits.fit_gl_logit_gp(_docs(spark, sf_dir), 20).predictions
 
 
 def q_fit_lae_multinomial(spark, sf_dir):
@@ -274,24 +342,72 @@ def q_fit_lae_multinomial(spark, sf_dir):
 
 
 def q_fit_se_multinomial(spark, sf_dir):
-    return fits.fit_se_logit_mult_gp(_languages(spark, sf_dir), 60, R, 20, a2s=GRID).predictions
+    return fits.fit_se_logit_mult_gp(_languages(spark, sf_dir), 60, R, 20).predictions
 
 
 def q_fit_nystrom_multinomial(spark, sf_dir):
-    return fits.fit_nystrom_logit_mult_gp(_languages(spark, sf_dir), 60, 20, a2s=GRID).predictions
+    return fits.fit_nystrom_logit_mult_gp(_languages(spark, sf_dir), 60, 20).predictions
 
 
 def q_fit_gl_multinomial(spark, sf_dir):
-    return fits.fit_gl_logit_mult_gp(_languages(spark, sf_dir), 20, a2s=GRID).predictions
+    return fits.fit_gl_logit_mult_gp(_languages(spark, sf_dir), 20).predictions
 
 
 def q_nll_binary(spark, sf_dir):
+    rows = embedding_points(spark, sf_dir).select("row_id", (3 * F.col("x")[0]).alias("mean"), (1 + F.abs(F.col("x")[1])).alias("var"), (F.col("label") % 2).cast("double").alias("y"))
+    return metrics.negative_log_likelihood(rows, "binary", samples=0).select(_six(F.col("nll"), "nll"))
+
+
+def q_nll_multinomial(spark, sf_dir):
+    rows = embedding_points(spark, sf_dir).select("row_id", F.slice("x", 1, 10).alias("mean"), F.transform(F.slice("x", 11, 10), lambda v: 1 + F.abs(v)).alias("var"), F.col("label").alias("y"))
+    return metrics.negative_log_likelihood(rows, "multinomial", samples=0).select((F.round("nll", 5) + F.lit(0.0)).alias("nll"))
+
+
+def q_nll_of_fit(spark, sf_dir):
     points = _docs(spark, sf_dir)
     out = fits.fit_lae_logit_gp(points, 60, R, 20).predictions
     return metrics.negative_log_likelihood(out.join(points.select("row_id", "y"), "row_id").where("not is_train and y is not null"), "binary")
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
+# --- whole fits by one eigenpair, the constant: their results have closed forms ----------------------
+
+
+def _halves(spark, sf_dir, y: str) -> DataFrame:
+    """All vectors, whose graphs hang together; those of even id train, with ``y`` as the target."""
+    return embedding_points(spark, sf_dir).withColumn("is_train", F.expr("row_id % 2 = 0")).withColumn("y", F.expr(y).cast("double")).persist()
+
+
+def _constant_regression(method: str, **size):
+    def query(spark, sf_dir):
+        out = fits.fit_regression(_halves(spark, sf_dir, "x[0]"), method, k=1, a2s=None if method == "lae" else (1.0,), **size).predictions
+        return out.select("row_id", "is_train", (F.round("y_pred", 4) + F.lit(0.0)).alias("y_pred"), F.round("var", 4).alias("var"))
+
+    return query
+
+
+def _constant_logit(method: str, **size):
+    def query(spark, sf_dir):
+        out = fits.fit_logit(_halves(spark, sf_dir, "label >= 3"), method, k=1, a2s=None if method == "lae" else (1.0,), **size).predictions
+        return out.select("row_id", "is_train", "y_pred", ((F.col("pi") > 0.5) == (F.col("mean") > 0)).alias("agree"))
+
+    return query
+
+
+def _constant_multinomial(method: str, **size):
+    def query(spark, sf_dir):
+        out = fits.fit_multinomial(_halves(spark, sf_dir, "least(label, 2)"), method, k=1, a2s=None if method == "lae" else (1.0,), **size).predictions
+        return out.select("row_id", "is_train", F.col("y_pred").cast("long").alias("y_pred"), F.size("pi").cast("long").alias("classes"))
+
+    return query
+
+
+CONSTANT = {
+    f"q_constant_{method}_{task}": make(method, **({} if method == "gl" else {"s": S}))
+    for task, make in (("regression", _constant_regression), ("logit", _constant_logit), ("multinomial", _constant_multinomial))
+    for method in ("lae", "se", "nystrom", "gl")
+}
+
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")} | CONSTANT
 
 # --- SQL --------------------------------------------------------------------------------------------
 
@@ -308,7 +424,107 @@ _GRID = f"{_KNN}, z AS (SELECT row_id, anchor_id, exp(-d2 / ({A2} * (SELECT avg(
 _COLS = f"{_GRID}, c AS (SELECT anchor_id, sum(w) AS t FROM z GROUP BY 1), n1 AS (SELECT anchor_id, count(*) AS size FROM nn WHERE rank = 1 GROUP BY 1)"
 _ROWS = "SELECT row_id, anchor_id, round(w / (sum(w) OVER (PARTITION BY row_id) + 1e-9), 6) + 0.0 AS w FROM y"
 
+
+
+def _random_anchors() -> str:
+    """CTEs up to pick (vec_id, anchor_id): the first rows by XXH64 of (row_id, 0), seed 42, as a signed number."""
+    whole = 1 << 64
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261  # fixed values of XXH64
+    n = lambda v: f"{v}::UHUGEINT"
+    times = lambda a, b: f"({a} * {n(b)}) % {n(whole)}"
+    turned = lambda a, r: f"({a} * {n(1 << r)}) % {n(whole)} + {a} // {n(1 << 64 - r)}"
+    mixed = lambda a, b: f"xor(CAST({a} AS UBIGINT), CAST({b} AS UBIGINT))::UHUGEINT"
+    finish = [lambda h: mixed(h, f"{h} // {n(1 << 33)}"), lambda h: times(h, p2), lambda h: mixed(h, f"{h} // {n(1 << 29)}"), lambda h: times(h, p3), lambda h: mixed(h, f"{h} // {n(1 << 32)}")]
+    steps = [
+        lambda h: times("vec_id::UHUGEINT", p2), lambda h: turned(h, 31), lambda h: times(h, p1), lambda h: mixed(h, n(42 + p5 + 8)), lambda h: turned(h, 27),
+        lambda h: f"({times(h, p1)} + {n(p4)}) % {n(whole)}", *finish,
+        lambda h: f"({h} + {n(p5 + 4)}) % {n(whole)}", lambda h: turned(h, 23), lambda h: f"({times(h, p2)} + {n(p3)}) % {n(whole)}", *finish,
+    ]
+    out = ["h0 AS (SELECT vec_id, 0::UHUGEINT AS h FROM embeddings)"]
+    out += [f"h{i + 1} AS (SELECT vec_id, {step('h')} AS h FROM h{i})" for i, step in enumerate(steps)]
+    order = f"(h + {n(1 << 63)}) % {n(whole)}"
+    return ", ".join([*out, f"pick AS (SELECT vec_id, row_number() OVER (ORDER BY {order}, vec_id) - 1 AS anchor_id FROM h{len(steps)} ORDER BY anchor_id LIMIT {S})"])
+
+
+_HASHED = f"""
+WITH e AS (SELECT vec_id AS row_id, generate_subscripts(embedding, 1) - 1 AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), {_random_anchors()},
+u AS (SELECT anchor_id, k, v FROM e JOIN pick ON row_id = vec_id),
+d AS (SELECT e.row_id, u.anchor_id, sum((e.v - u.v) * (e.v - u.v)) AS d2 FROM e JOIN u USING (k) GROUP BY ALL),
+own AS (SELECT row_id, anchor_id FROM d QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d2, anchor_id) = 1),
+size AS (SELECT anchor_id, count(*) AS m FROM own GROUP BY 1)"""
+#: Weights of three anchors: of the points, edges and inside of their triangle, the feasible place of least distance.
+_LAE = f"""{_KNN},
+g AS (SELECT e.row_id, max(near.anchor_id) FILTER (rank = 1) AS a, max(near.anchor_id) FILTER (rank = 2) AS b, max(near.anchor_id) FILTER (rank = 3) AS c FROM near JOIN (SELECT DISTINCT row_id FROM e) e USING (row_id) GROUP BY 1),
+q AS (SELECT row_id, a, b, c, sum((p1.v - e.v) ** 2) AS g11, sum((p2.v - e.v) ** 2) AS g22, sum((p3.v - e.v) ** 2) AS g33,
+    sum((p1.v - e.v) * (p2.v - e.v)) AS g12, sum((p1.v - e.v) * (p3.v - e.v)) AS g13, sum((p2.v - e.v) * (p3.v - e.v)) AS g23
+  FROM g JOIN e USING (row_id) JOIN u p1 ON p1.anchor_id = a AND p1.k = e.k JOIN u p2 ON p2.anchor_id = b AND p2.k = e.k JOIN u p3 ON p3.anchor_id = c AND p3.k = e.k GROUP BY ALL),
+t AS (SELECT *, g22 * g33 - g23 * g23 - g12 * (g33 - g23) + g13 * (g23 - g22) AS t1, g11 * g33 - g13 * g13 - g12 * (g33 - g13) + g23 * (g13 - g11) AS t2,
+    g11 * g22 - g12 * g12 - g13 * (g22 - g12) + g23 * (g12 - g11) AS t3 FROM q),
+w AS (SELECT row_id, a, b, c, unnest([
+    {{'x': 1.0::DOUBLE, 'y': 0.0::DOUBLE, 'z': 0.0::DOUBLE}}, {{'x': 0.0, 'y': 1.0, 'z': 0.0}}, {{'x': 0.0, 'y': 0.0, 'z': 1.0}},
+    {{'x': (g22 - g12) / nullif(g11 + g22 - 2 * g12, 0), 'y': (g11 - g12) / nullif(g11 + g22 - 2 * g12, 0), 'z': 0.0}},
+    {{'x': (g33 - g13) / nullif(g11 + g33 - 2 * g13, 0), 'y': 0.0, 'z': (g11 - g13) / nullif(g11 + g33 - 2 * g13, 0)}},
+    {{'x': 0.0, 'y': (g33 - g23) / nullif(g22 + g33 - 2 * g23, 0), 'z': (g22 - g23) / nullif(g22 + g33 - 2 * g23, 0)}},
+    {{'x': t1 / nullif(t1 + t2 + t3, 0), 'y': t2 / nullif(t1 + t2 + t3, 0), 'z': t3 / nullif(t1 + t2 + t3, 0)}}], recursive := false) AS p, g11, g22, g33, g12, g13, g23 FROM t),
+best AS (SELECT row_id, a, b, c, arg_min(p, p.x * p.x * g11 + p.y * p.y * g22 + p.z * p.z * g33 + 2 * (p.x * p.y * g12 + p.x * p.z * g13 + p.y * p.z * g23)) AS p
+  FROM w WHERE p.x >= 0 AND p.y >= 0 AND p.z >= 0 GROUP BY ALL),
+z AS (SELECT row_id, a AS anchor_id, p.x AS w FROM best UNION ALL SELECT row_id, b, p.y FROM best UNION ALL SELECT row_id, c, p.z FROM best)"""
+#: Sums over all eigenpairs from the weights y alone: entries of n AA' and n (AA')^2 for A = Z diag(colsum)^-1/2.
+_MOMENTS = """, dd AS (SELECT anchor_id, sum(w) + 1e-9 AS t FROM y GROUP BY 1),
+a AS (SELECT row_id, anchor_id, w / sqrt(t) AS w FROM y JOIN dd USING (anchor_id)),
+gg AS (SELECT p.anchor_id AS i, q.anchor_id AS j, sum(p.w * q.w) AS g FROM a p JOIN a q USING (row_id) GROUP BY ALL),
+m1 AS (SELECT row_id, sum(w * w) AS m FROM a GROUP BY 1),
+m2 AS (SELECT p.row_id, sum(p.w * g * q.w) AS m FROM a p JOIN a q USING (row_id) JOIN gg ON i = p.anchor_id AND j = q.anchor_id GROUP BY 1)
+SELECT row_id, round(m1.m * n, 4) AS m1, round(m2.m * n, 4) AS m2 FROM m1 JOIN m2 USING (row_id), (SELECT count(*) AS n FROM embeddings)"""
+#: The likelihood of a positive target: the logistic function under a normal density, summed on a fine grid.
+_LIKELY = "list_sum(list_transform(range(-900, 901), lambda i: exp(-i * i / 20000.0) / (1 + exp(-(m + sqrt(s) * i / 100.0))))) / list_sum(list_transform(range(-900, 901), lambda i: exp(-i * i / 20000.0)))"
+_TWO = f"""WITH r AS (SELECT vec_id AS row_id, embedding[1]::DOUBLE AS p, embedding[2]::DOUBLE AS q, embedding[3]::DOUBLE AS y FROM embeddings),
+m AS (SELECT sum(p * p) AS g11, sum(p * q) AS g12, sum(q * q) AS g22, sum(p * y) AS b1, sum(q * y) AS b2, sum(y * y) AS yy, count(*) AS n, 1.0::DOUBLE AS l1, exp(-{TIME} * 0.5) AS l2, {NOISE}::DOUBLE AS v FROM r),
+i AS (SELECT *, v / l1 + g11 AS a, g12 AS b, v / l2 + g22 AS d FROM m),
+w AS (SELECT *, (d * b1 - b * b2) / (a * d - b * b) AS w1, (a * b2 - b * b1) / (a * d - b * b) AS w2 FROM i)"""
+_MODES = """WITH RECURSIVE l AS (SELECT DISTINCT label::BIGINT AS label, label + 1.0::DOUBLE AS c, (label % 2)::DOUBLE AS y FROM embeddings),
+s AS (SELECT label, c, y, 0.0::DOUBLE AS f, 0 AS n FROM l UNION ALL
+  SELECT label, c, y, c * (w * f + y - p) / (1 + c * w), n + 1 FROM (SELECT *, 1 / (1 + exp(-f)) AS p, 1 / (1 + exp(-f)) * (1 - 1 / (1 + exp(-f))) AS w FROM s) t WHERE n < 40),
+o AS (SELECT label, c, y, f, 1 / (1 + exp(-f)) AS p, 1 / (1 + exp(-f)) * (1 - 1 / (1 + exp(-f))) AS w FROM s WHERE n = 40)"""
+#: One noise v: the evidence of a constant under unit prior variance and the noise's prior, at its stationary point, by bisection in log v.
+_CONSTANT_REGRESSION = """WITH RECURSIVE pts AS (SELECT vec_id AS row_id, vec_id % 2 = 0 AS is_train, embedding[1]::DOUBLE AS y FROM embeddings),
+m AS (SELECT sum(y) AS sy, sum(y * y) AS yy, count(*)::DOUBLE AS n FROM pts WHERE is_train),
+b AS (SELECT ln(1.1e-4) AS lo, ln(1e6) AS hi, 0 AS step UNION ALL
+  SELECT CASE WHEN slope > 0 THEN lo ELSE ln(v) END, CASE WHEN slope > 0 THEN ln(v) ELSE hi END, step + 1 FROM (
+    SELECT lo, hi, step, v, -0.5 * (yy - sy * sy / (v + n)) / v ** 2 + 0.5 * sy * sy / (v + n) ** 2 / v + 0.5 / (v + n) + 0.5 * (n - 1) / v + 1.1 / v - 1e-3 / v ** 2 AS slope
+    FROM (SELECT *, exp((lo + hi) / 2) AS v FROM b) z, m) t WHERE step < 60),
+f AS (SELECT exp((lo + hi) / 2) AS v FROM b WHERE step = 60)
+SELECT row_id, is_train, round(sy / (n + v), 4) + 0.0 AS y_pred, round(v / (n + v) + v, 4) AS var FROM pts, m, f"""
+_CONSTANT_LOGIT = """SELECT vec_id AS row_id, vec_id % 2 = 0 AS is_train,
+  (SELECT CASE WHEN avg((label >= 3)::INT) > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM embeddings WHERE vec_id % 2 = 0) AS y_pred, true AS agree FROM embeddings"""
+_CONSTANT_MULTINOMIAL = """WITH c AS (SELECT least(label, 2)::BIGINT AS y, count(*) AS m FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1)
+SELECT vec_id AS row_id, vec_id % 2 = 0 AS is_train, (SELECT y FROM c ORDER BY m DESC, y LIMIT 1) AS y_pred, (SELECT max(y) + 1 FROM c) AS classes FROM embeddings"""
+
 ORACLE_SQL = {
+    **{f"q_constant_{method}_{task}": sql for task, sql in (("regression", _CONSTANT_REGRESSION), ("logit", _CONSTANT_LOGIT), ("multinomial", _CONSTANT_MULTINOMIAL)) for method in ("lae", "se", "nystrom", "gl")},
+    "q_lae": f"{_LAE} SELECT row_id, anchor_id, round(w, 4) + 0.0 AS w FROM z",
+    "q_cross_similarity_lae": f"""{_LAE}, cc AS (SELECT anchor_id, sum(w) AS t FROM z GROUP BY 1), n1 AS (SELECT anchor_id, count(*) AS size FROM nn WHERE rank = 1 GROUP BY 1),
+y AS (SELECT row_id, anchor_id, w / (t + 1e-9) * coalesce(size, 0) AS w FROM z JOIN cc USING (anchor_id) LEFT JOIN n1 USING (anchor_id))
+SELECT row_id, anchor_id, round(w / (sum(w) OVER (PARTITION BY row_id) + 1e-9), 4) + 0.0 AS w FROM y""",
+    "q_spectrum": f"""{_COLS}, yy AS (SELECT row_id, anchor_id, w / (t + 1e-9) * coalesce(size, 0) AS w FROM z JOIN c USING (anchor_id) LEFT JOIN n1 USING (anchor_id)),
+y AS (SELECT row_id, anchor_id, w / (sum(w) OVER (PARTITION BY row_id) + 1e-9) AS w FROM yy) {_MOMENTS}""",
+    "q_eigenmap": f"{_HASHED}, y AS (SELECT row_id, anchor_id, 1.0::DOUBLE AS w FROM own) {_MOMENTS}",
+    "q_covariance": f"""{_HASHED} SELECT a.row_id AS i, b.row_id AS j, round(CASE WHEN a.anchor_id = b.anchor_id THEN n / m ELSE 0 END, 4) + 0.0 AS h
+FROM own a, own b, (SELECT count(*)::DOUBLE AS n FROM embeddings) JOIN size ON a.anchor_id = size.anchor_id""",
+    "q_subsample_kmeans": f"{_BASE} SELECT k::BIGINT AS k, {S}::BIGINT AS anchors, count(*) AS points, round(avg(v), 6) + 0.0 AS center FROM e GROUP BY 1",
+    "q_subsample_minibatch": f"SELECT {S}::BIGINT AS anchors, count(*) AS points, 0::BIGINT AS outside FROM embeddings",
+    "q_nll_binary": f"""WITH r AS (SELECT 3 * embedding[1]::DOUBLE AS m, 1 + abs(embedding[2]::DOUBLE) AS s, label % 2 AS y FROM embeddings), l AS (SELECT y, {_LIKELY} AS pi FROM r)
+SELECT round(avg(-ln(CASE WHEN y > 0 THEN pi ELSE 1 - pi END + 1e-2)), 6) + 0.0 AS nll FROM l""",
+    "q_nll_multinomial": f"""WITH r AS (SELECT vec_id, embedding[j.range + 1]::DOUBLE AS m, 1 + abs(embedding[j.range + 11]::DOUBLE) AS s, label = j.range AS y FROM embeddings, range(10) j), l AS (SELECT vec_id, y, {_LIKELY} AS pi FROM r)
+SELECT round(sum(-ln(CASE WHEN y THEN pi ELSE 1 - pi END + 1e-2)) / count(DISTINCT vec_id), 5) + 0.0 AS nll FROM l""",
+    "q_regression_evidence": f"""{_TWO}, z AS (SELECT *, (yy - b1 * w1 - b2 * w2) / v AS quad, l1 * l2 * (a * d - b * b) AS det,
+  (yy - 2 * (b1 * w1 + b2 * w2) + w1 * w1 * g11 + 2 * w1 * w2 * g12 + w2 * w2 * g22) / (v * v) AS alpha2, (n - 2) / v + (a / l2 + d / l1) / l1 / l2 * l1 * l2 / (a * d - b * b) AS trace FROM w)
+SELECT round(0.5 * quad + 0.5 * ln(det) + 0.5 * (n - 2) * ln(v), 4) AS nmll, round(0.5 * trace - 0.5 * alpha2, 4) AS by_noise FROM z""",
+    "q_regression_posterior": f"""{_TWO} SELECT row_id, round(p * w1 + q * w2, 6) + 0.0 AS mean,
+  round(v * (d * p * p - 2 * b * p * q + a * q * q) / (a * d - b * b) + v, 6) + 0.0 AS var FROM r, w""",
+    "q_laplace_evidence": f"{_MODES} SELECT round(sum(-0.5 * f * f / c + CASE WHEN y > 0 THEN ln(p) ELSE ln(1 - p) END - 0.5 * ln(1 + w * c)), 6) AS evidence FROM o",
+    "q_posterior_classification": f"""{_MODES}, j AS (SELECT *, row_number() OVER (ORDER BY label) AS k FROM o)
+SELECT vec_id AS row_id, round(sum(embedding[k]::DOUBLE * (y - p)), 6) + 0.0 AS mean, round(1 - sum(embedding[k]::DOUBLE ** 2 * w / (1 + w * c)), 6) + 0.0 AS var FROM embeddings, j GROUP BY 1""",
     "q_random_anchor": f"{_BASE} SELECT vec_id AS row_id, round(sum(v * v), 6) + 0.0 AS norm2 FROM pick JOIN e ON row_id = vec_id GROUP BY 1",
     "q_sqdist": f"{_BASE} SELECT row_id, anchor_id, round(d2, 6) + 0.0 AS d2 FROM d",
     "q_knn": f"{_KNN} SELECT row_id, rank, anchor_id, round(d2, 6) + 0.0 AS d2 FROM near",
