@@ -1,12 +1,15 @@
-"""Shared plumbing of the training-data operators: tables, durable intermediates, range buckets."""
+"""Shared plumbing of the training-data operators: tables, durable intermediates, numbers of tasks."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the shared checkpoint folder of the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (local tests) a
-    temporary folder of this machine is chosen.
+    ``spark.checkpoint.dir`` is read from the session; only where it is unset and Spark runs in this process alone (local
+    tests) a temporary folder of this machine is chosen.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="heatloom-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -33,24 +38,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def n_buckets(spark: SparkSession, per_partition: int = 2) -> int:
-    return max(4, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Opens files of the shared folder in a task."""
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri if re.match(r"^[a-z][a-z0-9+.-]*:", uri) else f"file://{uri}"))
 
 
-def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
-    """At most ``n - 1`` ascending cut points that split ``column`` into ranges of similar row counts."""
-    cuts = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(column, cuts, max(1000, 2 * n)).alias("b")).first()
-    return sorted(set(row["b"] or []))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of at most ``rows`` rows, so that few texts at once stand in a worker's memory as strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def bucket_of(column: Column, bounds: list[int]) -> Column:
-    """Number of ``bounds`` that are at most ``column``, by binary search; nulls come first (0)."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return F.when(column.isNull(), F.lit(0)).otherwise(search(0, len(bounds))).cast("int")
+def tasks_for(spark: SparkSession, work: int, per_task: int) -> int:
+    """Partitions for ``work`` units, ``per_task`` each, as many as a shuffle has at least: adaptive execution looks at bytes alone."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-work // per_task))

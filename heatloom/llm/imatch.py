@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import bucket_of, n_buckets, range_bounds
+from heatloom.llm.common import slices
 
 #: The band, as shares of all documents: idf between log(1/HIGH) and log(1/LOW).
 LOW, HIGH = 0.002, 0.1
@@ -46,7 +46,7 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
             seen.clear()
             return b
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(terms_of(text or ""))
                 if len(seen) > COUNTED:
@@ -130,39 +130,66 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tie (XXH64 of the text as a signed long) and body (the text in Zstandard, about half of what a shuffle would write)."""
+def range_bounds(ids: DataFrame, n: int) -> np.ndarray:
+    """At most ``n - 1`` ascending cut points that split the one column of ``ids`` into ranges of similar row counts."""
+    row = ids.agg(F.percentile_approx(ids.columns[0], [i / n for i in range(1, n)], max(1000, 2 * n))).first()
+    return np.array(sorted(set(row[0] or [])), np.int64)
+
+
+def ranged(column: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids, nulls as the least number, and the range of each: how many of ``bounds`` are at most the id."""
+    ids = column.fill_null(-(1 << 63)).to_numpy()
+    return ids, np.searchsorted(bounds, ids, "right").astype(np.int32)
+
+
+def range_firsts(ids: DataFrame, bounds: np.ndarray) -> dict[int, int]:
+    """The largest id of each range that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        low = np.iinfo(np.int64).min
+        most, seen = np.full(len(bounds) + 1, low), np.zeros(len(bounds) + 1, bool)
         for batch in batches:
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            ties = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ties), pa.array([squeeze.compress(r) for r in raw], pa.binary())], names=["doc_id", "tie", "body"])
+            own, bucket = ranged(batch.column(0), bounds)
+            np.maximum.at(most, bucket, own)
+            seen[bucket] = True
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(most[at])], names=["bucket", "first"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, tie long, body binary")
+    found = ids.mapInArrow(run, "bucket int, first long").groupBy("bucket").agg(F.max("first").alias("first"))
+    return {r["bucket"]: r["first"] for r in found.collect()}  # a row per range
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """bucket, copy, doc_id and body, dealt and sorted so that each row's next in descending id order follows it.
+    """bucket, copy, doc_id and body (the text in Zstandard), dealt and sorted so that each row's next in descending id order follows it.
 
-    Ids are cut into ranges of similar size. A range's first document is also put, as a copy, at the end
-    of the range before it; the first of all, at the end of the last. Texts move once, compressed.
+    Ids are cut into ranges of similar size, a partition each. A range's first document is also put, as a copy, at the
+    end of the range before it; the first of all, at the end of the last. Texts move once, compressed.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    bounds = range_bounds(ids, "doc_id", n_buckets(docs.sparkSession))
-    low = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    firsts = ids.groupBy(bucket_of(F.col("doc_id"), bounds).alias("bucket")).agg(F.max(low).alias("first")).collect()  # a row per range
-    firsts = sorted(((r["bucket"], r["first"]) for r in firsts), reverse=True)
-    goes_to = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    here = F.struct(bucket_of(F.col("doc_id"), bounds).alias("bucket"), F.lit(0).alias("copy"))
-    places = F.array(here)
-    if goes_to:
-        target = F.element_at(F.create_map(*[F.lit(x) for pair in goes_to.items() for x in pair]), low)
-        places = F.when(low.isin(list(goes_to)), F.array(here, F.struct(target.alias("bucket"), F.lit(1).alias("copy")))).otherwise(places)
-    dealt = packed(docs, id_col, text_col).withColumn("place", F.explode(places)).select("place.bucket", "place.copy", "doc_id", "tie", "body")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "copy", F.desc_nulls_last("doc_id"), "tie").drop("tie")
+    bounds = range_bounds(ids, n)
+    firsts = sorted(range_firsts(ids, bounds).items(), reverse=True)
+    goes_to = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+    heads = np.array(sorted(goes_to), np.int64)
+    targets = np.array([goes_to[h] for h in heads.tolist()], np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches):
+            own, bucket = ranged(batch.column(0), bounds)
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            ties = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+            rows = np.arange(len(own))
+            at = np.searchsorted(heads, own)
+            again = rows[(at < len(heads)) & (heads[np.minimum(at, len(heads) - 1)] == own)] if len(heads) else rows[:0]
+            bucket = np.concatenate([bucket, targets[at[again]]])
+            copy, rows = np.repeat(np.array([0, 1], np.int32), [len(rows), len(again)]), np.concatenate([rows, again])
+            bodies = [squeeze.compress(r) for r in raw]
+            arrays = [pa.array(bucket), pa.array(copy), batch.column(0).take(pa.array(rows)), pa.array(ties[rows]), pa.array([bodies[i] for i in rows.tolist()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "copy", "doc_id", "tie", "body"])
+
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "bucket int, copy int, doc_id long, tie long, body binary")
+    return dealt.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "copy", F.desc_nulls_last("doc_id"), "tie").drop("tie")
 
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -183,7 +210,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         held: tuple | None = None
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for bucket, copy, doc, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 text = unpack.decompress(body).decode("utf-8", "surrogatepass")
