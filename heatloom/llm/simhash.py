@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import written
+from heatloom.llm.common import slices, tasks_for, written
 
 SEED = 42
-#: Row pairs that are compared directly, instead of splitting their nodes further.
-LEAF_PAIRS = 512
-#: Node pairs and row pairs that are held at once.
-SLICE = 1 << 19
+#: Rows, and pairs of trie nodes, that are held at once.
+SLICE, PAIRS = 1 << 17, 1 << 16
+#: Rows of a group that a task takes at most before the group is cut into cells, and rows of a task in the mean.
+CELL, TASK_ROWS = 1 << 17, 50_000
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -41,7 +43,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and fp (the fingerprint's bits as a signed long) of every row, from whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -49,18 +51,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each i, the numbers starts[i] .. starts[i] + sizes[i] - 1; and the i of each."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    first = np.cumsum(sizes) - sizes
-    return starts[owner] + np.arange(len(owner)) - first[owner], owner
-
-
 class Forest:
     """Components of rows under links that come in slices."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.version = 0
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         label = self.label
@@ -69,67 +65,89 @@ class Forest:
             apart = x != y
             if not apart.any():
                 return
+            self.version += 1
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
             np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
             while not np.array_equal(up := label[label], label):
                 label[:] = up
 
 
-def trie_components(keys: np.ndarray, groups: np.ndarray, budget: int) -> np.ndarray:
-    """The component of each of ``keys`` (uint64, sorted within each run of equal ``groups``).
+@dataclass(frozen=True)
+class Part:
+    """Some words of all keys, the first one the most significant, of ``bits`` bits each, and how many of them may differ in all."""
+
+    words: tuple[np.ndarray, ...]
+    bits: int
+    budget: int
+
+
+def near_pairs(parts: list[Part], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) of rows that are within the budget of every part."""
+    for part in parts:
+        differ = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in part.words)
+        ok = differ <= part.budget
+        a, b = a[ok], b[ok]
+    return a, b
+
+
+def trie_components(groups: np.ndarray, parts: list[Part]) -> np.ndarray:
+    """The component of each row, under links between rows of one group that are within the budget of every part.
 
-    A node of a group's binary trie is a run of sorted keys with the same leading bits. Pairs of nodes
-    are traversed together, from a group's root with itself; each step splits both nodes at the
-    next bit and adds a differing bit for unlike branches; pairs over ``budget`` are pruned,
-    as are pairs whose rows are all of one component already. Small pairs are compared directly.
+    Rows are sorted by group and by their words. A node of a group's binary trie is a run of rows with the same
+    leading bits. Pairs of nodes are traversed together, level by level, from a group's root with
+    itself; each step splits both nodes at the next bit and adds a differing bit for unlike
+    branches; pairs over the part's budget are pruned, as are pairs whose rows are all of one component
+    already. The trie is path-compressed: of two nodes that are single rows the other bits are counted at once.
     """
-    n = len(keys)
+    n = len(groups)
     forest = Forest(n)
     if n < 2:
         return forest.label
-    i = np.arange(n - 1)
-    near = (groups[1:] == groups[:-1]) & (np.bitwise_count(keys[1:] ^ keys[:-1]) <= budget)
-    forest.link(i[near], i[near] + 1)
+    i = np.flatnonzero(groups[1:] == groups[:-1])
+    forest.link(*near_pairs(parts, i, i + 1))
+    levels = [(p, w, b) for p, part in enumerate(parts) for w in range(len(part.words)) for b in reversed(range(part.bits))]
     edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])
-    roots = np.stack([edges[:-1], edges[1:], edges[:-1], edges[1:], np.zeros(len(edges) - 1, np.int64)])
-    stack = [(64, roots)]
+    edges = np.stack([edges[:-1], edges[1:]])
+    edges = edges[:, edges[1] - edges[0] > 1]
+    stack = [(0, np.concatenate([edges, edges, np.zeros((1, edges.shape[1]), np.int64)]))]
     ones: dict[int, np.ndarray] = {}
+    changes, version = np.zeros(n, np.int64), -1
     while stack:
-        bit, pairs = stack.pop()
-        if pairs.shape[1] > SLICE // 4:
+        depth, pairs = stack.pop()
+        if pairs.shape[1] > PAIRS:
             half = pairs.shape[1] // 2
-            stack += [(bit, pairs[:, half:]), (bit, pairs[:, :half])]
+            stack += [(depth, pairs[:, half:]), (depth, pairs[:, :half])]
             continue
-        changes = np.r_[0, np.cumsum(forest.label[1:] != forest.label[:-1])]
-        lo, hi, lo2, hi2, err = pairs
+        if version != forest.version:
+            changes, version = np.r_[0, np.cumsum(forest.label[1:] != forest.label[:-1])], forest.version
+        lo, hi, lo2, hi2, _ = pairs
         same = (forest.label[lo] == forest.label[lo2]) & (changes[hi - 1] == changes[lo]) & (changes[hi2 - 1] == changes[lo2])
         pairs = pairs[:, ~same & ~((lo == lo2) & (hi - lo == 1))]
-        lo, hi, lo2, hi2, err = pairs
-        small = (hi - lo) * (hi2 - lo2) <= LEAF_PAIRS
-        if bit == 0:
-            small[:] = True
-        for at in range(0, int(small.sum()), SLICE // LEAF_PAIRS):
-            a, b, c, d, _ = pairs[:, small][:, at : at + SLICE // LEAF_PAIRS]
-            left, owner = _ranges(a, b - a)
-            right, left_row = _ranges(c[owner], (d - c)[owner])
-            left = left[left_row]
-            ok = (left < right) & (np.bitwise_count(keys[left] ^ keys[right]) <= budget)
-            forest.link(left[ok], right[ok])
-        pairs = pairs[:, ~small]
+        lo, hi, lo2, hi2, _ = pairs
+        if depth == len(levels):  # equal rows on either side, linked among themselves
+            forest.link(lo, lo2)
+            continue
+        single = (hi - lo == 1) & (hi2 - lo2 == 1)
+        forest.link(*near_pairs(parts, lo[single], lo2[single]))
+        lo, hi, lo2, hi2, err = pairs = pairs[:, ~single]
         if not pairs.shape[1]:
             continue
-        bit -= 1
-        if bit not in ones:
-            ones[bit] = np.r_[0, np.cumsum((keys >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)]
-        lo, hi, lo2, hi2, err = pairs
-        mid, mid2 = hi - (ones[bit][hi] - ones[bit][lo]), hi2 - (ones[bit][hi2] - ones[bit][lo2])
+        if depth not in ones:
+            if len(ones) > 64:
+                ones.clear()
+            p, w, bit = levels[depth]
+            ones[depth] = np.r_[0, np.cumsum((parts[p].words[w] >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)].astype(np.int32)
+        count = ones[depth]
+        mid, mid2 = hi - (count[hi] - count[lo]), hi2 - (count[hi2] - count[lo2])
         own = (lo == lo2) & (hi == hi2)
-        parts = [np.stack(x) for x in ((lo, mid, lo2, mid2, err), (mid, hi, mid2, hi2, err), (lo, mid, mid2, hi2, err + 1))]
-        parts.append(np.stack((mid, hi, lo2, mid2, err + 1))[:, ~own])
-        for x in parts:
-            x = x[:, (x[0] < x[1]) & (x[2] < x[3]) & (x[4] <= budget)]
-            if x.shape[1]:
-                stack.append((bit, x))
+        split = [np.stack(x) for x in ((lo, mid, lo2, mid2, err), (mid, hi, mid2, hi2, err), (lo, mid, mid2, hi2, err + 1))]
+        split.append(np.stack((mid, hi, lo2, mid2, err + 1))[:, ~own])
+        x = np.concatenate(split, axis=1)
+        x = x[:, (x[0] < x[1]) & (x[2] < x[3]) & (x[4] <= parts[levels[depth][0]].budget)]
+        if depth + 1 < len(levels) and levels[depth + 1][0] != levels[depth][0]:
+            x[4] = 0
+        if x.shape[1]:
+            stack.append((depth + 1, x))
     return forest.label
 
 
@@ -147,43 +165,79 @@ def block_masks(budget: int, rows: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, extra)]
 
 
+def in_cells(keys: DataFrame, group: list[str], member: str, most: int) -> DataFrame:
+    """``keys`` with a column cell, such that any two rows of a group meet in one cell of at most about ``most`` rows.
+
+    A group beyond ``most`` rows is cut into chunks by a hash of ``member``, and each pair of chunks is a cell; rows are
+    copied for as many cells as there are chunks. Groups that large are found by their counts; there are
+    at most rows / ``most`` of them, which is what the join sends to the tasks.
+    """
+    hot = keys.groupBy(*group).agg(F.ceil(F.count("*") * 2 / most).cast("int").alias("chunks")).where("chunks > 2")
+    hot = written(hot.select(*[F.col(c).alias(f"__{c}") for c in group], "chunks"))
+    if hot.isEmpty():
+        return keys.withColumn("cell", F.lit(0))
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"__{c}") for c in group])
+    chunk, chunks = F.pmod(F.xxhash64(member), F.col("chunks")).cast("int"), F.col("chunks")
+    cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(j, chunk) * chunks + F.greatest(j, chunk))
+    return keys.join(F.broadcast(hot), same, "left").withColumn("cell", F.explode(F.when(chunks.isNotNull(), cells).otherwise(F.array(F.lit(0))))).select(*keys.columns, "cell")
+
+
+def by_group(keys: DataFrame, group: list[str], rows: int, per_task: int = TASK_ROWS) -> DataFrame:
+    """``keys`` dealt and sorted by ``group``, in as many partitions as the work of ``rows`` rows asks for, not the bytes."""
+    return keys.repartition(tasks_for(keys.sparkSession, rows, per_task), *group).sortWithinPartitions(*group)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], group: int, rows: int = SLICE) -> Iterator[list[np.ndarray]]:
+    """Columns of int64 of about ``rows`` rows that end where the first ``group`` columns change; each row is put together once."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not batch.num_rows:
+            continue
+        if size >= rows:
+            change = np.zeros(batch.num_rows, bool)
+            for c, before in zip(columns[:group], held[-1][:group], strict=True):
+                change |= c != before[-1]  # sorted: from the first other row on
+            cut = int(np.argmax(change)) if change.any() else batch.num_rows
+            if change.any():
+                held.append([c[:cut] for c in columns])
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, size, columns = [], 0, [c[cut:] for c in columns]
+        held.append(columns)
+        size += len(columns[0])
+    if size:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def numbered(columns: list[np.ndarray]) -> np.ndarray:
+    """The number of each row's group, for rows sorted by ``columns``."""
+    change = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.cumsum(change)
+
+
 def trie_edges(distinct: DataFrame, budget: int) -> DataFrame:
     """Edges (a, b) that connect all ``fp`` of ``distinct`` within ``budget`` bits: of each trie a forest, not all pairs."""
-    masks = block_masks(budget, distinct.count())
+    n = distinct.count()
+    masks = block_masks(budget, n)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("prefix")) for i, m in enumerate(signed)])).alias("k"))
-    keys = keys.select("k.part", "k.prefix", "fp")
+    keys = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("prefix")) for i, m in enumerate(signed)])).alias("k"))
+    keys = in_cells(keys.select("k.part", "k.prefix", "fp"), ["part", "prefix"], "fp", CELL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def finish(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            change = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
-            groups = np.cumsum(change)
-            order = np.lexsort((rows[2].view(np.uint64), groups))
-            groups, fps = groups[order], rows[2][order]
-            label = trie_components(fps.view(np.uint64), groups, budget)
+        for part, prefix, cell, fps in whole_groups(batches, 3):
+            groups = numbered([part, prefix, cell])
+            order = np.lexsort((fps.view(np.uint64), groups))
+            groups, fps = groups[order], fps[order]
+            label = trie_components(groups, [Part((fps.view(np.uint64),), 64, budget)])
             tied = label != np.arange(len(label))
             if tied.any():
                 yield pa.RecordBatch.from_arrays([pa.array(fps[label[tied]]), pa.array(fps[tied])], names=["a", "b"])
 
-        for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]))
-            size += batch.num_rows
-            if size >= SLICE:
-                rows = np.concatenate(held, axis=1)
-                # the last group may go on in the next batch
-                last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-                cut = int(last[-1]) + 1 if len(last) else 0
-                if cut:
-                    yield from finish(rows[:, :cut])
-                held, size = [rows[:, cut:]], rows.shape[1] - cut
-        if size:
-            yield from finish(np.concatenate(held, axis=1))
-
-    dealt = keys.repartition("part", "prefix").sortWithinPartitions("part", "prefix")
-    return dealt.mapInArrow(run, "a long, b long")
+    group = ["part", "prefix", "cell"]
+    return by_group(keys.select(*[F.col(c).cast("long") for c in group], "fp"), group, n * len(masks)).mapInArrow(run, "a long, b long")
 
 
 def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
