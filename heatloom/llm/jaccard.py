@@ -1,7 +1,8 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands find pairs, whole shingle sets decide."""
+"""Near duplicates by the Jaccard similarity of word shingles: tries of wide SimHashes find pairs, whole shingle sets decide."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,19 +10,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from heatloom.llm.common import written
-from heatloom.llm.simhash import SEED, drop_repeats, star_components
+from heatloom.llm.common import slices, written
+from heatloom.llm.simhash import CELL, SEED, Part, by_group, drop_repeats, in_cells, numbered, star_components, trie_components, whole_groups
 
-#: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million.
-ROWS, BANDS = 5, 32
-#: Shingles that are permuted at once.
-CHUNK = 2048
+#: Words of 64 bits of a fingerprint, and how many of them are compared as a whole.
+WORDS, CHECKED = 8, 4
+#: Windows of 32 bits, a trie for each; and how many of all pairs at the least similarity some window must let through.
+WINDOWS, REACH = 2 * WORDS, 0.98
+#: Standard deviations above the expected number of differing bits up to which a pair's sets are compared.
+DEVIATIONS = 3.7
+#: Shingles that are mixed at once, and texts of a group whose sets a task holds at once.
+CHUNK, SETS = 4096, 2048
 
 _rng = np.random.default_rng(SEED)
-_FLIP = _rng.integers(0, 1 << 64, ROWS * BANDS, np.uint64)[:, None]
-_TIMES = _rng.integers(0, 1 << 64, ROWS * BANDS, np.uint64)[:, None] | np.uint64(1)
-_MIX = _rng.integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
+_FLIP = _rng.integers(0, 1 << 64, WORDS, np.uint64)
+_TIMES = _rng.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
+_FPS = [f"f{i}" for i in range(WORDS)]
 
 
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
@@ -38,15 +44,37 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of the MinHash signature; sets without shingles have none."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles in ``WORDS`` words of 64 bits, each by a hash of its own."""
+    ones = np.zeros(64 * WORDS, np.int64)
     for at in range(0, len(hashes), CHUNK):
-        np.minimum(low, ((hashes[at : at + CHUNK] ^ _FLIP) * _TIMES).min(1), out=low)
-    mixed = ((low.reshape(BANDS, ROWS) >> np.uint64(7)) * _MIX).sum(1, dtype=np.uint64)
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+        x = (hashes[at : at + CHUNK, None] ^ _FLIP) * _TIMES
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint64)
+
+
+def differing(least: float) -> float:
+    """The share of bits in which the SimHashes of two sets of similarity ``least`` are expected to differ."""
+    return math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
+
+
+def window_shape(rows: int, least: float) -> tuple[int, int]:
+    """(bits, budget) of the windows: as many bits as the number of rows has, and so many differing ones that pairs get through."""
+    p, bits = differing(least), min(32, max(12, rows.bit_length()))
+    through = 0.0
+    for budget in range(bits):
+        through += math.comb(bits, budget) * p**budget * (1 - p) ** (bits - budget)
+        if 1 - (1 - through) ** WINDOWS >= REACH:
+            break
+    return bits, budget
+
+
+def whole_budget(least: float) -> int:
+    n, p = 64 * CHECKED, differing(least)
+    return math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -54,75 +82,225 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """doc_id, node (equal for equal shingle sets) and bands of every row, from whole texts."""
+    """doc_id, node (equal for equal shingle sets), words (whether there are any) and the fingerprint's words of every row, from whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, keys = [], []
+        for batch in slices(batches):
+            nodes, full, fps = [], [], [np.zeros(WORDS, np.uint64)]
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text, k)
                 nodes.append(_node(hashes))
-                keys.append(bands(hashes))
-            arrays = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "bands"])
+                full.append(len(hashes) > 0)
+                fps.append(wide_fingerprint(hashes))
+            columns = np.stack(fps)[1:].view(np.int64)
+            arrays = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(full, pa.bool_()), *[pa.array(columns[:, i].copy()) for i in range(WORDS)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "words", *_FPS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, node long, words boolean, " + ", ".join(f"{f} long" for f in _FPS))
 
 
-def shingle_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
-    """node and shingles of every row."""
+def loose_edges(nodes: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that connect all nodes whose fingerprints some window's trie finds within the budgets: of each trie a forest.
+
+    A window's trie lets ``window_shape`` bits differ, one of so many blocks and one more must agree and
+    deals the rows; below the window the walk goes on through the checked words, with their own budget.
+    """
+    n = nodes.count()
+    bits, budget = window_shape(n, least)
+    cuts = [bits * i // (budget + 1) for i in range(budget + 2)]
+    slots = []
+    for t in range(WINDOWS):
+        word = F.col(_FPS[t // 2])
+        window = F.shiftrightunsigned(F.shiftleft(word, 32) if t % 2 else word, 64 - bits)
+        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            value = F.shiftrightunsigned(window, lo).bitwiseAND(F.lit((1 << hi - lo) - 1).cast("long"))
+            slots.append(F.struct((F.lit((t * (budget + 1) + b) << 40).cast("long") + value).alias("slot"), window.alias("win")))
+    checked = _FPS[:CHECKED]
+    keys = nodes.select(F.explode(F.array(*slots)).alias("k"), "node", *checked).select("k.slot", "k.win", "node", *checked)
+    keys = in_cells(keys, ["slot"], "node", CELL).select("slot", F.col("cell").cast("long"), "win", "node", *checked)
+    whole = whole_budget(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slot, cell, window, node, *fps in whole_groups(batches, 2):
+            groups = numbered([slot, cell])
+            keys = [c.view(np.uint64) for c in (window, *fps)]
+            order = np.lexsort((*reversed(keys), groups))
+            keys, node = [c[order] for c in keys], node[order]
+            label = trie_components(groups[order], [Part((keys[0],), bits, budget), Part(tuple(keys[1:]), 64, whole)])
+            tied = label != np.arange(len(label))
+            if tied.any():
+                pairs = np.unique(np.sort(np.stack([node[label[tied]], node[tied]]), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return by_group(keys, ["slot", "cell"], n * len(slots)).mapInArrow(run, "a long, b long")
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum())
+
+
+def settle(labels: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], least: float, whole: int) -> list[tuple[int, int]]:
+    """Links (i, j) that connect all rows of unlike labels whose sets are similar, nearest fingerprints first.
+
+    Pairs within the fingerprint budget are compared by their whole sets unless links found before connect them.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    own = np.unique(labels, return_inverse=True)[1]
+    up = list(range(own.max() + 1))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(n - 1):
+        d = np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(1, dtype=np.int16)
+        rest = sizes[i + 1 :]
+        j = np.flatnonzero((d <= whole) & (own[i + 1 :] != own[i]) & (np.minimum(rest, sizes[i]) >= least * np.maximum(rest, sizes[i])))
+        if len(j):
+            found.append((d[j], np.full(len(j), i, np.int32), (j + i + 1).astype(np.int32)))
+    if not found:
+        return []
+    d, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+    order, links = np.argsort(d, kind="stable"), []
+    for at in range(0, len(order), CHUNK):
+        part = order[at : at + CHUNK]
+        roots = np.array([root(x) for x in range(len(up))])
+        part = part[roots[own[left[part]]] != roots[own[right[part]]]]
+        for i, j in zip(left[part].tolist(), right[part].tolist(), strict=True):
+            x, y = root(own[i]), root(own[j])
+            if x != y:
+                both = common(sets[i], sets[j])
+                if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                    up[y] = x
+                    links.append((i, j))
+    return links
+
+
+def settled(rows: DataFrame, n: int, least: float) -> DataFrame:
+    """Links (a, b) among the rows of each cell (root, cell, node, label, fingerprint, shingles); a node may come twice."""
+    whole, columns = whole_budget(least), ["root", "cell", "node", "label", *_FPS[:CHECKED], "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+
+        def links() -> list[tuple[int, int]]:
+            one = {r[0]: r for r in held}
+            each = list(one.values())
+            if len(each) < 2:
+                return []
+            got = settle(np.array([r[1] for r in each]), np.array([r[2] for r in each]), [r[3] for r in each], least, whole)
+            return [(each[i][0], each[j][0]) for i, j in got]
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = [shingles(t, k) for t in batch.column(0).slice(at, 256).to_pylist()]
-                nodes = np.array([_node(h) for h in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+            out = []
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1).tolist()
+            fps = np.stack([batch.column(4 + i).to_numpy() for i in range(CHECKED)], 1).view(np.uint64)
+            sets = batch.column(4 + CHECKED)
+            ends, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+            for i, (group, cell, node, label) in enumerate(keys):
+                if last != (group, cell):
+                    out += links()
+                    held.clear()
+                    last = group, cell
+                held.append((node, label, fps[i], values[ends[i] : ends[i + 1]].copy()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+        if out := links():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return by_group(rows.select(*columns), ["root", "cell"], n, SETS).mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """The ``texts`` (node, text, ...) whose node their text has, with shingles in place of text."""
+    others = [c for c in texts.columns if c != "text"]
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            sets = [shingles(t, k) for t in part.column("text").to_pylist()]
+            right = np.array([_node(h) for h in sets], np.uint64).view(np.int64) == part.column("node").to_numpy()
+            arrays = [*[part.column(c) for c in others], pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*others, "shingles"]).filter(pa.array(right))
+
+    return texts.select(*others, "text").mapInArrow(run, ", ".join(f"{c} long" for c in others) + ", shingles array<long>")
+
+
+def with_labels(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (node, ...) with label, the node that stands for all that ``links`` connect."""
+    found = star_components(links).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    return rows.join(found, F.col("node") == F.col("__node"), "left").withColumn("label", F.coalesce("__root", "node")).drop("__node", "__root")
+
+
+def links_of(loose: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links that connect all similar nodes of each loose component; ``loose`` is (node, root), ``sets`` adds the fingerprint and shingles.
+
+    A component of up to ``SETS`` nodes is settled in a task. A larger one is cut into chunks, which are settled each;
+    then some nodes of each of the chunks' large groups are brought together, so that the groups join; and
+    last all nodes outside the component's largest group meet all nodes, chunk by chunk. Two nodes that no link
+    connects before the last step meet in it, so the result is the same as for one chunk.
+    """
+    n = loose.count()
+    size = loose.groupBy("root").agg(F.ceil(F.count("*") / SETS).cast("int").alias("chunks"))
+    large = written(size.where("chunks > 1").select(F.col("root").alias("__of"), "chunks"))
+    some = not large.isEmpty()  # at most the number of nodes divided by SETS
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("long")
+    if some:
+        first = sets.join(F.broadcast(large), F.col("root") == F.col("__of"), "left").withColumn("cell", F.coalesce(chunk, F.lit(0).cast("long"))).drop("__of", "chunks")
+    else:
+        first = sets.withColumn("cell", F.lit(0).cast("long"))
+    links = written(settled(first.withColumn("label", F.col("node")), n, least))
+    if not some:
+        return links
+    hot = written(sets.join(F.broadcast(large), F.col("root") == F.col("__of")).drop("__of"))
+    own = written(with_labels(hot.select("node", "root", "chunks").distinct(), links))
 
+    def meet(cells: DataFrame) -> DataFrame:
+        """Links among cells (node, label, root, cell)."""
+        rows = hot.drop("root", "chunks").join(cells, "node")
+        return settled(rows, cells.count(), least)
 
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose shingle sets have a Jaccard similarity of ``least`` or more."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(F.least(F.size("of_a"), F.size("of_b")) >= F.lit(least) * F.greatest(F.size("of_a"), F.size("of_b"))).where(common >= F.lit(least) * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+    rank = F.row_number().over(Window.partitionBy("root", "label").orderBy(F.xxhash64("node", F.lit(1)), "node"))
+    heads = own.withColumn("nth", rank).where(F.col("nth") <= 32).join(own.groupBy("label").count().where("count >= 32").select("label"), "label")
+    heads = in_cells(heads.select("node", "label", "root"), ["root"], "node", SETS).withColumn("cell", F.col("cell").cast("long"))
+    links = written(links.unionByName(meet(written(heads))))
+    own = written(with_labels(own.drop("label"), links))
+    count = own.groupBy("root", "label").count()
+    largest = count.groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("largest")).select(F.col("root").alias("__of"), "largest")
+    marked = own.join(F.broadcast(largest), F.col("root") == F.col("__of")).drop("__of")  # a row for each large component
+    outside = marked.where("label <> largest")
+    parts = outside.groupBy("root").agg(F.ceil(F.count("*") / SETS).cast("long").alias("parts")).select(F.col("root").alias("__of"), "parts")
+    marked = written(marked.join(F.broadcast(parts), F.col("root") == F.col("__of")).drop("__of"))
+    inside = marked.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p * F.col("chunks") + chunk)))
+    part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))
+    around = marked.where("label <> largest").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1), lambda c: part * F.col("chunks") + c)))
+    cells = inside.unionByName(around).select("node", "label", "root", "cell").distinct()
+    return links.unionByName(meet(written(cells)))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id and component_id, the smallest id that links reach, of every row.
 
-    Texts link when the Jaccard similarity of their sets of ``k``-word shingles is ``least`` or more. Nodes that
-    share a band key are first compared with one of them; then all that share a key and
-    are still in different components are compared with each other, so no pair of a
-    bucket stays open, and tight groups cost no more pairs than members.
+    Texts link when the Jaccard similarity of their sets of ``k``-word shingles is ``least`` or more. Equal sets are
+    one node. The nodes' wide SimHashes are joined by binary tries, a trie for each window of the fingerprint, within
+    a Hamming budget that similar sets keep; inside the components that this gives, whole shingle sets decide.
     """
     rows = written(signatures(docs, id_col, text_col, k))
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands")))
-    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    keys = written(keys.join(shared, ["band", "key"]))
-    stars = written(keys.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = keys.select("node").distinct()
-    ids = rows.join(wanted, "node", "left_semi").join(nodes.select("node", "low"), "node").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("doc_id").distinct()
-    texts = docs.join(ids.withColumnRenamed("doc_id", "__want"), F.col(id_col).cast("long").eqNullSafe(F.col("__want")), "left_semi")
-    sets = written(shingle_sets(texts, text_col, k).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    links = written(similar(stars, sets, least))
-    root = star_components(links).withColumnRenamed("node", "__node")
-    keys = keys.join(root, keys["node"] == root["__node"], "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    keys = written(keys)
-    mixed = keys.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", "key")
-    open_keys = written(keys.join(mixed, ["band", "key"], "left_semi"))
-    one, two = (open_keys.select("band", "key", F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "ra"), ("b", "rb")))
-    rest = one.join(two, ["band", "key"]).where("a < b and ra <> rb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(similar(written(rest), sets, least))
-    root = star_components(links).withColumnRenamed("node", "__node")
-    joined = nodes.select("node", "low").join(root, nodes["node"] == root["__node"], "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_node = joined.join(lowest, "root").select("node", "component_id")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("words").alias("words"), *[F.first(f).alias(f) for f in _FPS]))
+    found = star_components(written(loose_edges(nodes.where("words"), least)))
+    loose = written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
+    wanted = nodes.join(loose, "node").select("node", "root", "low", *_FPS[:CHECKED])
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("low"))).drop("__id", "low")
+    sets = written(shingle_sets(texts, k))
+    joined = with_labels(nodes.select("node", "low"), links_of(loose, sets, least))
+    lowest = joined.groupBy("label").agg(F.min("low").alias("component_id"))
+    by_node = joined.join(lowest, "label").select("node", "component_id")
     return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
 
 
