@@ -44,8 +44,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(z, float)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 50) -> Logistic:
-    """Newton's method with a ridge penalty; with one class or none, the smoothed base rate for every row."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float | np.ndarray = 1.0, steps: int = 50) -> Logistic:
+    """Newton's method with a ridge penalty, one or one for each feature; with one class or none, the smoothed base rate for every row."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     w = np.ones(len(y)) if weight is None else np.asarray(weight, float)
     d = x.shape[1]

@@ -4,71 +4,86 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import written
+from heatloom.llm.common import slices, written
 from heatloom.llm.learning import Logistic, fit_logistic, held_out, labelled_sample
 
 #: Labelled documents that a model is fitted on at most.
 SAMPLE = 20_000
-#: Terms of a lexicon at most, the false-discovery level at which they are picked, and the least log ratio of use.
-LEXICON, LEVEL, MIN_WEIGHT = 2_000, 0.05, 2.0
-#: Words on either side of a hit that its context is read from, and what a quoted hit counts for.
+#: The false-discovery level at which terms are picked, and the least log ratio of use.
+LEVEL, MIN_WEIGHT = 0.05, 2.0
+#: Words on either side of a quoted hit in which an unquoted one makes it count whole, and what it counts for otherwise.
 WINDOW, QUOTED = 8, 0.35
 #: Edits that a term of so many characters allows.
 EDITS = ((5, 0), (10, 1), (1 << 30, 2))
 #: Lengths of the beginnings of words that can be terms too, and what marks them.
 STEMS, STEM = range(3, 9), "*"
-CACHE_WORDS, MAX_STATES = 500_000, 100_000
+#: Words that a worker remembers, the first it meets; automaton states, after which it starts anew.
+CACHE_WORDS, MAX_STATES = 50_000, 150_000
 _WORD = re.compile(r"[^\W\d_]+")
-#: Pairs of quotation marks.
-QUOTES = (('"', '"'), ("“", "”"), ("„", "“"), ("«", "»"), ("‘", "’"), ("‹", "›"))
+#: Quotation marks, by the mark that opens, those that close.
+QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’", "‹": "›"}
+_MARKS = re.compile("[" + "".join({*QUOTES, *QUOTES.values()}) + "]|\n[^\\S\n]*\n")
 
 
 def edits_of(length: int) -> int:
     return next(k for upto, k in EDITS if length < upto)
 
 
+class State(dict):
+    """The states that follow, by character; made when a word first needs them and then kept."""
+
+    __slots__ = ("automaton", "errors", "accept", "stem")
+
+    def __missing__(self, c: str) -> State:
+        self[c] = out = self.automaton.after(self, c)
+        return out
+
+
 class TrieAutomaton:
     """The Levenshtein automata of all terms at once: their trie, walked with an error budget.
 
-    A state is a set of (trie node, edits so far), the fewest edits of each node; states and steps are made
-    when a word first needs them and kept, so that most words cost a few lookups.
+    Terms under 5 characters allow no edit, under 10 one, others two. A term that ends in ``STEM`` stands for the
+    words that begin with it, within the same budget. A state is a set of (trie node, edits so far), the
+    fewest edits of each node, as numbers 4 * node + edits, and the best stem that ended so far, so that a character
+    costs one lookup.
     """
 
     def __init__(self, terms: list[str]):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.ends: list[str | None] = [None]
         self.most: list[int] = [0]  # edits that any term below allows
         for term in sorted(terms):
-            node, k = 0, edits_of(len(term))
+            letters = term.removesuffix(STEM)
+            node, k = 0, edits_of(len(letters))
             self.most[0] = max(self.most[0], k)
-            for c in term:
+            for c in letters:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
+                    self.ends.append(None)
                     self.most.append(0)
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], k)
-            self.term[node] = term
+            (self.ends if term.endswith(STEM) else self.term)[node] = letters
         self._clear()
 
     def _clear(self) -> None:
-        self.states: list[tuple[tuple[int, int], ...]] = []
-        self.number: dict[tuple, int] = {}
-        self.steps: list[dict[str, int]] = []
-        self.accepts: list[tuple[int, str] | None] = []
-        self.start = self._intern({0: 0})
+        self.states: dict[tuple, State] = {}
+        self.start = self._state({0: 0}, None)
 
-    def _intern(self, errors: dict[int, int]) -> int:
+    def _state(self, errors: dict[int, int], stem: tuple[int, int, str] | None) -> State:
         """The state of ``errors``, after skipping characters of terms as far as budgets go."""
         todo = list(errors)
         while todo:
@@ -78,38 +93,69 @@ class TrieAutomaton:
                 if e <= self.most[child] and e < errors.get(child, 99):
                     errors[child] = e
                     todo.append(child)
-        key = tuple(sorted(errors.items()))
-        if key not in self.number:
-            self.number[key] = len(self.states)
-            self.states.append(key)
-            self.steps.append({})
-            fits = [(e, t) for node, e in key if (t := self.term[node]) and e <= edits_of(len(t))]
-            self.accepts.append(min(fits) if fits else None)
-        return self.number[key]
-
-    def _step(self, state: int, c: str) -> int:
+        begun = [(e, -len(t), t) for node, e in errors.items() if (t := self.ends[node]) and e <= edits_of(len(t))]
+        stem = min([*begun, *([stem] if stem else [])], default=None)
+        key = (tuple(sorted(4 * node + e for node, e in errors.items())), stem)
+        if key not in self.states:
+            self.states[key] = state = State()
+            fits = [(e, t) for node, e in errors.items() if (t := self.term[node]) and e <= edits_of(len(t))]
+            state.automaton, state.errors, state.accept, state.stem = self, key[0], min(fits, default=None), stem
+        return self.states[key]
+
+    def after(self, state: State, c: str) -> State:
         errors: dict[int, int] = {}
-        for node, e in self.states[state]:
+        for code in state.errors:
+            node, e = code >> 2, code & 3
             if e + 1 <= self.most[node]:
                 errors[node] = min(e + 1, errors.get(node, 99))
             for letter, child in self.children[node].items():
                 cost = e + (letter != c)
                 if cost <= self.most[child] and cost < errors.get(child, 99):
                     errors[child] = cost
-        self.steps[state][c] = out = self._intern(errors)
-        return out
+        return self._state(errors, state.stem)
 
-    def match(self, word: str) -> tuple[int, str] | None:
-        """(edits, term) of the term nearest to ``word`` within its budget, the first of equals."""
+    def walk(self, word: str) -> tuple[tuple[int, str] | None, tuple[int, int, str] | None]:
+        """(edits, term) of the term nearest to ``word``, and (edits, -length, stem) of the stem nearest to a beginning of it that is not all of it.
+
+        Both within their budgets; of equally near terms the first, of equally near stems the longest.
+        """
         if len(self.states) > MAX_STATES:
             self._clear()
-        state = self.start
+        state = before = self.start
         for c in word:
-            nxt = self.steps[state].get(c)
-            state = self._step(state, c) if nxt is None else nxt
-            if not self.states[state]:
-                return None
-        return self.accepts[state]
+            before, state = state, state[c]
+        return state.accept, before.stem
+
+    def match(self, word: str) -> tuple[int, str] | None:
+        """(edits, term) of the term nearest to ``word`` within its budget, the first of equals."""
+        return self.walk(word)[0]
+
+    def nearest(self, word: str) -> tuple[int, str] | None:
+        """(edits, term or marked stem) that ``word`` stands for: of equal edits, a whole term before a stem."""
+        whole, stem = self.walk(word)
+        if stem is None or whole is not None and whole[0] <= stem[0]:
+            return whole
+        return stem[0], stem[2] + STEM
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where quotations open and close in the whole of ``text``.
+
+    A straight mark opens if no letter or digit stands before it and no space after it; an apostrophe within a word
+    closes nothing. A quotation that its paragraph doesn't close is none.
+    """
+    out: list[tuple[int, int]] = []
+    opened: dict[str, int] = {}  # by the mark that closes
+    for m in _MARKS.finditer(text):
+        c, at = m[0], m.start()
+        after = text[at + 1 : at + 2]
+        if c[0] == "\n":
+            opened.clear()
+        elif c in opened and not (c == "’" and after.isalpha()):
+            out.append((opened.pop(c), at))
+        elif c in QUOTES and not (c == '"' and (not after or after.isspace() or at and text[at - 1].isalnum())):
+            opened.setdefault(QUOTES[c], at)
+    return out
 
 
 @dataclass(frozen=True)
@@ -117,47 +163,53 @@ class Model:
     weights: dict[str, float]  # of the lexicon's terms: log of how much likelier toxic documents use them
     ordinary: frozenset[str]  # near terms, but clean documents use them too
     logistic: Logistic | None = None
+    key: str = field(default_factory=lambda: uuid.uuid4().hex, compare=False)
 
 
 class Scorer:
     """Features and scores of whole texts."""
 
     def __init__(self, model: Model):
-        self.model, self.automaton = model, TrieAutomaton([t for t in model.weights if not t.endswith(STEM)])
+        self.model, self.automaton = model, TrieAutomaton(list(model.weights))
         self.known: dict[str, tuple[float, bool] | None] = {}
 
     def hit(self, word: str) -> tuple[float, bool] | None:
         """(weight, misspelt) of a word that stands for a term."""
-        found = self.automaton.match(word)
-        if found is None or found[0]:
-            for k in reversed(STEMS):
-                if k < len(word) and (weight := self.model.weights.get(word[:k] + STEM)):
-                    return weight, False
+        found = self.automaton.nearest(word)
         if found is None or found[0] and word in self.model.ordinary:
             return None
         return self.model.weights[found[1]] / (1 + found[0]), found[0] > 0
 
     def hits(self, text: str) -> tuple[int, list[tuple[float, bool, float]]]:
-        """The number of words, and (weight, misspelt, context score) of each hit."""
+        """The number of words, and (weight, misspelt, context score) of each hit.
+
+        A hit in a quotation counts for less, unless one outside of any stands within ``WINDOW`` words of it.
+        """
         low = text.lower()
         words = _WORD.findall(low)
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        toxic = set()
+        known, toxic = self.known, {}
         for w in set(words):
-            if w not in known:
-                known[w] = self.hit(w)
-            if known[w]:
-                toxic.add(w)
+            if w in known:
+                found = known[w]
+            else:
+                found = self.hit(w)
+                if len(known) < CACHE_WORDS:
+                    known[w] = found
+            if found:
+                toxic[w] = found
         if not toxic:
             return len(words), []
-        spans = [m.span() for m in _WORD.finditer(low)]
+        quoted = quotations(low)
+        at = [(i, m.start()) for i, m in enumerate(_WORD.finditer(low)) if words[i] in toxic]
+        said = np.zeros(len(at), bool)
+        starts = np.array([p for _, p in at])
+        for a, b in quoted:
+            said[np.searchsorted(starts, a) : np.searchsorted(starts, b)] = True
+        free = np.array([i for (i, _), s in zip(at, said, strict=True) if not s])
         out = []
-        for i, (a, b) in enumerate(spans):
-            if words[i] in toxic:
-                left, right = spans[max(0, i - WINDOW)][0], spans[min(len(spans) - 1, i + WINDOW)][1]
-                out.append((*known[words[i]], context_score(low[left:a], low[b : right + 1])))
+        for (i, _), inside in zip(at, said.tolist(), strict=True):
+            beside = inside and np.searchsorted(free, i - WINDOW) < np.searchsorted(free, i + WINDOW, "right")
+            out.append((*toxic[words[i]], QUOTED if inside and not beside else 1.0))
         return len(words), out
 
     def features(self, text: str) -> list[float]:
@@ -172,13 +224,14 @@ class Scorer:
         return self.model.logistic.score(x)
 
 
-def context_score(before: str, after: str) -> float:
-    """What a hit counts for between the text of its window before and after it: less where it stands in quotation marks."""
-    for opening, closing in QUOTES:
-        inside = before.count(opening) % 2 == 1 if opening == closing else before.rfind(opening) > before.rfind(closing)
-        if inside and closing in after:
-            return QUOTED
-    return 1.0
+_last: list[Scorer] = []
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The worker's scorer for ``model``, with the words and states that its tasks before have met."""
+    if not _last or _last[0].model.key != model.key:
+        _last[:] = [Scorer(model)]
+    return _last[0]
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -194,7 +247,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 c.clear()
             return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *counts], names=["term", "toxic", "clean"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = {w for w in _WORD.findall(text.lower()) if len(w) > 2}
                 seen[y].update(words)
@@ -221,28 +274,48 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def pick_lexicon(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """Terms that toxic documents use more, by exact binomial tests under false-discovery control, with weights."""
+    """Terms that toxic documents use more, by exact binomial tests under false-discovery control, with weights.
+
+    All terms of two or more toxic documents are tested. A term's p-value follows from its two counts alone, so the
+    rule is settled on how many terms have which counts, and only terms that pass reach the driver; the labelled
+    sample bounds both.
+    """
     share = toxic / (toxic + clean)
-    seen = F.col("toxic") + F.col("clean")
-    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (seen * p))).otherwise(0.0)
-    tested = counts.where("toxic >= 2").withColumn("g", 2 * (part("toxic", share) + part("clean", 1 - share))).where(F.col("toxic") > seen * share)
-    n = counts.where("toxic >= 2").count()
-    best = tested.where("g > 6").orderBy(F.desc("g"), "term").limit(LEXICON).collect()
-    ranked = sorted((binomial_tail(r["toxic"], r["toxic"] + r["clean"], share), r["term"], r) for r in best)
-    last = max((i + 1 for i, (p, _, _) in enumerate(ranked) if p <= LEVEL * (i + 1) / n), default=0)
-    ratio = lambda r: math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 0.5) / (clean + 1))
-    kept = {term: r for _, term, r in ranked[:last] if ratio(r) > MIN_WEIGHT}
-    words = [(t, r["toxic"]) for t, r in kept.items() if not t.endswith(STEM)]
+    tested = counts.where("toxic >= 2")
+    ratio = lambda t, c: math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+    kinds = [(r["toxic"], r["clean"], r["count"]) for r in tested.groupBy("toxic", "clean").count().collect()]
+    n = sum(k[2] for k in kinds)
+    ranked = sorted((binomial_tail(t, t + c, share), t, c, times) for t, c, times in kinds if t > (t + c) * share)
+    seen, last = 0, -1
+    for i, (p, _, _, times) in enumerate(ranked):
+        seen += times
+        if p <= LEVEL * seen / n:
+            last = i
+    passed = [(t, c) for _, t, c, _ in ranked[: last + 1] if ratio(t, c) > MIN_WEIGHT]
+    if not passed:
+        return {}
+    wanted = counts.sparkSession.createDataFrame(passed, "t long, c long")
+    kept = {r["term"]: (r["toxic"], r["clean"]) for r in tested.join(F.broadcast(wanted), (F.col("toxic") == F.col("t")) & (F.col("clean") == F.col("c"))).collect()}  # as many as the sample's counts
+    in_word: dict[str, int] = {}
+    for t, (used, _) in kept.items():
+        if not t.endswith(STEM):
+            for k in STEMS:
+                in_word[t[:k]] = max(used, in_word.get(t[:k], 0))
     # a beginning counts if it says more than the words that have it
-    one_word = {t for t, r in kept.items() if t.endswith(STEM) and 1.5 * max((n for w, n in words if w.startswith(t[:-1])), default=0) > r["toxic"]}
-    return {t: ratio(r) for t, r in kept.items() if t not in one_word}
+    return {t: ratio(*c) for t, c in kept.items() if not (t.endswith(STEM) and 1.5 * in_word.get(t[:-1], 0) > c[0])}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` labelled documents that aren't held out; without any, every score is one half."""
-    picked = labelled_sample(labels, label, sample)
+    """Fits on at most ``sample`` labelled documents that aren't held out; without any, every score is one half.
+
+    ``labels`` has the same ``id_col``. Of rows of one id the one of the greatest text counts; an id with several labels is
+    toxic if any of them says so. Null ids and other labels than 0 and 1 are left out; other columns are ignored.
+    """
+    picked = labelled_sample(labels, label, sample, id_col)
     rows = docs.select(F.col(id_col).alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = written(rows.join(F.broadcast(picked), F.col("of") == F.col("id")).select("id", "y", "text"))  # as many ids as the sample has
+    if rows.count() > rows.select("id").distinct().count():
+        rows = written(rows.groupBy("id", "y").agg(F.max("text").alias("text")))
     size = rows.agg(F.sum("y"), F.count("*")).first()
     toxic, clean = size[0] or 0, size[1] - (size[0] or 0)
     weights: dict[str, float] = {}
@@ -250,20 +323,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if toxic and clean:
         counts = written(term_counts(rows))
         weights = pick_lexicon(counts, toxic, clean)
-        automaton = TrieAutomaton([t for t in weights if not t.endswith(STEM)])
+        terms = list(weights)
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = TrieAutomaton(terms)
             for batch in batches:
-                terms = [t for t in batch.column(0).to_pylist() if (m := automaton.match(t)) and m[0]]
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string())], names=["term"])
+                close = [t for t in batch.column(0).to_pylist() if (m := automaton.nearest(t)) and m[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(close, pa.string())], names=["term"])
 
         used = counts.where(~F.col("term").endswith(STEM)).where(F.col("clean") * toxic * 2 > F.col("toxic") * clean).select("term")
         ordinary = frozenset(r["term"] for r in used.mapInArrow(near, "term string").collect())  # of the sample's words
-    scorer = Scorer(Model(weights, ordinary))
+    model = Model(weights, ordinary)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(scorer.model)
-        for batch in batches:
+        own = scorer_of(model)
+        for batch in slices(batches):
             x = [own.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -281,8 +355,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in batches:
+        scorer = scorer_of(model)
+        for batch in slices(batches):
             scores = scorer.score([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -291,14 +365,21 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose texts score ``threshold`` or more; columns stay as they are."""
+    """``docs`` without the rows whose texts score ``threshold`` or more; columns stay as they are, whatever their names.
+
+    Each row is judged by its own text, so repeated rows and ids go or stay by it; a null text is empty and stays
+    null, a null id changes nothing. An empty table gives no rows. Where the labels yield no lexicon nothing is known
+    of toxicity, and all rows stay.
+    """
     model = fit(docs, labels, id_col, text_col)
+    if not model.weights:
+        return docs
     schema, columns = docs.schema, docs.columns
     where = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in batches:
+        scorer = scorer_of(model)
+        for batch in slices(batches):
             scores = scorer.score([t or "" for t in batch.column(where).to_pylist()])
             yield batch.filter(pa.array(scores < threshold))
 
