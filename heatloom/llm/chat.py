@@ -24,7 +24,10 @@ def unescape(text: Column) -> Column:
 
 
 def turn_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Whole turns as events, a message each; turns of equal number stay apart, ordered by role and text."""
+    """Whole turns as events, a message each; turns of equal number, repeated rows too, stay apart, ordered by role and text.
+
+    Null roles and texts stay null, null turns come first; other columns are ignored; an empty table gives no events.
+    """
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).repartition("conv_id")
     seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     return rows.select("conv_id", seq.alias("seq"), seq.alias("message_id"), F.lit("message").alias("kind"), "role", "text")
@@ -39,8 +42,9 @@ def fold_events(events: DataFrame) -> DataFrame:
     once; a message's events are pared down before its text is put together.
 
     A null text is empty, a null or unknown kind is a delta, a null message_id makes the event a
-    message of its own, a message without a role has the empty role. Events of equal seq go by kind
-    and text. Null conv_ids are one conversation.
+    message of its own with others of its seq, a message without a role has the empty role. Events of equal seq go by kind
+    and text; a repeated event happens twice. Null conv_ids are one conversation. A conversation's events must fit a
+    task's memory. Other columns are ignored; an empty log gives no rows.
     """
     own = F.coalesce(F.col("message_id").cast("string"), F.concat(F.lit("#"), F.col("seq").cast("string")), F.lit("#"))
     log = events.select("conv_id", "seq", own.alias("message_id"), F.coalesce("kind", F.lit("delta")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id")
@@ -49,8 +53,9 @@ def fold_events(events: DataFrame) -> DataFrame:
     anew = F.max(F.when(F.col("kind").isin("edit", "regenerate"), at)).over(message)
     log = log.select("*", at.alias("at"), anew.alias("anew"), F.min("seq").over(message).alias("pos"), F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(message).alias("named"))
     log = log.where(F.col("anew").isNull() | (F.col("at") >= F.col("anew")))
-    messages = log.groupBy("conv_id", "message_id").agg(F.first("pos").alias("pos"), F.first("named").alias("named"), F.array_sort(F.collect_list("at")).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    messages = log.groupBy("conv_id", "message_id").agg(F.first("pos").alias("pos"), F.first("named").alias("named"), F.first("anew").alias("anew"), F.array_sort(F.collect_list("at")).alias("parts"))
+    later = F.filter("parts", lambda p: F.col("anew").isNull() | (p > F.col("anew")))
+    text = F.concat(F.coalesce("anew.text", F.lit("")), F.array_join(F.transform(later, lambda p: p["text"]), ""))
     return messages.select("conv_id", "pos", "message_id", F.coalesce("named.role", F.lit("")).alias("role"), text.alias("text"))
 
 
@@ -58,7 +63,8 @@ def render(messages: DataFrame) -> DataFrame:
     """conv_id, formatted and loss_mask (spans of code points of the assistant's texts) of each conversation.
 
     A turn reads ``<turn ROLE>TEXT</turn>`` and a line feed, with marks inside escaped. One conversation is
-    one string, so it must fit a task's memory; all its steps share one dealing by conv_id.
+    one string, so it must fit a task's memory; all its steps share one dealing by conv_id. Roles and texts aren't null, as
+    ``fold_events`` gives them; other columns are ignored.
     """
     head, body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE)), escape(F.col("text"))
     rows = messages.select("conv_id", "pos", "message_id", head.alias("head"), body.alias("body"), (F.col("role") == "assistant").alias("loss"))
@@ -77,7 +83,7 @@ def format_conversations(events: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role and text) and loss_texts, read from formatted and loss_mask alone."""
+    """conv_id, turns (role and text) and loss_texts, read from formatted and loss_mask alone; an empty string has no turns."""
     chunks = F.split("formatted", END)
     turns = F.transform(
         F.slice(chunks, F.lit(1), F.size(chunks) - 1),
