@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,18 +24,29 @@ RARE = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ]")
 WORDS = re.compile(r"[a-zªµºß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|\d|[^\sa-z\dªµºß-öø-ſ]+")
 
 
+#: The steps before the model of tokenizers whose words can be told apart by ``WORDS``.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+
+
 class TokenBytes:
     """Little-endian unsigned 32-bit ids of whole texts, as the tokenizer file gives them.
 
-    The tokenizer encodes each word by itself and marks its last id, so unknown words are encoded as one text and
-    cut at those ids, and ids are kept by word. Texts with rare characters or special-token marks go through
-    the tokenizer whole.
+    Where the file lower-cases, splits words as ``WORDS`` does and marks each word's last id, unknown words are encoded
+    as one text and cut at those ids, and ids are kept by word. Texts with rare characters or special-token marks, and
+    all texts of any other tokenizer, go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        file = json.loads(self.tokenizer.to_str())
+        steps = (file["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        alike = file["normalizer"] == NORMALIZER and steps[0].get("pattern") == SPLITTER and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
+        plain = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        marked = file["model"].get("end_of_word_suffix") == "</w>" and all(t["content"].startswith("<|") for t in file["added_tokens"])
+        self.by_word = bool(alike and plain and marked and not file["post_processor"])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -56,7 +68,7 @@ class TokenBytes:
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 32):
             block = texts[at : at + 32]
-            split = [None if RARE.search(t) or "<|" in t else WORDS.findall(t.lower()) for t in block]
+            split = [None if not self.by_word or RARE.search(t) or "<|" in t else WORDS.findall(t.lower()) for t in block]
             if len(self.words) > CACHE_WORDS:
                 self.words.clear()
             known = self.words
