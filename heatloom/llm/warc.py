@@ -12,18 +12,19 @@ from dataclasses import dataclass
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import shared_dir, written
+from heatloom.llm.common import file_system, shared_dir, tasks_for, written
 
 #: Fixed values of the seekable format: the seek table's skippable frame, its footer, and its descriptor (checksums present).
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, DESCRIPTOR = 0x184D2A5E, 0x8F92EAB1, 0x80
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FRAME_BYTES = 1 << 20
 ARCHIVE_BYTES = 1 << 30
+#: Frames that are read one after the other, and bytes of records that a task reads.
+STRETCH, READ_BYTES = 8, 1 << 25
 INDEX = "page_id long, archive string, frame int, at int, size int"
 
 
@@ -80,13 +81,17 @@ class BundleWriter:
     """Writes independent frames of about ``frame_bytes`` and, on closing, the seek table."""
 
     def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = 3):
+        if not 0 < frame_bytes < 1 << 32:
+            raise ValueError("the seek table has 32 bits for the size of a frame")
         self.out, self.frame_bytes, self.zstd = out, frame_bytes, zstandard.ZstdCompressor(level=level)
         self.frames: list[tuple[int, int, int]] = []
         self.held: list[bytes] = []
         self.size = self.total = 0
 
     def add(self, raw: bytes) -> tuple[int, int]:
-        """The frame and the offset in it at which ``raw`` will stand."""
+        """The frame and the offset in it at which ``raw`` will stand; a record that is larger than a frame has one of its own."""
+        if len(raw) >= 1 << 31:
+            raise ValueError("a record of 2 GiB or more")
         if self.size and self.size + len(raw) > self.frame_bytes:
             self.flush()
         at = self.size
@@ -134,10 +139,6 @@ class BundleReader:
         return raw
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
-
-
 def write_archives(pages: DataFrame, folder: str, min_revisit: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", frame_bytes: int = FRAME_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record per row into archives below ``folder``; the index (page_id, archive, frame, at, size), as a table.
 
@@ -147,7 +148,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 1000, id_co
     at most once, in a join that adaptive execution splits where a digest is hot.
 
     Each attempt of a task writes files of its own; the index names only those of attempts that
-    ended well, so lost executors leave nothing that is read. A null payload is empty.
+    ended well, so lost executors leave nothing that is read. A null payload is empty, a null url is left out, a
+    null id has an empty record id. Repeated rows have a record each; other columns may have any names. An
+    empty table gives an empty index and no archives.
     """
     raw = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), raw.alias("payload"), F.sha1(raw).alias("digest"))
@@ -185,10 +188,13 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 1000, id_co
 def read_archives(index: DataFrame) -> DataFrame:
     """The records that ``index`` names: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
-    Frames are dealt over tasks; each is found by its archive's seek table, unpacked once and cut at
-    the records' offsets. A record of another id than the index has is an error.
+    Stretches of frames are dealt over as many tasks as their bytes ask for; each frame is found by its archive's seek
+    table, unpacked once and cut at the records' offsets. A record of another id than the index has is an error.
+    An empty index gives no rows.
     """
-    frames = index.groupBy("archive", "frame").agg(F.collect_list(F.struct("at", "size", "page_id")).alias("records"))
+    total = index.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    stretches = index.withColumn("stretch", F.floor(F.col("frame") / STRETCH)).repartition(tasks_for(index.sparkSession, total, READ_BYTES), "archive", "stretch")
+    frames = stretches.groupBy("archive", "stretch", "frame").agg(F.collect_list(F.struct("at", "size", "page_id")).alias("records")).drop("stretch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
