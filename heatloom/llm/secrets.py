@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,29 @@ ENCODINGS = (
     (r"^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGIT + "-_"),
 )
 
-_SPAN = "struct<start:int,end:int,found:string>"
+_SPAN, _PLAIN, _CLUSTER = "struct<start:int,end:int,found:string>", "struct<start:int,end:int>", "struct<start:int,end:int,fixed:boolean>"
+#: Spans that are put together at once.
+BLOCK = 128
+
+
+def fold(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """struct(state, out) after all ``items`` in order; a step gives the next state and an array of what to put out.
+
+    Items are taken in blocks, so that appending copies the blocks before, not every item before.
+    """
+    none = F.array().cast(f"array<{kind}>")
 
+    def one(acc: Column, x: Column) -> Column:
+        state, more = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], more).alias("out"))
+
+    def block(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return F.struct(done["state"].alias("state"), F.concat(acc["out"], done["out"]).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(zero.alias("state"), none.alias("out"))
+    return F.aggregate(F.when(F.size(items) > 0, blocks).otherwise(F.array(items)), start, block)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -38,14 +61,13 @@ def matches(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["g"]
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("found")))).alias("out"))
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("found")))
 
-    spans = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    spans = _bind(pairs, lambda ps: fold(ps, F.lit(0), step, _SPAN)["out"])
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
@@ -104,7 +126,7 @@ def serial_p(x: Column, n: Column) -> Column:
 
 def battery_p(token: Column, alphabet: Column) -> Column:
     """The battery's p-value of "uniform random over ``alphabet``": the least of three, times three."""
-    symbols = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.instr(alphabet, F.substring(token, i, F.lit(1))) - 1)
+    symbols = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c) - 1)
 
     def of(x: Column) -> Column:
         n, size = F.size(x).cast("double"), F.length(alphabet)
@@ -128,15 +150,23 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(_runs(text, TOKEN), parts))
 
 
-def _merged(spans: Column) -> Column:
-    """Overlapping ``spans`` as one."""
+def clusters(spans: Column) -> Column:
+    """Overlapping ``spans`` (start, end, fixed) as one each, ascending; fixed if any of them is."""
+    none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(False).alias("fixed"))
+
+    def step(last: Column, s: Column) -> tuple[Column, Column]:
+        over = last["end"] > s["start"]
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), (last["fixed"] | s["fixed"]).alias("fixed"))
+        return F.when(over, joined).otherwise(s), F.when(over | (last["end"] < 0), F.array().cast(f"array<{_CLUSTER}>")).otherwise(F.array(last))
+
+    def all_of(done: Column) -> Column:
+        return F.when(done["state"]["end"] >= 0, F.concat(done["out"], F.array(done["state"]))).otherwise(done["out"])
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
-        return F.when(last["end"] > s["start"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)).otherwise(F.concat(acc, F.array(s)))
+    return _bind(F.array_sort(spans), lambda ss: _bind(fold(ss, none.cast(_CLUSTER), step, _CLUSTER), all_of))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), step)
+
+def _marked(spans: Column, fixed: bool) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(fixed).alias("fixed")))
 
 
 def random_spans(text: Column, level: float = LEVEL) -> Column:
@@ -160,14 +190,19 @@ def random_spans(text: Column, level: float = LEVEL) -> Column:
     fit = F.filter(F.transform(mixed, encoded), lambda t: t["alphabet"].isNotNull() & (F.length(t["core"]) >= TOKEN_CHARS))
     tested = F.transform(fit, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.length(t["core"]).alias("n"), battery_p(t["core"], t["alphabet"]).alias("p")))
 
+    def scaled(ts: Column, total: Column) -> Column:
+        return F.transform(ts, lambda t: F.struct((t["p"] * total / (t["n"] * F.size(ts))).alias("q"), t["start"].alias("start"), t["end"].alias("end")))
+
+    def kept(ts: Column) -> Column:
+        steps = F.transform(F.array_sort(ts), lambda t, i: F.when(t["q"] <= level * (i + 1) / F.size(ts), level * (i + 1) / F.size(ts)).otherwise(F.lit(-1.0)))
+        return _bind(F.array_max(steps), lambda cut: F.filter(ts, lambda t: t["q"] > cut))
+
     def control(ts: Column) -> Column:
-        m = F.size(ts)
         total = F.aggregate(ts, F.lit(0.0), lambda acc, t: acc + t["n"])
-        scaled = F.transform(ts, lambda t: F.struct((t["p"] * total / (t["n"] * m)).alias("q"), t["start"].alias("start"), t["end"].alias("end")))
-        cut = F.array_max(F.transform(F.array_sort(scaled), lambda t, i: F.when(t["q"] <= level * (i + 1) / m, level * (i + 1) / m).otherwise(F.lit(-1.0))))
-        return _merged(F.transform(F.filter(scaled, lambda t: t["q"] > cut), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))))
+        left = _bind(_bind(total, lambda all_of: scaled(ts, all_of)), kept)
+        return F.transform(clusters(_marked(left, False)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
 
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast(f"array<{_PLAIN}>")
     return _bind(tested, lambda ts: F.when(F.size(ts) > 0, control(ts)).otherwise(none))
 
 
@@ -176,7 +211,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Kinds 0 to 2 are the fixed patterns; kind 3 are tokens that the test battery takes for random and that
     touch no other span. Starts and ends count code points. A null text is empty and has no
-    spans; rows and ids may repeat or be null; other columns are ignored.
+    spans; texts and tokens of any length are read whole, in time that hardly more than follows their length; rows and ids may repeat
+    or be null; other columns are ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", *[c.alias(k) for k, c in base_spans(F.col("text")).items()], random_spans(F.col("text")).alias("random"))
@@ -185,8 +221,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name)).alias("kind"), s["end"].alias("end")))
 
     base = F.concat(*[kind(k, F.col(k)) for k in KINDS[:3]])
-    new = F.filter("random", lambda r: ~F.exists(F.concat(*[kind(k, F.col(k)) for k in KINDS[:3]]), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return rows.select("doc_id", F.array_sort(F.concat(base, kind("random", new))).alias("spans"))
+    # found random spans don't overlap one another, so a cluster without a fixed one is a single random span
+    apart = F.filter(clusters(F.concat(*[_marked(F.col(k), True) for k in KINDS[:3]], _marked(F.col("random"), False))), lambda c: ~c["fixed"])
+    new = F.when(F.size("random") > 0, kind("random", apart)).otherwise(kind("random", F.col("random")))
+    return rows.select("doc_id", F.array_sort(F.concat(base, new)).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -196,17 +234,29 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with ``mark`` in place of each run of overlapping spans."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``text`` with ``mark`` in place of each of the ascending ``spans``, which don't overlap.
+
+    A block of spans is cut out of the text first, so that finding a place counts characters of its block alone.
+    """
+
+    def end_before(ss: Column, i: Column) -> Column:
+        return F.when(i > 0, F.try_element_at(ss, i)["end"]).otherwise(F.lit(0))
+
+    def block(ss: Column, i: Column) -> Column:
+        begin, own = end_before(ss, i * BLOCK), F.slice(ss, i * BLOCK + 1, F.lit(BLOCK))
+
+        def cut(xs: Column) -> Column:
+            part = F.substring(text, begin + 1, F.element_at(xs, -1)["end"] - begin)
+            pieces = lambda t: F.transform(xs, lambda s, j: F.concat(F.substring(t, F.greatest(end_before(xs, j), begin) - begin + 1, s["start"] - F.greatest(end_before(xs, j), begin)), F.lit(mark)))
+            return F.array_join(_bind(part, pieces), "")
+
+        return _bind(own, cut)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] >= acc["at"]), F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
+    def whole(ss: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ss) - 1) / BLOCK).cast("int")), lambda i: block(ss, i))
+        return F.concat(F.array_join(blocks, ""), F.substring(text, F.element_at(ss, -1)["end"] + 1, F.length(text)))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    return F.when(F.size(spans) > 0, _bind(spans, whole)).otherwise(text)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -215,9 +265,10 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_
     while name in docs.columns:
         name += "_"
     kinds = {**base_spans(F.col(text_col)), "random": random_spans(F.col(text_col))}
-    every = F.concat(*[F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for c in kinds.values()])
-    out = docs.withColumn(name, F.array_sort(every))
-    out = out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), redact(F.col(text_col), F.col(name))))
+    every = F.concat(*[_marked(c, True) for c in kinds.values()])
+    out = docs.withColumn(name, F.when(F.col(text_col).isNotNull(), every))
+    out = out.withColumn(name, F.when(F.size(name) > 0, clusters(F.col(name))))
+    out = out.withColumn(text_col, redact(F.col(text_col), F.col(name)))
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.size(name) > 0, F.length(text_col).cast("long")).otherwise(F.col(chars_col)))
     return out.drop(name)
