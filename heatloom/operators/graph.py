@@ -19,6 +19,8 @@ from heatloom.operators.spectrum import Spectrum
 
 #: Points up to which all pairs are taken, and points of a full graph at most: its blocks of vectors are held on the driver.
 WHOLE, BLOCK = 3000, 300_000
+#: Values of a basis of eigenvectors that is preferred at most (320 MB); 300,000 points take 160 columns, 430 MB.
+BASIS = 40_000_000
 #: Edges up to which products are computed on the driver (200 MB): jobs would cost more than the arithmetic.
 LOCAL_EDGES = 10_000_000
 
@@ -89,28 +91,55 @@ def _product(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, block:
     return out
 
 
-def leading_pairs(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, start: np.ndarray | None = None, degree: int = 30, rounds: int = 60, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` largest eigenpairs of a symmetric operator with eigenvalues in [-1, 1], and the block that they came from.
+def leading_pairs(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, start: np.ndarray | None = None, width: int = 4, most: int | None = None, rounds: int = 60, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenpairs of a symmetric operator with eigenvalues in [-1, 1].
 
-    Chebyshev polynomials of the operator damp the eigenvalues below the block's least, so that a round of ``degree`` products
-    does what hundreds of plain steps do; a block finds repeated eigenvalues too. Residuals of all pairs
-    fall below ``tol``, or an error is raised.
+    Block Lanczos with full orthogonalisation: a round grows a basis by products with ``width`` vectors up to ``most``
+    columns (160 to 600, as ``BASIS`` values allow) more than the pairs that it starts from, takes the best pairs in it, and
+    starts the next round from those. Once all residuals are
+    below ``tol``, a round from fresh random vectors looks for copies of repeated eigenvalues that the blocks so far have
+    missed; only if it finds none are the pairs final. An error is raised where that doesn't happen.
     """
-    width = min(n, k + max(10, k // 2))
-    q = np.linalg.qr(np.random.default_rng(0).standard_normal((n, width)) if start is None or start.shape != (n, width) else start)[0]
+    rng = np.random.default_rng(0)
+    most = most or max(160, min(600, BASIS // n))
+    if n <= k + 2 * width:
+        values, vectors = top_eigen(times(np.eye(n)), k)
+        return values, vectors
+    keep = min(n, k + max(width, k // 2))
+    basis = images = np.zeros((n, 0))
+    ahead, fresh = rng.standard_normal((n, width)), False
+    if start is not None and len(start) == n:
+        ahead = start @ rng.standard_normal((start.shape[1], width)) + 1e-2 * ahead
+    values, rest = np.full(k, -np.inf), np.inf
     for _ in range(rounds):
-        y = times(q)
-        values, inner = top_eigen(q.T @ y, width)
-        q, y = q @ inner, y @ inner
-        rest = float(np.linalg.norm(y[:, :k] - q[:, :k] * values[:k], axis=0).max())
-        if rest < tol or width == n:
-            return values[:k], q
-        cut = min(values[-1], values[k - 1] - 5e-3)  # lower than the wanted ones, even where all of the block's are equal
-        middle, half = (cut - 1) / 2, max((cut + 1) / 2, 1e-3)
-        before, now = q, (y - middle * q) / half
-        for _ in range(degree - 1):
-            before, now = now, 2 * (times(now) - middle * now) / half - before
-        q = np.linalg.qr(now / np.linalg.norm(now, axis=0))[0]
+        full = min(n, basis.shape[1] + most)
+        room = np.empty((n, full))  # columns so far, and their products
+        product = np.empty((n, full))
+        size = basis.shape[1]
+        room[:, :size], product[:, :size] = basis, images
+        block = rng.standard_normal((n, width)) if fresh else ahead
+        while size < full:
+            for _ in range(2):
+                block = block - room[:, :size] @ (room[:, :size].T @ block)
+            block, scale = np.linalg.qr(block)
+            block = block[:, np.abs(np.diag(scale)) > 1e-10][:, : full - size]
+            if not block.shape[1]:
+                block = rng.standard_normal((n, width))
+                continue
+            grown = size + block.shape[1]
+            room[:, size:grown], product[:, size:grown] = block, times(block)
+            block = product[:, size:grown]
+            size = grown
+        for _ in range(2):  # a next round goes on from here: residuals lie in its span
+            block = block - room @ (room.T @ block)
+        ahead = block
+        before, was_fresh = values, fresh
+        found, inner = top_eigen(room.T @ product, min(keep, full))
+        basis, images, values = room @ inner, product @ inner, found[:k]
+        rest = float(np.linalg.norm(images[:, :k] - basis[:, :k] * values, axis=0).max())
+        if rest < tol and (full == n or was_fresh and np.abs(values - before).max() < tol):
+            return values, basis[:, :k]
+        fresh = rest < tol
     raise FloatingPointError(f"eigenpairs of the full graph left a residual of {rest:.1e} after {rounds} rounds")
 
 
@@ -118,10 +147,9 @@ def subspace(w: DataFrame, ids: np.ndarray, k: int, **options) -> tuple[np.ndarr
     """The ``k`` largest eigenpairs of the sparse symmetric matrix (i, j, w) with eigenvalues in [-1, 1]; rows of vectors follow ``ids``."""
     rows = by_rows(w, ids, ["w"]).persist()
     try:
-        values, block = leading_pairs(SparseRows(len(ids), table=rows).times, len(ids), k, **options)
+        return leading_pairs(SparseRows(len(ids), table=rows).times, len(ids), k, **options)
     finally:
         rows.unpersist()
-    return values, block[:, :k]
 
 
 def by_rows(entries: DataFrame, ids: np.ndarray, names: list[str]) -> DataFrame:
@@ -146,7 +174,7 @@ class Graph:
     rows: DataFrame | None = None
     local: tuple[np.ndarray, ...] | None = None  # starts, columns, d2, share
     whole: np.ndarray | None = None  # squared distances of all pairs
-    start: np.ndarray | None = None  # the block of the bandwidth before
+    start: np.ndarray | None = None  # the eigenvectors of the bandwidth before
 
     def scaled(self, scale: float) -> tuple[SparseRows, np.ndarray]:
         """The normalised walk for one bandwidth, and the root of each row's corrected degree.
@@ -196,12 +224,12 @@ def graph_eigen(points: DataFrame, graph: Graph, a2: float, k: int) -> Spectrum:
         if walked.table is not None:
             walked = SparseRows(n, table=walked.table.persist())
         try:
-            values, block = leading_pairs(walked.times, n, min(k, n), graph.start)
+            values, vectors = leading_pairs(walked.times, n, min(k, n), graph.start)
         finally:
             if walked.table is not None:
                 walked.table.unpersist()
-        graph.start = block
-        vectors = block[:, : min(k, n)] / root[:, None]
+        graph.start = vectors
+        vectors = vectors / root[:, None]
         vectors = vectors * (np.sqrt(n) / np.sqrt((vectors**2).sum(0)))
         vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
     table = pa.table({"row_id": pa.array(graph.ids, pa.int64()), "v": lists(vectors)})

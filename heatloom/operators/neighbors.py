@@ -16,14 +16,20 @@ from heatloom.functions.dense import squared_distances
 BATCH = 2048
 #: Coordinates of all points that a full graph sends to its tasks at most (256 MB).
 MAX_COORDINATES = 32_000_000
+#: Pairs of points that a task compares in the mean.
+PAIRS = 10_000_000
 
 
 def nearest(x: np.ndarray, u: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and squared distances of the ``r`` nearest rows of ``u``, ascending, equal distances by number."""
     d2 = squared_distances(x, u)
     if r < len(u):
-        bound = np.partition(d2, r - 1, axis=1)[:, r - 1 : r]
-        order = np.argsort(np.where(d2 <= bound, d2, np.inf), axis=1, kind="stable")[:, :r]
+        close = d2 <= np.partition(d2, r - 1, axis=1)[:, r - 1 : r]
+        if np.count_nonzero(close) == r * len(d2):
+            near = np.nonzero(close)[1].reshape(-1, r)  # by row, ascending
+            order = np.take_along_axis(near, np.argsort(np.take_along_axis(d2, near, 1), axis=1, kind="stable"), 1)
+        else:  # equal distances at the bound
+            order = np.argsort(np.where(close, d2, np.inf), axis=1, kind="stable")[:, :r]
     else:
         order = np.argsort(d2, axis=1, kind="stable")
     return order.astype(np.int32), np.take_along_axis(d2, order, axis=1)
@@ -75,8 +81,8 @@ def nearest_points(points: DataFrame, r: int, block: int = 4096) -> DataFrame:
     """row_id and nn (array of d2 and row_id, ascending): the ``r`` nearest points of every point, itself included.
 
     All points go to the tasks, in one array of checked size; each task compares its rows with ``block`` of them at a time and
-    keeps the ``r`` best, equal distances by id. Rows stay where they are. The work is quadratic by nature: it
-    is a full graph.
+    keeps the ``r`` best, equal distances by id. Points are dealt over as many tasks as their pairs ask for. The work is
+    quadratic by nature: it is a full graph.
     """
     ids, there = point_matrix(points)
     sent = points.sparkSession.sparkContext.broadcast((ids, there))
@@ -97,4 +103,5 @@ def nearest_points(points: DataFrame, r: int, block: int = 4096) -> DataFrame:
                 pairs = pa.StructArray.from_arrays([pa.array(d2.ravel()), pa.array(ids[idx.ravel()])], names=["d2", "row_id"])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, d2.size + 1, keep, dtype=np.int32)), pairs)], names=["row_id", "nn"])
 
-    return points.select("row_id", "x").mapInArrow(run, "row_id long, nn array<struct<d2:double,row_id:long>>")
+    tasks = min(2000, -(-len(ids) * len(ids) // PAIRS))
+    return points.select("row_id", "x").repartition(max(tasks, 1), "row_id").mapInArrow(run, "row_id long, nn array<struct<d2:double,row_id:long>>")

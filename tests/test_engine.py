@@ -242,7 +242,7 @@ def test_full_graph_by_jobs_equals_the_driver(spark, monkeypatch):
         dense[r["i"], r["j"]] = r["w"]
     assert np.allclose(near.values, np.linalg.eigvalsh(dense)[::-1][:5], atol=1e-9)
     with pytest.raises(FloatingPointError):
-        G.leading_pairs(lambda b: dense @ b, 60, 5, rounds=1, degree=2)
+        G.leading_pairs(lambda b: dense @ b, 60, 5, rounds=1, most=8)
     monkeypatch.setattr(G, "BLOCK", 59)
     with pytest.raises(ValueError):
         G.graph_base(df, 0.2, True)
@@ -258,3 +258,16 @@ def test_mini_batches_see_all_rows(spark):
     rows = A.PointRows.of(points(spark, X))
     drawn = [{tuple(r) for r in rows.part(step, 4, 0)} for step in range(40)]
     assert len(set().union(*drawn)) == 60 and len({frozenset(d) for d in drawn}) > 30 and 10 < np.mean([len(d) for d in drawn]) < 20
+
+
+def test_leading_pairs_with_repeated_and_close_eigenvalues():
+    from heatloom.operators.graph import leading_pairs
+
+    rng = np.random.default_rng(1)
+    basis = np.linalg.qr(rng.standard_normal((400, 400)))[0]
+    for values in (np.r_[np.ones(9), 1 - np.logspace(-3, -0.1, 391)], np.r_[1.0, 1 - np.linspace(0.01, 1.9, 399)]):
+        a = (basis * values) @ basis.T
+        for k in (3, 15):
+            found, vectors = leading_pairs(lambda b: a @ b, 400, k, tol=1e-6)  # noqa: B023
+            assert np.allclose(found, np.sort(values)[::-1][:k], atol=1e-8)
+            assert np.allclose(a @ vectors, vectors * found, atol=2e-6) and np.allclose(vectors.T @ vectors, np.eye(k), atol=1e-8)
