@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -43,11 +44,29 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri if re.match(r"^[a-z][a-z0-9+.-]*:", uri) else f"file://{uri}"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """``batches`` in slices of at most ``rows`` rows, so that few texts at once stand in a worker's memory as strings."""
+_kept: list = []
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, once for all tasks of a worker with the same ``key``; one thing is kept at a time."""
+    if not _kept or _kept[0] != key:
+        _kept[:] = [key, make()]
+    return _kept[1]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of at most ``rows`` rows, so that few texts at once stand in a worker's memory as strings.
+
+    What the worker keeps for tasks of another key than ``keep`` is let go of first, and unused buffers at the end.
+    """
+    if _kept and _kept[0] != keep:
+        _kept.clear()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the C library, where it has one
+        trim(0)
 
 
 def tasks_for(spark: SparkSession, work: int, per_task: int) -> int:

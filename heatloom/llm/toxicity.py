@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import slices, written
+from heatloom.llm.common import kept, slices, written
 from heatloom.llm.learning import Logistic, fit_logistic, held_out, labelled_sample
 
 #: Labelled documents that a model is fitted on at most.
@@ -224,14 +224,9 @@ class Scorer:
         return self.model.logistic.score(x)
 
 
-_last: list[Scorer] = []
-
-
 def scorer_of(model: Model) -> Scorer:
     """The worker's scorer for ``model``, with the words and states that its tasks before have met."""
-    if not _last or _last[0].model.key != model.key:
-        _last[:] = [Scorer(model)]
-    return _last[0]
+    return kept(model.key, lambda: Scorer(model))
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -295,14 +290,14 @@ def pick_lexicon(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     if not passed:
         return {}
     wanted = counts.sparkSession.createDataFrame(passed, "t long, c long")
-    kept = {r["term"]: (r["toxic"], r["clean"]) for r in tested.join(F.broadcast(wanted), (F.col("toxic") == F.col("t")) & (F.col("clean") == F.col("c"))).collect()}  # as many as the sample's counts
+    passing = {r["term"]: (r["toxic"], r["clean"]) for r in tested.join(F.broadcast(wanted), (F.col("toxic") == F.col("t")) & (F.col("clean") == F.col("c"))).collect()}  # as many as the sample's counts
     in_word: dict[str, int] = {}
-    for t, (used, _) in kept.items():
+    for t, (used, _) in passing.items():
         if not t.endswith(STEM):
             for k in STEMS:
                 in_word[t[:k]] = max(used, in_word.get(t[:k], 0))
     # a beginning counts if it says more than the words that have it
-    return {t: ratio(*c) for t, c in kept.items() if not (t.endswith(STEM) and 1.5 * in_word.get(t[:-1], 0) > c[0])}
+    return {t: ratio(*c) for t, c in passing.items() if not (t.endswith(STEM) and 1.5 * in_word.get(t[:-1], 0) > c[0])}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -337,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer_of(model)
-        for batch in slices(batches):
+        for batch in slices(batches, keep=model.key):
             x = [own.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -356,7 +351,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
-        for batch in slices(batches):
+        for batch in slices(batches, keep=model.key):
             scores = scorer.score([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -379,7 +374,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(model)
-        for batch in slices(batches):
+        for batch in slices(batches, keep=model.key):
             scores = scorer.score([t or "" for t in batch.column(where).to_pylist()])
             yield batch.filter(pa.array(scores < threshold))
 
