@@ -1,32 +1,16 @@
 """Every registered query with SQL gives the rows that DuckDB gives."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
-
-duckdb = pytest.importorskip("duckdb")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+from heatloom.plans.queries import ORACLE_SQL, QUERIES
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
-def test_matches_sql(spark, sf_dir, name):
-    if not os.path.isdir(sf_dir):
-        pytest.skip("no test tables")
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    want = con.execute(entry.oracle_sql()[name])
-    columns = sorted(c[0] for c in want.description)
-    place = {c[0]: i for i, c in enumerate(want.description)}
-    plain = lambda x: None if x is None or x != x else round(x, 6) + 0.0 if isinstance(x, float) else x
-    rows = sorted([tuple(plain(r[place[c]]) for c in columns) for r in want.fetchall()], key=repr)
-    got = entry.queries()[name](spark, sf_dir)
-    assert sorted(got.columns) == columns
-    assert sorted([tuple(plain(r[c]) for c in columns) for r in got.collect()], key=repr) == rows
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_matches_sql(matches_sql, name):
+    matches_sql(QUERIES[name], ORACLE_SQL[name])
 
 
 def test_names_and_entry(spark):
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
