@@ -17,7 +17,7 @@ from heatloom.operators.neighbors import nearest_points, point_matrix
 from heatloom.operators.nystrom import graph_spectrum
 from heatloom.operators.spectrum import Spectrum
 
-#: Points up to which all pairs are taken, and points of a full graph at most: its blocks of vectors are held on the driver.
+#: Points up to which all pairs are taken and matrices are decomposed whole, and points of a full graph at most: its blocks of vectors are held on the driver.
 WHOLE, BLOCK = 3000, 300_000
 #: Values of a basis of eigenvectors that is preferred at most (320 MB); 300,000 points take 160 columns, 430 MB.
 BASIS = 40_000_000
@@ -224,7 +224,10 @@ def graph_eigen(points: DataFrame, graph: Graph, a2: float, k: int) -> Spectrum:
         if walked.table is not None:
             walked = SparseRows(n, table=walked.table.persist())
         try:
-            values, vectors = leading_pairs(walked.times, n, min(k, n), graph.start)
+            if walked.local and n <= WHOLE:
+                values, vectors = top_eigen(walked.times(np.eye(n)), min(k, n))
+            else:
+                values, vectors = leading_pairs(walked.times, n, min(k, n), graph.start)
         finally:
             if walked.table is not None:
                 walked.table.unpersist()
