@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatloom.llm import chat, decontaminate, imatch, packing, quality, secrets, sharding, simhash, toxicity, warc
+from heatloom.llm import chat, decontaminate, divergence, imatch, packing, quality, secrets, sharding, simhash, suffix, toxicity, warc, whitening
 from heatloom.llm.common import table
 
 SHARDS = 8
@@ -108,6 +108,41 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.cut_repeats(table(spark, sf_dir, "documents"))
+    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
+    return cut.select("doc_id", "n_bytes", taken.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT row) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, (SELECT count(*) FROM k WHERE k.lang = l.lang)::HUGEINT AS v FROM (SELECT DISTINCT lang FROM g) l),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, (1 + 1000000000 * (coalesce(n, 0) + 2) // (s.total + 2 * v.v))::HUGEINT AS p
+  FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+q AS (SELECT lang, term, (1 + 1000000000 * (sum(n) + 2) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)))::HUGEINT AS q FROM c GROUP BY 1, 2),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term
+  WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT 'pair' AS part, * FROM pair UNION ALL SELECT 'term', * FROM term)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))  # null where 64 bits can't hold it
+
+
 #: XXH64 in SQL: fixed values, and arithmetic on UHUGEINT below two to the power of 64.
 P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
 WORD = 1 << 64
@@ -225,6 +260,6 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM q
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_imatch, op4_quality, op5_packing, op6_warc, op7_toxicity, op8_secrets, op9_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_imatch, op4_quality, op5_packing, op6_warc, op7_toxicity, op8_secrets, op9_simhash, op10_sharding, op11_suffix, op12_divergence, op13_whitening)}
 
-ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op3_imatch": OP3_SQL, "op6_warc": OP6_SQL, "op9_simhash": OP9_SQL, "op10_sharding": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op3_imatch": OP3_SQL, "op6_warc": OP6_SQL, "op9_simhash": OP9_SQL, "op10_sharding": OP10_SQL, "op12_divergence": OP12_SQL}
