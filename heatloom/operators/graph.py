@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.functions.dense import TINY, squared_distances, top_eigen
+from heatloom.functions.dense import TINY, squared_distances
 from heatloom.functions.arrow import lists, matrix
+from heatloom.operators.multilevel import leading_pairs
 from heatloom.operators.neighbors import nearest_points, point_matrix
 from heatloom.operators.nystrom import graph_spectrum
 from heatloom.operators.spectrum import Spectrum
 
-#: Points up to which all pairs are taken and matrices are decomposed whole, and points of a full graph at most: its blocks of vectors are held on the driver.
+#: Points up to which all pairs are taken, and points of a full graph at most: its blocks of vectors are held on the driver.
 WHOLE, BLOCK = 3000, 300_000
-#: Values of a basis of eigenvectors that is preferred at most (320 MB); 300,000 points take 160 columns, 430 MB.
-BASIS = 40_000_000
 #: Edges up to which products are computed on the driver (200 MB): jobs would cost more than the arithmetic.
 LOCAL_EDGES = 10_000_000
 
@@ -54,100 +56,120 @@ def walk(pairs: DataFrame, scale: float) -> DataFrame:
 
 @dataclass(frozen=True)
 class SparseRows:
-    """A symmetric sparse matrix by rows: on the driver (starts, columns, values) or as a table (ip, idx, w)."""
+    """A symmetric sparse matrix by rows, none of them empty: on the driver (starts, columns, values) or as a table (ip, idx, w)."""
 
     n: int
     local: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     table: DataFrame | None = None
 
-    def times(self, block: np.ndarray) -> np.ndarray:
-        """The product with ``block``, which has a row for each point."""
-        if self.local:
-            return _product(*self.local, block)
-        sent = self.table.sparkSession.sparkContext.broadcast(block)
+    def _tasks(self, schema: str, f: Callable, sent: object = None) -> pa.Table:
+        """Columns from the places, starts, columns and values of the rows of each batch of the table."""
+        broadcast = self.table.sparkSession.sparkContext.broadcast(sent)
+        names = [c.split()[0] for c in schema.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     idx, w = batch.column(1), batch.column(2)
                     starts = idx.offsets.to_numpy() - idx.offsets[0].as_py()
-                    got = _product(starts, idx.flatten().to_numpy(), w.flatten().to_numpy(), sent.value)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), lists(got)], names=["ip", "v"])
+                    out = f(batch.column(0).to_numpy(), starts, idx.flatten().to_numpy(), w.flatten().to_numpy(), broadcast.value)
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in out], names=names)
+
+        return self.table.mapInArrow(run, schema)
+
+    def _column(self, schema: str, f: Callable, fill: np.ndarray, sent: object = None) -> np.ndarray:
+        """``fill``, one number for each row, with what tasks find."""
+        got = self._tasks(schema, f, sent).toArrow().combine_chunks()
+        if got.num_rows:
+            fill[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        return fill
 
-        got = self.table.mapInArrow(run, "ip int, v array<double>").toArrow().combine_chunks()
-        sent.unpersist()
+    def times(self, block: np.ndarray) -> np.ndarray:
+        """The product with ``block``, which has a row for each point."""
+        if self.local:
+            return _product(*self.local, block, _threads())
+        got = self._tasks("ip int, v array<double>", lambda ip, s, c, w, b: [ip, lists(_product(s, c, w, b))], block).toArrow().combine_chunks()
         out = np.zeros_like(block)
         if got.num_rows:
             out[got.column(0).to_numpy()] = matrix(got.column(1).chunk(0), block.shape[1])
         return out
 
+    def diagonal(self) -> np.ndarray:
+        if self.local:
+            return _diagonal(np.arange(self.n), *self.local)
+        return self._column("ip int, d double", lambda ip, s, c, w, _: [ip, _diagonal(ip, s, c, w)], np.zeros(self.n))
+
+    def strongest(self, least: float) -> np.ndarray:
+        """Of each row the column of its largest entry beside the diagonal; the row itself where none is above ``least``."""
+        if self.local:
+            return _strongest(np.arange(self.n), *self.local, least)
+        return self._column("ip int, j int", lambda ip, s, c, w, _: [ip, _strongest(ip, s, c, w, least).astype(np.int32)], np.arange(self.n))
+
+    def contracted(self, label: np.ndarray, share: np.ndarray, m: int) -> SparseRows:
+        """P'WP for the matrix P of ``m`` columns that has ``share`` of each row in the column ``label``; by sums of tasks for a table."""
+
+        def sums(ip: np.ndarray, starts: np.ndarray, columns: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            owner = np.repeat(ip, np.diff(starts))
+            key = label[owner].astype(np.int64) * m + label[columns]
+            order = np.argsort(key, kind="stable")
+            key, w = key[order], (values * share[owner] * share[columns])[order]
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            return key[new], np.add.reduceat(w, new)
+
+        if self.local:
+            key, w = sums(np.arange(self.n), *self.local)
+            return SparseRows(m, (np.searchsorted(key // m, np.arange(m + 1)), key % m, w))
+        table = self._tasks("key long, w double", lambda ip, s, c, w, _: sums(ip, s, c, w)).groupBy("key").agg(F.sum("w").alias("w")).persist()
+        if table.count() <= LOCAL_EDGES:
+            got = table.orderBy("key").toArrow().combine_chunks()
+            table.unpersist()
+            key, w = got.column(0).chunk(0).to_numpy(), got.column(1).chunk(0).to_numpy()
+            return SparseRows(m, (np.searchsorted(key // m, np.arange(m + 1)), key % m, w))
+        entry = F.array_sort(F.collect_list(F.struct(F.pmod("key", F.lit(m)).cast("int").alias("idx"), "w")))
+        rows = table.groupBy(F.expr(f"cast(key div {m} as int)").alias("ip")).agg(entry.alias("e")).select("ip", F.col("e.idx").alias("idx"), F.col("e.w").alias("w"))
+        return SparseRows(m, table=rows.persist())
+
+
+@cache
+def _threads() -> ThreadPoolExecutor:
+    return ThreadPoolExecutor(min(8, os.cpu_count() or 1))
 
-def _product(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, block: np.ndarray) -> np.ndarray:
+
+def _product(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, block: np.ndarray, threads: ThreadPoolExecutor | None = None) -> np.ndarray:
     out = np.empty((len(starts) - 1, block.shape[1]))
-    for at in range(0, len(out), 1024):
-        cut = starts[at : at + 1025]
-        part = slice(cut[0], cut[-1])
-        out[at : at + 1024] = np.add.reduceat(values[part, None] * block[columns[part]], cut[:-1] - cut[0], axis=0)
+    step = max(1, 40_000 * len(out) // max(1, len(columns)))  # rows of some 40,000 entries, which stay in the cache
+
+    def part(at: int) -> None:
+        cut = starts[at : at + step + 1]
+        taken = np.take(block, columns[cut[0] : cut[-1]], axis=0)
+        taken *= values[cut[0] : cut[-1], None]
+        np.add.reduceat(taken, cut[:-1] - cut[0], axis=0, out=out[at : at + step])
+
+    list((threads.map if threads else map)(part, range(0, len(out), step)))
     return out
 
 
-def leading_pairs(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, start: np.ndarray | None = None, width: int = 4, most: int | None = None, rounds: int = 60, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` largest eigenpairs of a symmetric operator with eigenvalues in [-1, 1].
+def _diagonal(ip: np.ndarray, starts: np.ndarray, columns: np.ndarray, values: np.ndarray) -> np.ndarray:
+    owner = np.repeat(np.arange(len(ip)), np.diff(starts))
+    own = columns == ip[owner]
+    return np.bincount(owner[own], values[own], len(ip))
 
-    Block Lanczos with full orthogonalisation: a round grows a basis by products with ``width`` vectors up to ``most``
-    columns (160 to 600, as ``BASIS`` values allow) more than the pairs that it starts from, takes the best pairs in it, and
-    starts the next round from those. Once all residuals are
-    below ``tol``, a round from fresh random vectors looks for copies of repeated eigenvalues that the blocks so far have
-    missed; only if it finds none are the pairs final. An error is raised where that doesn't happen.
-    """
-    rng = np.random.default_rng(0)
-    most = most or max(160, min(600, BASIS // n))
-    if n <= k + 2 * width:
-        values, vectors = top_eigen(times(np.eye(n)), k)
-        return values, vectors
-    keep = min(n, k + max(width, k // 2))
-    basis = images = np.zeros((n, 0))
-    ahead, fresh = rng.standard_normal((n, width)), False
-    if start is not None and len(start) == n:
-        ahead = start @ rng.standard_normal((start.shape[1], width)) + 1e-2 * ahead
-    values, rest = np.full(k, -np.inf), np.inf
-    for _ in range(rounds):
-        full = min(n, basis.shape[1] + most)
-        room = np.empty((n, full))  # columns so far, and their products
-        product = np.empty((n, full))
-        size = basis.shape[1]
-        room[:, :size], product[:, :size] = basis, images
-        block = rng.standard_normal((n, width)) if fresh else ahead
-        while size < full:
-            for _ in range(2):
-                block = block - room[:, :size] @ (room[:, :size].T @ block)
-            block, scale = np.linalg.qr(block)
-            block = block[:, np.abs(np.diag(scale)) > 1e-10][:, : full - size]
-            if not block.shape[1]:
-                block = rng.standard_normal((n, width))
-                continue
-            grown = size + block.shape[1]
-            room[:, size:grown], product[:, size:grown] = block, times(block)
-            block = product[:, size:grown]
-            size = grown
-        for _ in range(2):  # a next round goes on from here: residuals lie in its span
-            block = block - room @ (room.T @ block)
-        ahead = block
-        before, was_fresh = values, fresh
-        found, inner = top_eigen(room.T @ product, min(keep, full))
-        basis, images, values = room @ inner, product @ inner, found[:k]
-        rest = float(np.linalg.norm(images[:, :k] - basis[:, :k] * values, axis=0).max())
-        if rest < tol and (full == n or was_fresh and np.abs(values - before).max() < tol):
-            return values, basis[:, :k]
-        fresh = rest < tol
-    raise FloatingPointError(f"eigenpairs of the full graph left a residual of {rest:.1e} after {rounds} rounds")
+
+def _strongest(ip: np.ndarray, starts: np.ndarray, columns: np.ndarray, values: np.ndarray, least: float) -> np.ndarray:
+    owner = np.repeat(np.arange(len(ip)), np.diff(starts))
+    w = np.where(columns == ip[owner], -1.0, values)
+    at = np.flatnonzero((w == np.maximum.reduceat(w, starts[:-1])[owner]) & (w > least))
+    rows, first = np.unique(owner[at], return_index=True)
+    out = np.array(ip)
+    out[rows] = columns[at[first]]
+    return out
 
 
 def subspace(w: DataFrame, ids: np.ndarray, k: int, **options) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` largest eigenpairs of the sparse symmetric matrix (i, j, w) with eigenvalues in [-1, 1]; rows of vectors follow ``ids``."""
     rows = by_rows(w, ids, ["w"]).persist()
     try:
-        return leading_pairs(SparseRows(len(ids), table=rows).times, len(ids), k, **options)
+        return leading_pairs(SparseRows(len(ids), table=rows), k, **options)
     finally:
         rows.unpersist()
 
@@ -224,10 +246,7 @@ def graph_eigen(points: DataFrame, graph: Graph, a2: float, k: int) -> Spectrum:
         if walked.table is not None:
             walked = SparseRows(n, table=walked.table.persist())
         try:
-            if walked.local and n <= WHOLE:
-                values, vectors = top_eigen(walked.times(np.eye(n)), min(k, n))
-            else:
-                values, vectors = leading_pairs(walked.times, n, min(k, n), graph.start)
+            values, vectors = leading_pairs(walked, min(k, n), root, graph.start)
         finally:
             if walked.table is not None:
                 walked.table.unpersist()

@@ -1,5 +1,7 @@
 """Operators and fits over DataFrames, against numpy and the published accuracy."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -241,8 +243,18 @@ def test_full_graph_by_jobs_equals_the_driver(spark, monkeypatch):
     for r in w.collect():
         dense[r["i"], r["j"]] = r["w"]
     assert np.allclose(near.values, np.linalg.eigvalsh(dense)[::-1][:5], atol=1e-9)
-    with pytest.raises(FloatingPointError):
-        G.leading_pairs(lambda b: dense @ b, 60, 5, rounds=1, most=8)
+    w = far_rows = G.SparseRows(60, table=G.by_rows(w.select("i", "j", "w"), np.arange(60), ["w"]).persist())
+    near_rows = whole_rows(dense)
+    label, share = np.arange(60) // 7, np.random.default_rng(2).random(60)
+    p = np.zeros((60, 9))
+    p[np.arange(60), label] = share
+    for rows in (far_rows, near_rows, G.SparseRows(60, table=far_rows.table)):
+        assert np.allclose(rows.diagonal(), np.diag(dense))
+        beside = dense - np.diag(np.diag(dense))
+        assert np.allclose(beside[np.arange(60), rows.strongest(0.0)], beside.max(1))
+        small = rows.contracted(label, share, 9)
+        assert np.allclose(small.times(np.eye(9)), p.T @ dense @ p)
+        monkeypatch.setattr(G, "LOCAL_EDGES", 10_000)  # a table whose contraction comes to the driver
     monkeypatch.setattr(G, "BLOCK", 59)
     with pytest.raises(ValueError):
         G.graph_base(df, 0.2, True)
@@ -260,14 +272,66 @@ def test_mini_batches_see_all_rows(spark):
     assert len(set().union(*drawn)) == 60 and len({frozenset(d) for d in drawn}) > 30 and 10 < np.mean([len(d) for d in drawn]) < 20
 
 
-def test_leading_pairs_with_repeated_and_close_eigenvalues():
-    from heatloom.operators.graph import leading_pairs
+def whole_rows(a):
+    """A dense matrix as sparse rows."""
+    from heatloom.operators.graph import SparseRows
+
+    n = len(a)
+    return SparseRows(n, (np.arange(0, n * n + 1, n), np.tile(np.arange(n), n), a.ravel()))
+
 
+def test_leading_pairs_with_repeated_and_close_eigenvalues(monkeypatch):
+    from heatloom.operators import multilevel
+
+    monkeypatch.setattr(multilevel, "COARSE", 40)
     rng = np.random.default_rng(1)
     basis = np.linalg.qr(rng.standard_normal((400, 400)))[0]
     for values in (np.r_[np.ones(9), 1 - np.logspace(-3, -0.1, 391)], np.r_[1.0, 1 - np.linspace(0.01, 1.9, 399)]):
         a = (basis * values) @ basis.T
         for k in (3, 15):
-            found, vectors = leading_pairs(lambda b: a @ b, 400, k, tol=1e-6)  # noqa: B023
+            found, vectors = multilevel.leading_pairs(whole_rows(a), k)
             assert np.allclose(found, np.sort(values)[::-1][:k], atol=1e-8)
             assert np.allclose(a @ vectors, vectors * found, atol=2e-6) and np.allclose(vectors.T @ vectors, np.eye(k), atol=1e-8)
+    with pytest.raises(FloatingPointError):
+        multilevel.leading_pairs(whole_rows(a), 15, rounds=2)
+
+
+def test_leading_pairs_of_nearly_disconnected_graphs():
+    """Clusters of many sizes, tied by weights down to nothing: eigenvalues as of the whole matrix, and contraction finds the components."""
+    from heatloom.operators import multilevel
+    from heatloom.operators.multilevel import leading_pairs, levels_of
+
+    rng = np.random.default_rng(3)
+    for between in (0.0, 1e-12, 1e-7, 1e-3):
+        owner = np.sort(rng.integers(0, 60, 900))
+        a = np.where(owner[:, None] == owner, rng.random((900, 900)) ** 4, between * rng.random((900, 900)))
+        a = a + a.T + np.diag(rng.random(900))
+        root = np.sqrt(a.sum(1))
+        w = a / root[:, None] / root
+        values, vectors = leading_pairs(whole_rows(w), 20, root)
+        assert np.allclose(values, np.linalg.eigvalsh(w)[::-1][:20], atol=1e-7)
+        assert np.abs(w @ vectors - vectors * values).max() < 1e-6
+        if not between:
+            label = np.arange(900)
+            old, multilevel.COARSE = multilevel.COARSE, 1
+            for level in levels_of(whole_rows(w), root)[:-1]:
+                label = level.label[label]
+            multilevel.COARSE = old
+            assert len(np.unique(label)) == len(np.unique(owner)) == len(set(zip(label.tolist(), owner.tolist(), strict=True)))
+
+
+def test_walk_of_documents_has_the_pairs_of_the_whole_matrix(spark):
+    """Default bandwidths on a thousand real documents, all of which go through the block search."""
+    from heatloom.operators import graph as G
+    from heatloom.plans.fit import BANDWIDTHS
+    from heatloom.sources.points import document_points
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    df = document_points(spark, "/root/testdata/sf0.01")
+    base = G.graph_base(df, 0.01, True)
+    assert len(base.ids) == 1000
+    for a2 in BANDWIDTHS[::3]:
+        walked, _ = base.scaled(a2 * base.mean)
+        got = G.graph_eigen(df, base, a2, 20)
+        assert np.allclose(got.values, np.linalg.eigvalsh(walked.times(np.eye(1000)))[::-1][:20], atol=1e-7)
