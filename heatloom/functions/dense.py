@@ -91,25 +91,48 @@ def local_weights(x: np.ndarray, anchors: np.ndarray, tol: float = 1e-5, steps:
 
 def minimize_log(f: Callable[[float], float], start: float, low: float, high: float = 1e8, rtol: float = 1e-4) -> tuple[float, float]:
     """A minimum of ``f`` over [low, high]: a coarse scan in the logarithm, then golden sections around its best point."""
+    return minimize_log_many(lambda xs: [f(x) for x in xs], start, low, high, rtol, 0)
+
+
+def minimize_log_many(f: Callable[[list[float]], list[float]], start: float, low: float, high: float = 1e8, rtol: float = 1e-4, ahead: int = 3) -> tuple[float, float]:
+    """``minimize_log`` for an ``f`` of several values at once, where a call is dear: the scan is one call, and each call
+    of the golden sections has all points that the next ``ahead`` steps can come to. The points taken are the same."""
+    ratio = (np.sqrt(5) - 1) / 2
+    known: dict[float, float] = {}
+
+    def evaluate(points: list[float]) -> None:
+        new = [g for g in dict.fromkeys(points) if g not in known]
+        if new:
+            known.update(zip(new, f([float(np.exp(g)) for g in new]), strict=True))
+
+    def inner(a: float, b: float) -> tuple[float, float]:
+        return b - ratio * (b - a), a + ratio * (b - a)
+
+    def reachable(a: float, b: float, c: float, d: float, steps: int) -> list[float]:
+        if steps < 0:
+            return []
+        return [c, d, *reachable(a, d, inner(a, d)[0], c, steps - 1), *reachable(c, b, d, inner(c, b)[1], steps - 1)]
+
     grid = np.unique(np.r_[np.log(start), np.linspace(np.log(low), np.log(high), 28)])
-    values = [f(float(np.exp(g))) for g in grid]
+    evaluate(grid.tolist())
+    values = [known[g] for g in grid.tolist()]
     if not np.isfinite(values).any():
         raise FloatingPointError("the objective is nowhere finite")
     best = int(np.nanargmin(np.where(np.isfinite(values), values, np.inf)))
-    a, b = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-    ratio = (np.sqrt(5) - 1) / 2
-    c, d = b - ratio * (b - a), a + ratio * (b - a)
-    fc, fd = f(float(np.exp(c))), f(float(np.exp(d)))
-    while b - a > rtol:
-        if fc <= fd:
-            b, d, fd = d, c, fc
-            c = b - ratio * (b - a)
-            fc = f(float(np.exp(c)))
+    a, b = float(grid[max(best - 1, 0)]), float(grid[min(best + 1, len(grid) - 1)])
+    c, d = inner(a, b)
+    while True:
+        if c not in known or d not in known:
+            evaluate(reachable(a, b, c, d, ahead) if b - a > rtol else [c, d])
+        if b - a <= rtol:
+            break
+        if known[c] <= known[d]:
+            b, d = d, c
+            c = inner(a, b)[0]
         else:
-            a, c, fc = c, d, fd
-            d = a + ratio * (b - a)
-            fd = f(float(np.exp(d)))
-    options = [(values[best], grid[best]), (fc, c), (fd, d)]
+            a, c = c, d
+            d = inner(a, b)[1]
+    options = [(values[best], float(grid[best])), (known[c], c), (known[d], d)]
     value, at = min(options, key=lambda o: o[0] if np.isfinite(o[0]) else np.inf)
     return float(np.exp(at)), float(value)
 

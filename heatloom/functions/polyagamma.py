@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import Protocol
 
 import numpy as np
 
@@ -10,6 +11,66 @@ import numpy as np
 CUT = 0.64
 
 
+class Source(Protocol):
+    """Random numbers for some places of an array, each place at most once a call."""
+
+    def uniform(self, at: np.ndarray) -> np.ndarray: ...
+
+    def exponential(self, at: np.ndarray) -> np.ndarray: ...
+
+    def wald(self, at: np.ndarray, mean: np.ndarray) -> np.ndarray: ...
+
+
+class Sequence:
+    """Numbers in the order in which they are asked for."""
+
+    def __init__(self, rng: np.random.Generator):
+        self.rng = rng
+
+    def uniform(self, at: np.ndarray) -> np.ndarray:
+        return self.rng.uniform(size=len(at))
+
+    def exponential(self, at: np.ndarray) -> np.ndarray:
+        return self.rng.exponential(size=len(at))
+
+    def wald(self, at: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        return self.rng.wald(mean, 1.0)
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that leaves no pattern (the finaliser of SplitMix64; its constants are fixed values)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Keyed:
+    """A stream for each place by (seed, its key, a step): the n-th number of a place depends on nothing else."""
+
+    def __init__(self, seed: int, keys: np.ndarray, step: int, copy: np.ndarray | int = 0):
+        base = _scrambled(np.uint64(seed % (1 << 64)) + np.asarray(keys).astype(np.int64).view(np.uint64))
+        base = _scrambled(base + np.uint64(step) + (np.asarray(copy).astype(np.uint64) << np.uint64(32)))
+        self.base, self.used = base, np.zeros(len(base), np.uint64)
+
+    def uniform(self, at: np.ndarray) -> np.ndarray:
+        self.used[at] += np.uint64(1)
+        x = _scrambled(self.base[at] + self.used[at] * np.uint64(0x9E3779B97F4A7C15))
+        return ((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+    def exponential(self, at: np.ndarray) -> np.ndarray:
+        return -np.log(self.uniform(at))
+
+    def normal(self, at: np.ndarray) -> np.ndarray:
+        return np.sqrt(-2 * np.log(self.uniform(at))) * np.cos(2 * np.pi * self.uniform(at))
+
+    def wald(self, at: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        """Inverse Gaussian draws of shape 1: a root of a chi-square draw, or its reflection."""
+        c = mean * self.normal(at) ** 2
+        x = mean + mean * c / 2 - mean / 2 * np.sqrt(4 * c + c * c)
+        x = np.maximum(x, 1e-300)
+        return np.where(self.uniform(at) <= mean / (mean + x), x, mean * mean / x)
+
+
 def _normal_cdf(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.vectorize(math.erf)(x / math.sqrt(2)))
 
@@ -21,8 +82,8 @@ def _term(n: int, x: np.ndarray) -> np.ndarray:
     return np.pi * k * np.where(x <= CUT, small, np.exp(-k * k * np.pi**2 * x / 2))
 
 
-def _inverse_gaussian(mean_inverse: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Draws of mean 1 / ``mean_inverse`` and shape 1, kept below the cut."""
+def _inverse_gaussian(mean_inverse: np.ndarray, rng: Source, places: np.ndarray) -> np.ndarray:
+    """Draws of mean 1 / ``mean_inverse`` and shape 1, kept below the cut, with the numbers of ``places``."""
     out = np.empty(len(mean_inverse))
     todo = np.arange(len(out))
     while len(todo):
@@ -31,23 +92,24 @@ def _inverse_gaussian(mean_inverse: np.ndarray, rng: np.random.Generator) -> np.
         x = np.empty(len(todo))
         ok = np.ones(len(todo), bool)
         if wide.any():  # a truncated chi-square piece, thinned
-            n = int(wide.sum())
-            e1, e2 = rng.exponential(size=n), rng.exponential(size=n)
+            own = places[todo[wide]]
+            e1, e2 = rng.exponential(own), rng.exponential(own)
             good = e1 * e1 <= 2 * e2 / CUT
             draw = CUT / (1 + CUT * e1) ** 2
             x[wide] = draw
-            ok[wide] = good & (rng.uniform(size=n) <= np.exp(-0.5 * z[wide] ** 2 * draw))
+            ok[wide] = good & (rng.uniform(own) <= np.exp(-0.5 * z[wide] ** 2 * draw))
         if (~wide).any():
             mu = 1 / z[~wide]
-            x[~wide] = rng.wald(mu, 1.0)
+            x[~wide] = rng.wald(places[todo[~wide]], mu)
             ok[~wide] = x[~wide] <= CUT
         out[todo[ok]] = x[ok]
         todo = todo[~ok]
     return out
 
 
-def draw_one(z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def draw_one(z: np.ndarray, rng: np.random.Generator | Source) -> np.ndarray:
     """A PG(1, z) draw for each entry of ``z``."""
+    rng = Sequence(rng) if isinstance(rng, np.random.Generator) else rng
     z = np.abs(np.asarray(z, float)) / 2
     rate = np.pi**2 / 8 + z * z / 2
     right = np.pi / (2 * rate) * np.exp(-rate * CUT)
@@ -58,12 +120,12 @@ def draw_one(z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     out = np.empty(len(z))
     todo = np.arange(len(z))
     while len(todo):
-        tail = rng.uniform(size=len(todo)) < right[todo] / (right[todo] + left[todo])
+        tail = rng.uniform(todo) < right[todo] / (right[todo] + left[todo])
         x = np.empty(len(todo))
-        x[tail] = CUT + rng.exponential(size=int(tail.sum())) / rate[todo[tail]]
-        x[~tail] = _inverse_gaussian(z[todo[~tail]], rng)
+        x[tail] = CUT + rng.exponential(todo[tail]) / rate[todo[tail]]
+        x[~tail] = _inverse_gaussian(z[todo[~tail]], rng, todo[~tail])
         total = _term(0, x)
-        y = rng.uniform(size=len(todo)) * total
+        y = rng.uniform(todo) * total
         state, n = np.zeros(len(todo), int), 0  # 1 taken, -1 refused
         while (state == 0).any():
             n += 1
@@ -79,7 +141,7 @@ def draw_one(z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def draw(n: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def draw(n: np.ndarray, z: np.ndarray, rng: np.random.Generator | Source) -> np.ndarray:
     """A PG(n, z) draw for each entry, ``n`` positive integers: sums of PG(1, z) draws."""
     n = np.asarray(n).astype(int)
     owner = np.repeat(np.arange(len(n)), n)

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions import gp
-from heatloom.functions.arrow import matrix, sum_arrays
+from heatloom.functions.arrow import lists, matrix, sum_arrays
 from heatloom.functions.rbf import RbfFit, fit_rbf
 from heatloom.operators.anchors import subsample
 from heatloom.operators.graph import graph_base, graph_eigen
+from heatloom.operators.latent import TrainingRows
 from heatloom.operators.neighbors import nearest_anchors
 from heatloom.operators.nystrom import Nystrom
 from heatloom.operators.spectrum import LOCAL_VALUES, LocalWeights, Spectrum, heat_kernel, spectrum_from_weights
@@ -28,8 +29,9 @@ from heatloom.operators.weights import NORMS, cross_similarity_lae, cross_simila
 from heatloom.plans.tasks import run_tasks
 from heatloom.sources.points import check_points
 
-#: Training rows by eigenpairs that classification and per-point noise keep on the driver.
-MAX_TRAIN_VALUES = 50_000_000
+#: Training rows by eigenpairs up to which classification takes them to the driver (160 MB), where jobs would cost more than
+#: the arithmetic; beyond, they stay in the tasks. A noise for each row and the kernel seen through anchors have no other form.
+MAX_TRAIN_VALUES = 20_000_000
 #: Bandwidths that are tried by default, and how many at once.
 BANDWIDTHS, AT_ONCE = tuple(float(v) for v in np.exp(np.linspace(math.log(0.1), math.log(10), 10))), 4
 
@@ -178,12 +180,16 @@ def best_of(found: Candidates, fit: Callable[[Spectrum], object], objective: Cal
 
 def training_labels(points: DataFrame, columns: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """ids (ascending) and label columns of the training rows."""
-    rows = sorted(points.where("is_train").select("row_id", *columns).collect(), key=lambda r: r["row_id"])
-    if not rows:
+    wide = {c for c, kind in points.dtypes if kind.startswith("array")}
+    got = points.where("is_train").select("row_id", *columns).toArrow().combine_chunks()
+    if not got.num_rows:
         raise ValueError("there are no training rows")
-    if any(r[c] is None for r in rows for c in columns):
+    if any(got.column(c).null_count for c in columns):
         raise ValueError("training rows must have labels")
-    return np.array([r["row_id"] for r in rows]), {c: np.array([r[c] for r in rows], float) for c in columns}
+    ids = got.column(0).chunk(0).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    read = lambda c: matrix(got.column(c).chunk(0), len(got.column(c)[0])) if c in wide else got.column(c).chunk(0).to_numpy(zero_copy_only=False).astype(float)
+    return ids[order], {c: read(c)[order] for c in columns}
 
 
 def training_vectors(points: DataFrame, spectrum: Spectrum, ids: np.ndarray) -> np.ndarray:
@@ -192,8 +198,29 @@ def training_vectors(points: DataFrame, spectrum: Spectrum, ids: np.ndarray) ->
         raise ValueError(f"{len(ids)} training rows by {len(spectrum.values)} eigenpairs don't fit the driver; take fewer of either")
     if spectrum.local:
         return spectrum.local[1][np.searchsorted(spectrum.local[0], ids)]
-    rows = spectrum.vectors.join(points.where("is_train").select("row_id"), "row_id", "left_semi").collect()
-    return np.array([r["v"] for r in sorted(rows, key=lambda r: r["row_id"])])
+    got = spectrum.vectors.join(points.where("is_train").select("row_id"), "row_id", "left_semi").select("row_id", "v").toArrow().combine_chunks()
+    return matrix(got.column(1).chunk(0), len(spectrum.values))[np.argsort(got.column(0).chunk(0).to_numpy(), kind="stable")]
+
+
+def training_rows(points: DataFrame, spectrum: Spectrum, of_class: int | None = None) -> TrainingRows:
+    """The training rows' vectors and labels, left in the tasks."""
+    vectors = spectrum.vectors
+    if vectors is None:
+        ids, v = spectrum.local
+        vectors = points.sparkSession.createDataFrame(pa.table({"row_id": pa.array(ids, pa.int64()), "v": lists(v)}))
+    return TrainingRows(points, vectors, len(spectrum.values), of_class)
+
+
+def stay_in_tasks(points: DataFrame, pairs: int, low: float, high: str) -> tuple[bool, float]:
+    """Whether training rows by ``pairs`` are too many for the driver, and the largest label; labels outside ``low`` and ``high`` raise."""
+    y = F.col("y").cast("double")
+    wrong = y.isNull() | F.isnan(y) | (y < low) | (y > F.expr(high))
+    got = points.where("is_train").agg(F.count("*").alias("n"), F.sum(wrong.cast("long")).alias("wrong"), F.max(y).alias("most")).first()
+    if not got["n"]:
+        raise ValueError("there are no training rows")
+    if got["wrong"]:
+        raise ValueError("training rows must have labels, from 0 to the number of trials or classes")
+    return got["n"] * pairs > MAX_TRAIN_VALUES, got["most"]
 
 
 def moments(points: DataFrame, spectrum: Spectrum, known: Callable[[], tuple]) -> gp.Moments:
@@ -279,10 +306,11 @@ def fit_logit(points: DataFrame, method: str = "lae", s: int | None = None, r: i
     found = candidates(points, method, s, r, _rank(method, s, k), a2s, models, nstart, threshold, sparse, seed)
     columns = ["y", "n_trials"] if "n_trials" in points.columns else ["y"]
 
+    far, _ = stay_in_tasks(points, _rank(method, s, k), 0, "n_trials" if len(columns) > 1 else "1")
+    if far:
+        return _logit_in_tasks(points, found, sigma, approach, sweeps, seed, average)
     ids, labels = training_labels(points, columns)
     y, trials = labels["y"], labels.get("n_trials", np.ones(len(ids)))
-    if ((y < 0) | (y > trials)).any():
-        raise ValueError("labels must lie between 0 and the number of trials")
 
     def one(spec: Spectrum) -> tuple[float, float]:
         return gp.best_time(training_vectors(points, spec, ids), spec.values, y, trials, sigma, approach)
@@ -302,6 +330,29 @@ def fit_logit(points: DataFrame, method: str = "lae", s: int | None = None, r: i
     return Fit({"t": best.t, "a2": a2, "sigma": sigma, "objective": best.objective}, spec, out, points, sigma, found.held)
 
 
+def _logit_in_tasks(points: DataFrame, found: Candidates, sigma: float, approach: str, sweeps: int, seed: int, average: bool) -> Fit:
+    """``fit_logit`` of training rows that stay in the tasks, by sums over them."""
+
+    def one(spec: Spectrum) -> tuple[float, float]:
+        rows = training_rows(points, spec)
+        try:
+            return rows.best_time(spec.values, sigma, approach)
+        finally:
+            rows.release()
+
+    found.at_once = 1
+    a2, _ = best_of(found, one, lambda b: b[-1])
+    spec = found.whole(a2)
+    rows = training_rows(points, spec)
+    best, own = rows.fit(spec.values, sigma, approach, sweeps, seed, average=average)
+    rows.release()
+    predicted = project(spec.vectors, "latent double, mean double, var double", lambda _, x: [x @ best.label, x @ best.mean, quadratic(x, best.spread) + sigma])
+    latent = F.col("latent") + sigma * F.coalesce("own", F.lit(0.0))
+    out = predicted.join(points.select("row_id", "is_train"), "row_id").join(own, "row_id", "left").withColumn("pi", 0.5 * (1 + F.tanh(0.5 * latent)))
+    out = out.select("row_id", "is_train", (F.col("pi") > 0.5).cast("double").alias("y_pred"), "pi", "mean", "var")
+    return Fit({"t": best.t, "a2": a2, "sigma": sigma, "objective": best.objective}, spec, out, points, sigma, found.held)
+
+
 def fit_multinomial(points: DataFrame, method: str = "lae", s: int | None = None, r: int = 3, k: int = -1, sigma: float = 1e-3, a2s=None, approach: str = "posterior", models: ModelSpec = ModelSpec(), threshold: float = 0.01, sparse: bool = True, nstart: int = 1, seed: int = 0, sweeps: int = 100) -> Fit:  # noqa: B008
     """One-versus-rest classification of labels 0 to J - 1: row_id, is_train, y_pred, pi, mean, var (arrays by class).
 
@@ -312,20 +363,35 @@ def fit_multinomial(points: DataFrame, method: str = "lae", s: int | None = None
     spark = points.sparkSession
     found = candidates(points, method, s, r, _rank(method, s, k), a2s, models, nstart, threshold, sparse, seed)
 
-    ids, labels = training_labels(points, ["y"])
-    y, ones = labels["y"].astype(int), np.ones(len(ids))
-    if (y < 0).any() or (y != labels["y"]).any():
-        raise ValueError("labels must be integers from 0")
-    targets = [(y == j).astype(float) for j in range(y.max() + 1)]
+    far, most = stay_in_tasks(points, _rank(method, s, k), 0, "floor(y)")
+    classes = int(most) + 1
+    if far:  # class by class, by sums over tasks
+        found.at_once = 1
+
+        def each(spec: Spectrum, f: Callable[[TrainingRows], object]) -> list:
+            out = []
+            for j in range(classes):
+                rows = training_rows(points, spec, j)
+                out.append(f(rows))
+                rows.release()
+            return out
+
+        a2, objective = best_of(found, lambda spec: sum(o for _, o in each(spec, lambda rows: rows.best_time(spec.values, sigma, approach))), lambda o: o)
+        spec = found.whole(a2)
+        fits = each(spec, lambda rows: rows.fit(spec.values, sigma, approach, sweeps, seed, ridge_in_posterior=False)[0])
+    else:
+        ids, labels = training_labels(points, ["y"])
+        y, ones = labels["y"].astype(int), np.ones(len(ids))
+        targets = [(y == j).astype(float) for j in range(classes)]
 
-    def one(spec: Spectrum) -> float:
-        v, values = training_vectors(points, spec, ids), spec.values
-        return sum(o for _, o in run_tasks(spark, lambda t: gp.best_time(v, values, t, ones, sigma, approach), targets))
+        def one(spec: Spectrum) -> float:
+            v, values = training_vectors(points, spec, ids), spec.values
+            return sum(o for _, o in run_tasks(spark, lambda t: gp.best_time(v, values, t, ones, sigma, approach), targets))
 
-    a2, objective = best_of(found, one, lambda o: o)
-    spec = found.whole(a2)
-    v, values = training_vectors(points, spec, ids), spec.values
-    fits = run_tasks(spark, lambda t: gp.fit_logit(v, values, t, ones, sigma, approach, sweeps, seed, ridge_in_posterior=False, ridge_in_labels=False), targets)
+        a2, objective = best_of(found, one, lambda o: o)
+        spec = found.whole(a2)
+        v, values = training_vectors(points, spec, ids), spec.values
+        fits = run_tasks(spark, lambda t: gp.fit_logit(v, values, t, ones, sigma, approach, sweeps, seed, ridge_in_posterior=False, ridge_in_labels=False), targets)
     label, mean = np.stack([f.label for f in fits], 1), np.stack([f.mean for f in fits], 1)
 
     def predict(_: np.ndarray, x: np.ndarray) -> list:
