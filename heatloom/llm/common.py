@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, keep: str | None
         trim(0)
 
 
+#: Partitions that work is dealt to at most; tasks read their rows in slices and take more of them beyond.
+MOST_TASKS = 20_000
+
+
 def tasks_for(spark: SparkSession, work: int, per_task: int) -> int:
     """Partitions for ``work`` units, ``per_task`` each, as many as a shuffle has at least: adaptive execution looks at bytes alone."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-work // per_task))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(-(-work // per_task), MOST_TASKS))
+
+
+#: Rows that are sent to all tasks at most (some tens of MB); larger tables are joined by a shuffle.
+SENT_ROWS = 500_000
+
+
+def sent(few: DataFrame, rows: int) -> DataFrame:
+    """``few``, of ``rows`` rows by count, with a broadcast hint if that many may be sent to all tasks."""
+    return F.broadcast(few) if rows <= SENT_ROWS else few

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heatloom.llm.common import slices, written
+from heatloom.llm.common import sent, slices, written
 from heatloom.llm.simhash import CELL, SEED, Part, by_group, drop_repeats, in_cells, numbered, star_components, trie_components, whole_groups
 
 #: Words of 64 bits of a fingerprint, and how many of them are compared as a whole.
@@ -21,8 +22,8 @@ WORDS, CHECKED = 8, 4
 WINDOWS, REACH = 2 * WORDS, 0.98
 #: Standard deviations above the expected number of differing bits up to which a pair's sets are compared.
 DEVIATIONS = 3.7
-#: Shingles that are mixed at once, and texts of a group whose sets a task holds at once.
-CHUNK, SETS = 4096, 2048
+#: Shingles that are mixed at once, and texts and shingles (32 MB) of a group whose sets a task holds at once.
+CHUNK, SETS, SHINGLES = 4096, 2048, 1 << 22
 
 _rng = np.random.default_rng(SEED)
 _FLIP = _rng.integers(0, 1 << 64, WORDS, np.uint64)
@@ -72,6 +73,22 @@ def window_shape(rows: int, least: float) -> tuple[int, int]:
     return bits, budget
 
 
+def agreeing_blocks(rows: int, bits: int, budget: int) -> list[list[tuple[int, int]]]:
+    """Sets of bit ranges of a window, of which some set has no differing bit in any pair within ``budget``: they deal the rows.
+
+    A window is cut into budget + extra blocks, some ``extra`` of which must agree. More of them make smaller groups at more
+    copies of a row; groups beyond ``CELL`` cost copies too. The number of least copies is taken, by calculation.
+    """
+
+    def copies(extra: int) -> float:
+        group = rows / 2 ** (bits * extra // (budget + extra))
+        return math.comb(budget + extra, extra) * max(1, math.ceil(2 * group / CELL) if group > CELL else 1)
+
+    extra = min(range(1, 7), key=copies)
+    cuts = [bits * i // (budget + extra) for i in range(budget + extra + 1)]
+    return [list(c) for c in combinations(list(zip(cuts, cuts[1:], strict=False)), extra)]
+
+
 def whole_budget(least: float) -> int:
     n, p = 64 * CHECKED, differing(least)
     return math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
@@ -82,7 +99,7 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """doc_id, node (equal for equal shingle sets), words (whether there are any) and the fingerprint's words of every row, from whole texts."""
+    """doc_id, node (equal for equal shingle sets), size (of the set) and the fingerprint's words of every row, from whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -90,32 +107,31 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text, k)
                 nodes.append(_node(hashes))
-                full.append(len(hashes) > 0)
+                full.append(len(hashes))
                 fps.append(wide_fingerprint(hashes))
             columns = np.stack(fps)[1:].view(np.int64)
-            arrays = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(full, pa.bool_()), *[pa.array(columns[:, i].copy()) for i in range(WORDS)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "words", *_FPS])
+            arrays = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(full, pa.int64()), *[pa.array(columns[:, i].copy()) for i in range(WORDS)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "node", "size", *_FPS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, words boolean, " + ", ".join(f"{f} long" for f in _FPS))
+    return rows.mapInArrow(run, "doc_id long, node long, size long, " + ", ".join(f"{f} long" for f in _FPS))
 
 
 def loose_edges(nodes: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) that connect all nodes whose fingerprints some window's trie finds within the budgets: of each trie a forest.
 
-    A window's trie lets ``window_shape`` bits differ, one of so many blocks and one more must agree and
-    deals the rows; below the window the walk goes on through the checked words, with their own budget.
+    A window's trie lets ``window_shape`` bits differ; the blocks of it that must agree (``agreeing_blocks``) deal the rows; below the window the walk goes on through the checked words, with their own budget.
     """
     n = nodes.count()
     bits, budget = window_shape(n, least)
-    cuts = [bits * i // (budget + 1) for i in range(budget + 2)]
+    blocks = agreeing_blocks(n, bits, budget)
     slots = []
     for t in range(WINDOWS):
         word = F.col(_FPS[t // 2])
         window = F.shiftrightunsigned(F.shiftleft(word, 32) if t % 2 else word, 64 - bits)
-        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            value = F.shiftrightunsigned(window, lo).bitwiseAND(F.lit((1 << hi - lo) - 1).cast("long"))
-            slots.append(F.struct((F.lit((t * (budget + 1) + b) << 40).cast("long") + value).alias("slot"), window.alias("win")))
+        for b, ranges in enumerate(blocks):
+            mask = sum((1 << hi) - (1 << lo) for lo, hi in ranges)
+            slots.append(F.struct((F.lit((t * len(blocks) + b) << 32).cast("long") + window.bitwiseAND(F.lit(mask).cast("long"))).alias("slot"), window.alias("win")))
     checked = _FPS[:CHECKED]
     keys = nodes.select(F.explode(F.array(*slots)).alias("k"), "node", *checked).select("k.slot", "k.win", "node", *checked)
     keys = in_cells(keys, ["slot"], "node", CELL).select("slot", F.col("cell").cast("long"), "win", "node", *checked)
@@ -239,31 +255,33 @@ def with_labels(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def links_of(loose: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links that connect all similar nodes of each loose component; ``loose`` is (node, root), ``sets`` adds the fingerprint and shingles.
+    """Links that connect all similar nodes of each loose component; ``loose`` is (node, root, size), ``sets`` adds the fingerprint and shingles.
 
-    A component of up to ``SETS`` nodes is settled in a task. A larger one is cut into chunks, which are settled each;
+    A component of up to ``SETS`` nodes and ``SHINGLES`` shingles is settled in a task. A larger one is cut into chunks of at most about so many, which are settled each;
     then some nodes of each of the chunks' large groups are brought together, so that the groups join; and
     last all nodes outside the component's largest group meet all nodes, chunk by chunk. Two nodes that no link
     connects before the last step meet in it, so the result is the same as for one chunk.
     """
     n = loose.count()
-    size = loose.groupBy("root").agg(F.ceil(F.count("*") / SETS).cast("int").alias("chunks"))
-    large = written(size.where("chunks > 1").select(F.col("root").alias("__of"), "chunks"))
-    some = not large.isEmpty()  # at most the number of nodes divided by SETS
+    weight = F.greatest(F.lit(1 / SETS), F.col("size") / SHINGLES)
+    large = loose.groupBy("root").agg(F.ceil(F.sum(weight)).cast("int").alias("chunks")).where("chunks > 1").select(F.col("root").alias("__of"), "chunks")
+    some = not large.isEmpty()
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("long")
     if some:
-        first = sets.join(F.broadcast(large), F.col("root") == F.col("__of"), "left").withColumn("cell", F.coalesce(chunk, F.lit(0).cast("long"))).drop("__of", "chunks")
+        large = written(large)
+        roots = large.count()
+        first = sets.join(sent(large, roots), F.col("root") == F.col("__of"), "left").withColumn("cell", F.coalesce(chunk, F.lit(0).cast("long"))).drop("__of", "chunks")
     else:
         first = sets.withColumn("cell", F.lit(0).cast("long"))
     links = written(settled(first.withColumn("label", F.col("node")), n, least))
     if not some:
         return links
-    hot = written(sets.join(F.broadcast(large), F.col("root") == F.col("__of")).drop("__of"))
-    own = written(with_labels(hot.select("node", "root", "chunks").distinct(), links))
+    hot = written(sets.join(sent(large, roots), F.col("root") == F.col("__of")).drop("__of"))
+    own = written(with_labels(hot.select("node", "root", "chunks", "size").distinct(), links))
 
     def meet(cells: DataFrame) -> DataFrame:
         """Links among cells (node, label, root, cell)."""
-        rows = hot.drop("root", "chunks").join(cells, "node")
+        rows = hot.drop("root", "chunks", "size").join(cells, "node")
         return settled(rows, cells.count(), least)
 
     rank = F.row_number().over(Window.partitionBy("root", "label").orderBy(F.xxhash64("node", F.lit(1)), "node"))
@@ -273,10 +291,10 @@ def links_of(loose: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     own = written(with_labels(own.drop("label"), links))
     count = own.groupBy("root", "label").count()
     largest = count.groupBy("root").agg(F.max_by("label", F.struct("count", "label")).alias("largest")).select(F.col("root").alias("__of"), "largest")
-    marked = own.join(F.broadcast(largest), F.col("root") == F.col("__of")).drop("__of")  # a row for each large component
+    marked = own.join(sent(largest, roots), F.col("root") == F.col("__of")).drop("__of")  # a row for each large component
     outside = marked.where("label <> largest")
-    parts = outside.groupBy("root").agg(F.ceil(F.count("*") / SETS).cast("long").alias("parts")).select(F.col("root").alias("__of"), "parts")
-    marked = written(marked.join(F.broadcast(parts), F.col("root") == F.col("__of")).drop("__of"))
+    parts = outside.groupBy("root").agg(F.ceil(F.sum(weight)).cast("long").alias("parts")).select(F.col("root").alias("__of"), "parts")
+    marked = written(marked.join(sent(parts, roots), F.col("root") == F.col("__of")).drop("__of"))
     inside = marked.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p * F.col("chunks") + chunk)))
     part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))
     around = marked.where("label <> largest").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1), lambda c: part * F.col("chunks") + c)))
@@ -292,10 +310,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a Hamming budget that similar sets keep; inside the components that this gives, whole shingle sets decide.
     """
     rows = written(signatures(docs, id_col, text_col, k))
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("words").alias("words"), *[F.first(f).alias(f) for f in _FPS]))
-    found = star_components(written(loose_edges(nodes.where("words"), least)))
-    loose = written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
-    wanted = nodes.join(loose, "node").select("node", "root", "low", *_FPS[:CHECKED])
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("size").alias("size"), *[F.first(f).alias(f) for f in _FPS]))
+    found = star_components(written(loose_edges(nodes.where("size > 0"), least)))
+    loose = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    loose = written(nodes.select("node", "low", "size", *_FPS[:CHECKED]).join(loose, "node"))
+    wanted = loose.select("node", "root", "low", "size", *_FPS[:CHECKED])
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("low"))).drop("__id", "low")
     sets = written(shingle_sets(texts, k))
     joined = with_labels(nodes.select("node", "low"), links_of(loose, sets, least))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import slices, tasks_for, written
+from heatloom.llm.common import sent, slices, tasks_for, written
 
 SEED = 42
 #: Rows, and pairs of trie nodes, that are held at once.
@@ -169,17 +169,17 @@ def in_cells(keys: DataFrame, group: list[str], member: str, most: int) -> DataF
     """``keys`` with a column cell, such that any two rows of a group meet in one cell of at most about ``most`` rows.
 
     A group beyond ``most`` rows is cut into chunks by a hash of ``member``, and each pair of chunks is a cell; rows are
-    copied for as many cells as there are chunks. Groups that large are found by their counts; there are
-    at most rows / ``most`` of them, which is what the join sends to the tasks.
+    copied for as many cells as there are chunks. Groups that large are found by their counts.
     """
     hot = keys.groupBy(*group).agg(F.ceil(F.count("*") * 2 / most).cast("int").alias("chunks")).where("chunks > 2")
-    hot = written(hot.select(*[F.col(c).alias(f"__{c}") for c in group], "chunks"))
+    hot = hot.select(*[F.col(c).alias(f"__{c}") for c in group], "chunks")
     if hot.isEmpty():
         return keys.withColumn("cell", F.lit(0))
+    hot = written(hot)
     same = reduce(Column.__and__, [F.col(c) == F.col(f"__{c}") for c in group])
     chunk, chunks = F.pmod(F.xxhash64(member), F.col("chunks")).cast("int"), F.col("chunks")
     cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(j, chunk) * chunks + F.greatest(j, chunk))
-    return keys.join(F.broadcast(hot), same, "left").withColumn("cell", F.explode(F.when(chunks.isNotNull(), cells).otherwise(F.array(F.lit(0))))).select(*keys.columns, "cell")
+    return keys.join(sent(hot, hot.count()), same, "left").withColumn("cell", F.explode(F.when(chunks.isNotNull(), cells).otherwise(F.array(F.lit(0))))).select(*keys.columns, "cell")
 
 
 def by_group(keys: DataFrame, group: list[str], rows: int, per_task: int = TASK_ROWS) -> DataFrame:
@@ -240,10 +240,10 @@ def trie_edges(distinct: DataFrame, budget: int) -> DataFrame:
     return by_group(keys.select(*[F.col(c).cast("long") for c in group], "fp"), group, n * len(masks)).mapInArrow(run, "a long, b long")
 
 
-def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), by alternating large-star and small-star rounds.
 
-    Each round ends in a table in the shared folder. A hub's edges are joined with its one
+    Two rounds end in a table in the shared folder. A hub's edges are joined with its one
     minimum, a join that adaptive execution splits where it is skewed.
     """
 
@@ -267,7 +267,7 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not seen[0]:
         return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     for _ in range(max_rounds):
-        edges = written(star(star(edges, True), False))
+        edges = written(star(star(star(star(edges, True), False), True), False))
         if (now := mark(edges)) == seen:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         seen = now
@@ -300,7 +300,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, that of the smallest id; all columns stay.
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heatloom.llm import divergence, suffix, whitening
+from heatloom.llm import divergence, jaccard, suffix, whitening
 from heatloom.llm.queries import QUERIES
 
 LONG = "lorem ipsum dolor " * 4000
@@ -217,3 +217,93 @@ def test_large_deviations_are_exact(spark):
     for i, v in ((1, [0.0, 1e6]), (2, [1e6, 0.5])):
         x = [int(np.floor(1024 * c)) + 100000 for c in v]
         assert got[i] == (n * x[0] - n * 7) ** 2 + (n * x[1] - 3) ** 2
+
+
+# --- near duplicates of the pipeline
+
+
+def exact_components(rows, least=0.8):
+    """id -> smallest id reachable over links of similarity ``least``, by an index of the rarest shingles of each set; and the number of links between different sets."""
+    sets = {}
+    for i, text in rows:
+        sets.setdefault(tuple(jaccard.shingles(text, 5).tolist()), []).append(i)
+    count = Counter(h for s in sets for h in s)
+    index, up, links = {}, {}, 0
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    keys = sorted(sets, key=len)
+    members = [set(s) for s in keys]
+    for n, key in enumerate(keys):
+        rare = sorted(key, key=lambda h: (count[h], h))[: len(key) - int(np.ceil(least * len(key) - 1e-9)) + 1]
+        for m in {m for h in rare for m in index.get(h, ())}:
+            both = len(members[n] & members[m])
+            if both >= least * (len(key) + len(keys[m]) - both):
+                links += 1
+                up[root(max(root(n), root(m)))] = min(root(n), root(m))
+        for h in rare:
+            index.setdefault(h, []).append(n)
+    low = {}
+    for n, key in enumerate(keys):
+        low[root(n)] = min([low.get(root(n), 1 << 62), *sets[key]])
+    return {i: low[root(n)] for n, key in enumerate(keys) for i in sets[key]}, links
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_components_equal_an_exact_join(spark, size):
+    import os
+
+    if not os.path.isdir(f"/root/testdata/{size}"):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    want, links = exact_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    assert links > 3
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.components(docs).collect()} == want
+
+
+def test_groups_are_settled_by_shingles_too(spark, monkeypatch):
+    """A component of few but long texts is cut into chunks, and gives the same."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(4):
+        words = [f"w{rng.randrange(3000)}" for _ in range(900)]
+        for _ in range(12):
+            copy = list(words)
+            for _ in range(rng.randint(0, 12)):
+                copy[rng.randrange(900)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = exact_components(rows)[0]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.components(df).collect()} == want
+    monkeypatch.setattr(jaccard, "SHINGLES", 4000)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.components(df).collect()} == want
+
+
+def test_rows_dealt_a_text_are_bounded():
+    """By calculation for uniform fingerprints: copies of a row over all windows and cells, and rows of the groups they meet in."""
+    for rows in (10**5, 10**6, 10**7, 10**8, 10**9):
+        bits, budget = jaccard.window_shape(rows, 0.8)
+        blocks = jaccard.agreeing_blocks(rows, bits, budget)
+        group = rows / 2 ** min(sum(hi - lo for lo, hi in b) for b in blocks)
+        cells = int(np.ceil(2 * group / jaccard.CELL)) if group > jaccard.CELL else 1
+        assert jaccard.WINDOWS * len(blocks) * cells <= 320
+        assert group / cells <= jaccard.CELL
+
+
+@pytest.mark.parametrize("rows", [10**5, 10**8, 10**10])
+def test_some_blocks_agree_for_every_pair_within_budget(rows):
+    bits, budget = jaccard.window_shape(rows, 0.8)
+    blocks = [sum((1 << hi) - (1 << lo) for lo, hi in b) for b in jaccard.agreeing_blocks(rows, bits, budget)]
+    rng = random.Random(rows)
+    for _ in range(2000):
+        differ = sum(1 << b for b in rng.sample(range(bits), budget))
+        assert any(not differ & mask for mask in blocks)
+
+
+def test_tasks_are_bounded(spark):
+    from heatloom.llm.common import MOST_TASKS, tasks_for
+
+    assert tasks_for(spark, 10**15, 1000) == MOST_TASKS and tasks_for(spark, 10, 1000) == 4
