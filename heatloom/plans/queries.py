@@ -385,10 +385,14 @@ def _constant_regression(method: str, **size):
     return query
 
 
+def _four(column, name: str):
+    return (F.round(column, 4) + F.lit(0.0)).alias(name)
+
+
 def _constant_logit(method: str, **size):
     def query(spark, sf_dir):
         out = fits.fit_logit(_halves(spark, sf_dir, "label >= 3"), method, k=1, a2s=None if method == "lae" else (1.0,), **size).predictions
-        return out.select("row_id", "is_train", "y_pred", ((F.col("pi") > 0.5) == (F.col("mean") > 0)).alias("agree"))
+        return out.select("row_id", "is_train", "y_pred", ((F.col("pi") > 0.5) == (F.col("mean") > 0)).alias("agree"), _four("mean", "mean"), _four("var", "var"))
 
     return query
 
@@ -396,18 +400,48 @@ def _constant_logit(method: str, **size):
 def _constant_multinomial(method: str, **size):
     def query(spark, sf_dir):
         out = fits.fit_multinomial(_halves(spark, sf_dir, "least(label, 2)"), method, k=1, a2s=None if method == "lae" else (1.0,), **size).predictions
-        return out.select("row_id", "is_train", F.col("y_pred").cast("long").alias("y_pred"), F.size("pi").cast("long").alias("classes"))
+        each = [_four(F.col(c)[j], f"{c}_{j}") for c in ("mean", "var") for j in range(3)]
+        return out.select("row_id", "is_train", F.col("y_pred").cast("long").alias("y_pred"), F.size("pi").cast("long").alias("classes"), *each)
 
     return query
 
 
+def _cluster(method: str, task: str):
+    """A whole fit of points that weigh one anchor each: the kernel is a block for each anchor, so that each block's posterior has a form of its own."""
+    options = {"s": S, "r": 1, "a2s": None if method == "lae" else (1.0,), "models": fits.ModelSpec(subsample="random", kernel=method, gl="rw")}
+
+    def labelled(spark, sf_dir):
+        """Labels by signs of the first two coordinates of a point's anchor; of every 97th point the next class."""
+        points = embedding_points(spark, sf_dir)
+        u = subsample(points, S, "random").u
+        of_anchor = np.where(u[:, 0] > 0, 0, np.where(u[:, 1] > 0, 1, 2)) if task == "multinomial" else (u[:, 0] > 0).astype(int)
+        own = nearest_anchors(points, u, 1).select("row_id", F.element_at(F.lit(of_anchor.tolist()), F.col("idx")[0] + 1).alias("own"))
+        label = F.pmod(F.col("own") + (F.col("row_id") % 97 == 0).cast("int"), F.lit(3 if task == "multinomial" else 2))
+        return points.join(own, "row_id").select("row_id", "x", (F.col("row_id") % 2 == 0).alias("is_train"), label.cast("double").alias("y"))
+
+    def query(spark, sf_dir):
+        if task == "regression":
+            out = fits.fit_regression(_halves(spark, sf_dir, "x[0]"), method, **options).predictions
+            return out.select("row_id", "is_train", _four("y_pred", "y_pred"), _four("var", "var"))
+        if task == "logit":
+            out = fits.fit_logit(labelled(spark, sf_dir), method, **options).predictions
+            return out.select("row_id", "is_train", _four("mean", "mean"), _four("var", "var"))
+        out = fits.fit_multinomial(labelled(spark, sf_dir), method, **options).predictions
+        long = out.select("row_id", "is_train", F.posexplode(F.arrays_zip("mean", "var")).alias("class", "m"))
+        return long.select("row_id", "is_train", F.col("class").cast("long").alias("class"), _four("m.mean", "mean"), _four("m.var", "var"))
+
+    return query
+
+
+CLUSTER = {f"q_cluster_{method}_{task}": _cluster(method, task) for method in ("lae", "se") for task in ("regression", "logit", "multinomial")}
+
 CONSTANT = {
     f"q_constant_{method}_{task}": make(method, **({} if method == "gl" else {"s": S}))
     for task, make in (("regression", _constant_regression), ("logit", _constant_logit), ("multinomial", _constant_multinomial))
     for method in ("lae", "se", "nystrom", "gl")
 }
 
-QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")} | CONSTANT
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")} | CONSTANT | CLUSTER
 
 # --- SQL --------------------------------------------------------------------------------------------
 
@@ -495,13 +529,62 @@ b AS (SELECT ln(1.1e-4) AS lo, ln(1e6) AS hi, 0 AS step UNION ALL
     FROM (SELECT *, exp((lo + hi) / 2) AS v FROM b) z, m) t WHERE step < 60),
 f AS (SELECT exp((lo + hi) / 2) AS v FROM b WHERE step = 60)
 SELECT row_id, is_train, round(sy / (n + v), 4) + 0.0 AS y_pred, round(v / (n + v) + v, 4) AS var FROM pts, m, f"""
-_CONSTANT_LOGIT = """SELECT vec_id AS row_id, vec_id % 2 = 0 AS is_train,
-  (SELECT CASE WHEN avg((label >= 3)::INT) > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM embeddings WHERE vec_id % 2 = 0) AS y_pred, true AS agree FROM embeddings"""
-_CONSTANT_MULTINOMIAL = """WITH c AS (SELECT least(label, 2)::BIGINT AS y, count(*) AS m FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1)
-SELECT vec_id AS row_id, vec_id % 2 = 0 AS is_train, (SELECT y FROM c ORDER BY m DESC, y LIMIT 1) AS y_pred, (SELECT max(y) + 1 FROM c) AS classes FROM embeddings"""
+
+
+#: The ridge of classification; one-versus-rest posteriors go without it.
+RIDGE = 0.001
+
+
+def _modes_sql(counts: str, sigma: float) -> str:
+    """CTEs up to ``mode`` (g, w, var) from ``counts`` (g, c, n1, n0): the Laplace posterior of n1 positive and n0 negative rows that share one
+    latent value w of prior variance c and have ``sigma`` each of their own; its stationary point by bisection in w."""
+    def latent(sign: int) -> str:
+        out = "w"
+        for _ in range(4 if sigma else 0):  # each step leaves a 4000th of the error
+            out = f"(w + {sigma} * ({sign} - 1 / (1 + exp(-greatest(least({out}, 700), -700)))))"
+        return f"1 / (1 + exp(-greatest(least({out}, 700), -700)))"
+
+    share = lambda p: f"({p} * (1 - {p}) / (1 + {sigma} * {p} * (1 - {p})))"
+    return f"""b AS (SELECT g, c::DOUBLE AS c, n1::DOUBLE AS n1, n0::DOUBLE AS n0, -c * n0 - 1.0::DOUBLE AS lo, c * n1 + 1.0::DOUBLE AS hi, 0 AS step FROM {counts} UNION ALL
+  SELECT g, c, n1, n0, CASE WHEN c * (n1 * (1 - p1) - n0 * p0) > w THEN w ELSE lo END, CASE WHEN c * (n1 * (1 - p1) - n0 * p0) > w THEN hi ELSE w END, step + 1
+  FROM (SELECT *, {latent(1)} AS p1, {latent(0)} AS p0 FROM (SELECT *, (lo + hi) / 2 AS w FROM b)) WHERE step < 80),
+mode AS (SELECT g, w, c / (1 + c * (n1 * {share("p1")} + n0 * {share("p0")})) + {RIDGE} AS var
+  FROM (SELECT *, {latent(1)} AS p1, {latent(0)} AS p0 FROM (SELECT *, (lo + hi) / 2 AS w FROM b WHERE step = 80)))"""
+
+
+_HALVES = "pts AS (SELECT vec_id AS row_id, vec_id % 2 = 0 AS is_train, embedding[1]::DOUBLE AS x0, (label >= 3)::INT AS two, least(label, 2)::BIGINT AS three FROM embeddings)"
+_CONSTANT_LOGIT = f"""WITH RECURSIVE {_HALVES},
+cnt AS (SELECT 0 AS g, 1 AS c, sum(two) AS n1, sum(1 - two) AS n0 FROM pts WHERE is_train), {_modes_sql("cnt", RIDGE)}
+SELECT row_id, is_train, (SELECT CASE WHEN n1 > n0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM cnt) AS y_pred, true AS agree, round(w, 4) + 0.0 AS mean, round(var, 4) + 0.0 AS var FROM pts, mode"""
+_CONSTANT_MULTINOMIAL = f"""WITH RECURSIVE {_HALVES}, k AS (SELECT three AS y, count(*) AS m FROM pts WHERE is_train GROUP BY 1),
+cnt AS (SELECT y AS g, 1 AS c, m AS n1, (SELECT sum(m) FROM k) - m AS n0 FROM k), {_modes_sql("cnt", 0)},
+wide AS (SELECT {", ".join(f"max(round({c}, 4) + 0.0) FILTER (g = {j}) AS {n}_{j}" for c, n in (("w", "mean"), ("var", "var")) for j in range(3))} FROM mode)
+SELECT row_id, is_train, (SELECT y FROM k ORDER BY m DESC, y LIMIT 1) AS y_pred, (SELECT max(y) + 1 FROM k) AS classes, wide.* FROM pts, wide"""
+_ONE_ANCHOR = f"""{_HASHED.replace("WITH", "WITH RECURSIVE", 1)}, {_HALVES},
+blk AS (SELECT anchor_id, (SELECT count(*) FROM embeddings)::DOUBLE / m AS c FROM size),
+sgn AS (SELECT anchor_id, max(v) FILTER (k = 0) > 0 AS s0, max(v) FILTER (k = 1) > 0 AS s1 FROM u GROUP BY 1),
+o AS (SELECT row_id, is_train, x0, anchor_id, (s0::INT + (row_id % 97 = 0)::INT) % 2 AS two, (CASE WHEN s0 THEN 0 WHEN s1 THEN 1 ELSE 2 END + (row_id % 97 = 0)::INT) % 3 AS three
+  FROM pts JOIN own USING (row_id) JOIN sgn USING (anchor_id))"""
+_CLUSTER_LOGIT = f"""{_ONE_ANCHOR},
+cnt AS (SELECT anchor_id AS g, c, coalesce(sum(two) FILTER (is_train), 0) AS n1, coalesce(sum(1 - two) FILTER (is_train), 0) AS n0 FROM blk JOIN o USING (anchor_id) GROUP BY ALL), {_modes_sql("cnt", RIDGE)}
+SELECT row_id, is_train, round(w, 4) + 0.0 AS mean, round(var, 4) + 0.0 AS var FROM o JOIN mode ON anchor_id = g"""
+_CLUSTER_MULTINOMIAL = f"""{_ONE_ANCHOR},
+cnt AS (SELECT anchor_id * 3 + j.range AS g, c, count(*) FILTER (is_train AND three = j.range) AS n1, count(*) FILTER (is_train AND three <> j.range) AS n0
+  FROM blk JOIN o USING (anchor_id), range(3) j GROUP BY anchor_id, j.range, c), {_modes_sql("cnt", 0)}
+SELECT row_id, is_train, j.range AS class, round(w, 4) + 0.0 AS mean, round(var, 4) + 0.0 AS var FROM o, range(3) j JOIN mode ON o.anchor_id * 3 + j.range = g"""
+_CLUSTER_REGRESSION = f"""{_ONE_ANCHOR},
+m AS (SELECT anchor_id, c, count(*) FILTER (is_train)::DOUBLE AS n, coalesce(sum(x0) FILTER (is_train), 0) AS sy, coalesce(sum(x0 * x0) FILTER (is_train), 0) AS yy FROM blk JOIN o USING (anchor_id) GROUP BY ALL),
+l AS (SELECT list({{'c': c, 'n': n, 'sy': sy, 'yy': yy}}) AS l FROM m),
+b AS (SELECT ln(1.1e-4) AS lo, ln(1e6) AS hi, 0 AS step UNION ALL
+  SELECT CASE WHEN slope > 0 THEN lo ELSE ln(v) END, CASE WHEN slope > 0 THEN ln(v) ELSE hi END, step + 1 FROM (
+    SELECT lo, hi, step, v, 1.1 / v - 1e-3 / v ** 2 + list_sum(list_transform(l, lambda a: 0.5 * (-a.yy / v ** 2 + a.c * a.sy ** 2 * (2 * v + a.c * a.n) / (v * (v + a.c * a.n)) ** 2 + (a.n - 1) / v + 1 / (v + a.c * a.n)))) AS slope
+    FROM (SELECT *, exp((lo + hi) / 2) AS v FROM b) z, l) t WHERE step < 60),
+f AS (SELECT exp((lo + hi) / 2) AS v FROM b WHERE step = 60)
+SELECT row_id, is_train, round(c * sy / (v + c * n), 4) + 0.0 AS y_pred, round(c * v / (v + c * n) + v, 4) + 0.0 AS var FROM o JOIN m USING (anchor_id), f"""
 
 ORACLE_SQL = {
     **{f"q_constant_{method}_{task}": sql for task, sql in (("regression", _CONSTANT_REGRESSION), ("logit", _CONSTANT_LOGIT), ("multinomial", _CONSTANT_MULTINOMIAL)) for method in ("lae", "se", "nystrom", "gl")},
+    **{f"q_cluster_{method}_{task}": sql for task, sql in (("regression", _CLUSTER_REGRESSION), ("logit", _CLUSTER_LOGIT), ("multinomial", _CLUSTER_MULTINOMIAL)) for method in ("lae", "se")},
     "q_lae": f"{_LAE} SELECT row_id, anchor_id, round(w, 4) + 0.0 AS w FROM z",
     "q_cross_similarity_lae": f"""{_LAE}, cc AS (SELECT anchor_id, sum(w) AS t FROM z GROUP BY 1), n1 AS (SELECT anchor_id, count(*) AS size FROM nn WHERE rank = 1 GROUP BY 1),
 y AS (SELECT row_id, anchor_id, w / (t + 1e-9) * coalesce(size, 0) AS w FROM z JOIN cc USING (anchor_id) LEFT JOIN n1 USING (anchor_id))
