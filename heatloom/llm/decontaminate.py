@@ -14,12 +14,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import file_system, shared_dir, slices
+from heatloom.llm.common import file_system, kept, shared_dir, slices
 
 #: Characters of a shared q-gram, and the share of an item's characters that may differ.
 Q, ERROR_RATE = 10, 0.08
-#: Benchmark characters that are searched for in one pass over the documents.
-BLOCK_CHARS = 1 << 25
+#: Benchmark characters that are searched for in one pass over the documents; their index takes some 0.5 GB while it is built.
+BLOCK_CHARS = 1 << 23
 #: Document characters that are looked through at once.
 SLICE_CHARS = 1 << 20
 #: Pairs of equal q-grams that are counted at once.
@@ -92,10 +92,15 @@ class Postings:
         grams = [gram_hashes(i.codes, q) for i in items]
         sizes = [len(g) for g in grams]
         every = np.concatenate(grams)
+        del grams
         order = np.argsort(every, kind="stable")
-        self.hashes, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
-        self.owner = np.repeat(np.array(numbers, np.int64), sizes)[order]
-        self.place = np.concatenate([np.arange(n) for n in sizes])[order]
+        every = every[order]
+        self.first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]).astype(np.int32)
+        self.hashes = every[self.first]
+        self.count = np.diff(self.first, append=len(every)).astype(np.int32)
+        del every
+        self.owner = np.repeat(np.array(numbers, np.int32), sizes)[order]
+        self.place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
@@ -107,7 +112,7 @@ class Postings:
         g[g == len(self.hashes)] = 0
         found = self.hashes[g] == h[at]
         at, g = at[found], g[found]
-        ends = np.cumsum(self.count[g])
+        ends = np.cumsum(self.count[g], dtype=np.int64)
         lo = 0
         while lo < len(at):
             before = ends[lo - 1] if lo else 0
@@ -144,8 +149,9 @@ class Matcher:
         for item_id, text in items:
             codes, _ = normal(text or "")
             m = len(codes)
-            if m >= q:
-                budget, own = int(error_rate * m), gram_length(m, q, error_rate)
+            budget = int(error_rate * m)
+            if m >= q or budget:
+                own = gram_length(m, q, error_rate)
                 by_length.setdefault(own, []).append(len(self.items))
                 self.items.append(Item(item_id, codes, budget, m + 1 - own * (budget + 1)))
             elif m:
@@ -162,7 +168,7 @@ class Matcher:
         parts, held, docs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0, len(bounds) - 1
         for postings in self.postings:
             for at, posting in postings.shared(codes):
-                item, doc = postings.owner[posting], np.searchsorted(bounds, at, "right") - 1
+                item, doc = postings.owner[posting].astype(np.int64), np.searchsorted(bounds, at, "right") - 1
                 parts.append(counted((item * docs + doc << _BAND_BITS) + (at - bounds[doc] - postings.place[posting]) // self.width[item] + _LOW))
                 held += len(parts[-1][0])
                 if held > HITS:
@@ -289,7 +295,7 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, erro
     ``error_rate`` * m of them; where q-grams of ``q`` characters can't show so many edits, shorter ones are
     counted. Regions are diagonal bands that share as many q-grams with the item as the lemma asks for;
     banded alignment then settles them; of overlapping places of an item the one with the fewest edits counts. Items of
-    fewer than q characters, which may not differ at the default rate, match as whole words;
+    fewer than q characters that may not differ at all (none may at the default rate) match as whole words;
     items without letters or digits match nothing. Documents are read where they lie, one task per input
     split, and never move; each block of the benchmark takes a pass over them.
 
@@ -302,8 +308,9 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, erro
 
     def passed(block: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(bench.items(block), q, error_rate)
-            for batch in slices(batches):
+            key = f"{bench.folder} {block}"
+            matcher = kept(key, lambda: Matcher(bench.items(block), q, error_rate))  # a worker builds it once
+            for batch in slices(batches, keep=key):
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 out = [(i, *hit) for i, hits in zip(ids, matcher.find(texts), strict=True) for hit in hits]
                 if out:
@@ -325,8 +332,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate:
 
     def cleared(rows: DataFrame, block: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(bench.items(block), q, error_rate)
-            for batch in slices(batches):
+            key = f"{bench.folder} {block}"
+            matcher = kept(key, lambda: Matcher(bench.items(block), q, error_rate))
+            for batch in slices(batches, keep=key):
                 texts = [t or "" for t in batch.column(where).to_pylist()]
                 yield batch.filter(pa.array([not hits for hits in matcher.find(texts)], pa.bool_()))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heatloom.llm import divergence, jaccard, suffix, whitening
+from heatloom.llm import decontaminate, divergence, jaccard, suffix, whitening
 from heatloom.llm.queries import QUERIES
 
 LONG = "lorem ipsum dolor " * 4000
@@ -307,3 +307,37 @@ def test_tasks_are_bounded(spark):
     from heatloom.llm.common import MOST_TASKS, tasks_for
 
     assert tasks_for(spark, 10**15, 1000) == MOST_TASKS and tasks_for(spark, 10, 1000) == 4
+
+
+# --- decontamination: items of all lengths, and a full block
+
+
+def test_short_items_may_differ_as_their_rate_allows():
+    """At 0.3 an item of nine characters may differ in two, as one of ten may in three."""
+    for item, near in (("abcdefghi", "abcdxfghi"), ("abcdefghij", "abcdxfghij"), ("abcd", "abxd")):
+        matcher = decontaminate.Matcher([(1, item)], error_rate=0.3)
+        for text in (f"so {near} it is", f"so xx{near}xx it is"):
+            (hits,) = matcher.find([text])
+            assert len(hits) == 1 and hits[0][0] == 1 and hits[0][3] <= 1
+    (hits,) = decontaminate.Matcher([(1, "cat")]).find(["category cat"])
+    assert hits == [(1, 9, 12, 0)]  # may not differ: whole words only
+
+
+def test_a_full_block_of_items_fits_a_worker():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(4000)]
+    size = 0
+    items = []
+    while size < decontaminate.BLOCK_CHARS:
+        text = " ".join(words[i] for i in rng.integers(0, 4000, 250))
+        items.append((len(items), text))
+        size += len(text)
+    tracemalloc.start()
+    matcher = decontaminate.Matcher(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30
+    (hits,) = matcher.find(["well, " + items[7][1] + " indeed"])
+    assert [h[0] for h in hits] == [7]
