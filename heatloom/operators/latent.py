@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions import gp, polyagamma
 from heatloom.functions.arrow import matrix, sum_arrays
 from heatloom.functions.dense import cholesky, minimize_log_many, solve_chol
+from heatloom.operators.stored import stored
 
 #: Sweeps that a task repeats from stored variables before they are stored anew.
 STORED_SWEEPS = 10
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of ``spark.checkpoint.dir``, which all executors share; a local session without one gets a folder of its own."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="heatloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass(frozen=True)
 class Search:
     """A Newton search: the prior's weights by eigenpair, the ridge, and what each step so far sent to the rows."""

@@ -14,7 +14,7 @@ from heatloom.functions.dense import squared_distances
 
 #: Rows whose distances are held at once.
 BATCH = 2048
-#: Coordinates of all points that a full graph sends to its tasks at most (256 MB).
+#: Coordinates of all points that go to the tasks at most (256 MB).
 MAX_COORDINATES = 32_000_000
 #: Pairs of points that a task compares in the mean.
 PAIRS = 10_000_000
@@ -82,8 +82,14 @@ def nearest_points(points: DataFrame, r: int, block: int = 4096) -> DataFrame:
 
     All points go to the tasks, in one array of checked size; each task compares its rows with ``block`` of them at a time and
     keeps the ``r`` best, equal distances by id. Points are dealt over as many tasks as their pairs ask for. The work is
-    quadratic by nature: it is a full graph.
+    quadratic by nature: it is a full graph. Beyond ``MAX_COORDINATES`` in all no task has all points: pivot cells take over
+    (``nearest_by_pivots``).
     """
+    size = points.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+    if size["n"] * (size["d"] or 0) > MAX_COORDINATES:
+        from heatloom.operators.pivots import nearest_by_pivots  # which takes its pivots from the anchors, and these their sizes from here
+
+        return nearest_by_pivots(points, r)[0]
     ids, there = point_matrix(points)
     sent = points.sparkSession.sparkContext.broadcast((ids, there))
 

@@ -260,7 +260,7 @@ def test_full_graph_by_jobs_equals_the_driver(spark, monkeypatch):
         G.graph_base(df, 0.2, True)
     monkeypatch.setattr(N, "MAX_COORDINATES", 179)
     with pytest.raises(ValueError):
-        nearest_points(df, 3)
+        N.point_matrix(df)
 
 
 def test_mini_batches_see_all_rows(spark):
