@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,8 @@ from heatloom.operators.neighbors import cluster_sizes
 LOCAL_VALUES = 2_000_000
 #: Steps of k-means at most; batches of the mini-batch form, and their rows per anchor.
 KMEANS_STEPS, BATCHES, BATCHED = 100, 30, 10
+#: Rounds of oversampling before k-means, and the number of the first, beside those of batches, that draws depend on.
+SEED_ROUNDS, SEED_STEP = 5, 1000
 #: Anchors at most: matrices of anchors by anchors are held on the driver and in every task.
 MAX_ANCHORS = 8000
 
@@ -38,15 +40,18 @@ def hash_sample(points: DataFrame, s: int, seed: int = 0, key: str | None = None
     return points.orderBy(by, "row_id").limit(s)
 
 
-def spread_out(x: np.ndarray, s: int, seed: int) -> np.ndarray:
-    """``s`` rows of ``x``, each drawn by its squared distance to those before."""
+def spread_out(x: np.ndarray, s: int, seed: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """``s`` rows of ``x``, each drawn by its squared distance to those before, times its ``weight``."""
     rng = np.random.default_rng(seed)
-    centers = x[rng.integers(len(x))][None]
-    nearest = ((x - centers[0]) ** 2).sum(1)
-    for _ in range(s - 1):
-        total = nearest.sum()
-        pick = x[min(np.searchsorted(np.cumsum(nearest), rng.uniform() * total), len(x) - 1)] if total > 0 else x[rng.integers(len(x))]
-        centers = np.vstack([centers, pick])
+    weight = np.ones(len(x)) if weight is None else weight
+    first = x[min(np.searchsorted(np.cumsum(weight), rng.uniform() * weight.sum(), "right"), len(x) - 1)]
+    centers = np.empty((s, x.shape[1]))
+    centers[0] = first
+    nearest = ((x - first) ** 2).sum(1)
+    for i in range(1, s):
+        share = np.cumsum(nearest * weight)
+        pick = x[min(np.searchsorted(share, rng.uniform() * share[-1]), len(x) - 1)] if share[-1] > 0 else x[rng.integers(len(x))]
+        centers[i] = pick
         nearest = np.minimum(nearest, ((x - pick) ** 2).sum(1))
     return centers
 
@@ -127,11 +132,48 @@ class PointRows:
             found = np.array(sorted(r["x"] for r in self.points.select("x").distinct().limit(most + 1).collect()))
         return found if len(found) <= most else None
 
-    def seeds(self, s: int, seed: int) -> np.ndarray:
-        """Rows that a seeding is drawn from: all, or as many by a hash of their ids as the driver holds, in order of ids."""
+    def drawn(self, chance: Callable[[np.ndarray], np.ndarray], seed: int, step: int) -> np.ndarray:
+        """Rows, in order of ids, whose number between 0 and 1 (by a hash of id, seed and step) is below their ``chance``."""
         if self.local:
-            return self.local[1]
-        return _matrix_of(hash_sample(self.points, max(20 * s, LOCAL_VALUES // self.d), seed), self.d)[1]
+            ids, x = self.local
+            return x[_uniform(ids, seed, step) < chance(x)]
+        d = self.d
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.filter(pa.array(_uniform(batch.column(0).to_numpy(), seed, step) < chance(matrix(batch.column(1), d))))
+
+        return _matrix_of(self.points.mapInArrow(run, "row_id long, x array<double>"), d)[1]
+
+
+def _uniform(ids: np.ndarray, seed: int, step: int) -> np.ndarray:
+    return (_mixed(ids, seed, step) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def seeding(rows: PointRows, s: int, seed: int) -> np.ndarray:
+    """``s`` starting centers from all rows, by oversampling in rounds (k-means||).
+
+    In each of ``SEED_ROUNDS`` rounds every row becomes a candidate with a chance of ``s`` times its share of the cost, on its
+    own; about ``SEED_ROUNDS`` times ``s`` candidates, weighed by the rows nearest to them, are thinned out to ``s``
+    on the driver. Draws follow from ids, so that few rows on the driver and many in tasks give the same.
+    """
+    found, share = np.zeros((0, rows.d)), 16 / max(rows.n, 1)
+    while not len(found):
+        found = rows.drawn(lambda x: np.full(len(x), share), seed, SEED_STEP)[:1]
+        share *= 8
+    for turn in range(1, 4 * SEED_ROUNDS):
+        cost = float(rows.sums(found)[-1])
+        if cost <= 0 or turn > SEED_ROUNDS and len(found) >= s:
+            break
+        known = found
+        new = rows.drawn(lambda x: np.minimum(1.0, s / cost * ((x - known[assigned(x, known)]) ** 2).sum(1)), seed, SEED_STEP + turn)  # noqa: B023
+        found = np.unique(np.concatenate([found, new]), axis=0)
+    if len(found) < s:
+        found = np.concatenate([found, rows.farthest(found, s - len(found))])
+    if len(found) <= s:
+        return found
+    return spread_out(found, s, seed, rows.sums(found)[found.size : -1])
 
 
 def _matrix_of(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +195,7 @@ def _mixed(ids: np.ndarray, seed: int, step: int) -> np.ndarray:
 
 def lloyd(rows: PointRows, s: int, steps: int, seed: int) -> tuple[np.ndarray, float]:
     """Centers and cost of k-means over all rows from a spread-out seeding; empty clusters take the farthest rows."""
-    centers = spread_out(rows.seeds(s, seed), s, seed)
+    centers = seeding(rows, s, seed)
     for _ in range(steps):
         total = rows.sums(centers)
         sums, size = total[: centers.size].reshape(centers.shape), total[centers.size : -1]
@@ -171,7 +213,8 @@ def lloyd(rows: PointRows, s: int, steps: int, seed: int) -> tuple[np.ndarray, f
 def mini_batches(rows: PointRows, s: int, steps: int, seed: int) -> np.ndarray:
     """Centers that move towards the means of fresh batches of about ``BATCHED`` rows per center, by their share of all rows seen."""
     parts = max(1, rows.n // (BATCHED * s))
-    centers, seen = spread_out(rows.seeds(s, seed), s, seed), np.zeros(s)
+    centers = seeding(rows, s, seed)
+    seen = np.zeros(len(centers))
     for step in range(steps):
         x = rows.part(step, parts, seed)
         if len(x):

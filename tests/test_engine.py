@@ -335,3 +335,22 @@ def test_walk_of_documents_has_the_pairs_of_the_whole_matrix(spark):
         walked, _ = base.scaled(a2 * base.mean)
         got = G.graph_eigen(df, base, a2, 20)
         assert np.allclose(got.values, np.linalg.eigvalsh(walked.times(np.eye(1000)))[::-1][:20], atol=1e-7)
+
+
+def test_oversampled_seeding_costs_as_little_as_the_greedy_one(spark, monkeypatch):
+    """Over several seeds the cost after k-means is within a twentieth of that from greedy draws, and so is that of the seeds themselves; in tasks the same seeds."""
+    from heatloom.operators import anchors as A
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(rng.normal(0, 8, 2), rng.uniform(0.2, 1.5), (60, 2)) for _ in range(15)])
+    rows = A.PointRows.of(points(spark, x).persist())
+    cost = lambda c: float(rows.sums(c)[-1])
+    ours = [A.seeding(rows, 30, seed) for seed in range(6)]
+    greedy = [A.spread_out(x, 30, seed) for seed in range(6)]
+    assert all(len(u) == 30 for u in ours) and np.mean([cost(u) for u in ours]) < 1.05 * np.mean([cost(u) for u in greedy])
+    after = np.mean([A.lloyd(rows, 30, 100, seed)[1] for seed in range(6)])
+    monkeypatch.setattr(A, "seeding", lambda rows, s, seed: A.spread_out(x, s, seed))
+    assert after < 1.05 * np.mean([A.lloyd(rows, 30, 100, seed)[1] for seed in range(6)])
+    monkeypatch.undo()
+    far = A.PointRows(rows.points.repartition(3), rows.n, rows.d)
+    assert np.allclose(A.seeding(far, 30, 0), ours[0])
