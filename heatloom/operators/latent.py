@@ -136,6 +136,18 @@ class TrainingRows:
                 break
         return out
 
+    def latent(self, search: Search) -> DataFrame:
+        """(row_id, f): the rows' latent values after all steps of ``search``."""
+        k = self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    f, _ = replay(matrix(batch.column(3), k), batch.column(1).to_numpy(), batch.column(2).to_numpy(), search)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f)], names=["row_id", "f"])
+
+        return self.table.mapInArrow(run, "row_id long, f double")
+
     def best_time(self, values: np.ndarray, sigma: float, approach: str) -> tuple[float, float]:
         """As ``gp.best_time``: the times that a search may come to are tried in the same passes."""
         posterior = gp.check_approach(approach)

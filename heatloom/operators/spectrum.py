@@ -17,8 +17,8 @@ from heatloom.operators.weights import column_sums
 
 #: Singular values below this share of the largest are noise: a Gram matrix squares the condition number.
 NEGLIGIBLE = 1e-7
-#: Kernel values that a kernel table may hold.
-MAX_KERNEL = 200_000_000
+#: Values of one side's vectors up to which that side goes to all tasks (16 MB), and rows of a block where both sides are dealt.
+SENT_VALUES, KERNEL_BLOCK = 2_000_000, 1024
 
 
 #: Points by anchors (a dense matrix of 80 MB) up to which weights are decomposed on the driver: jobs would cost more than the arithmetic.
@@ -137,23 +137,47 @@ def spectrum_from_weights(z: DataFrame, s: int, k: int = -1, root: bool = False)
 def heat_kernel(left: DataFrame, right: DataFrame, values: np.ndarray, t: float, k: int = -1) -> DataFrame:
     """(i, j, h): sum over eigenpairs of v_i exp(-t (1 - value)) v_j for all rows of ``left`` and of ``right`` (row_id, v).
 
-    ``right`` goes to the tasks, if the table stays within ``MAX_KERNEL`` values; the result has as many rows
-    as both sides multiplied.
+    A ``right`` of few vectors goes to the tasks. Otherwise both sides are dealt to blocks, and each pair of blocks is a
+    group of its own, so that no task or driver holds a side whole. The result has as many rows as both sides multiplied.
     """
     k = len(values) if k < 0 else min(k, len(values))
-    n = right.count()
-    if n * left.count() > MAX_KERNEL:
-        raise ValueError(f"the kernel would have over {MAX_KERNEL} values; take fewer rows on one side")
-    there = sorted((r["row_id"], r["v"][:k]) for r in right.select("row_id", "v").collect())
-    ids, weighed = pa.array([r[0] for r in there], pa.int64()), np.array([r[1] for r in there]).reshape(n, k) * heat(values[:k], t)
+    n, weight = right.count(), heat(values[:k], t)
+    if n * k > SENT_VALUES:
+        return _kernel_by_blocks(left, right, weight, left.count(), n)
+    got = right.select("row_id", "v").toArrow().combine_chunks()
+    if not n:
+        return left.select(F.col("row_id").alias("i"), F.col("row_id").alias("j"), F.lit(0.0).alias("h")).limit(0)
+    order = np.argsort(got.column(0).chunk(0).to_numpy(), kind="stable")
+    ids, weighed = got.column(0).chunk(0).to_numpy()[order], matrix(got.column(1).chunk(0), len(got.column(1)[0]))[order, :k] * weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 v = matrix(part.column(1), len(part.column(1)[0]))[:, :k]
-                i = np.repeat(part.column(0).to_numpy(), n)
-                j = pa.array(np.tile(ids.to_numpy(), part.num_rows))
-                yield pa.RecordBatch.from_arrays([pa.array(i), j, pa.array((v @ weighed.T).ravel())], names=["i", "j", "h"])
+                yield pa.RecordBatch.from_arrays([*_pairs(part.column(0).to_numpy(), ids), pa.array((v @ weighed.T).ravel())], names=["i", "j", "h"])
 
     return left.select("row_id", "v").mapInArrow(run, "i long, j long, h double")
+
+
+def _pairs(i: np.ndarray, j: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.repeat(i, len(j))), pa.array(np.tile(j, len(i)))]
+
+
+def _kernel_by_blocks(left: DataFrame, right: DataFrame, weight: np.ndarray, rows: int, columns: int) -> DataFrame:
+    """The kernel of two large sides, a group for each pair of their blocks."""
+    down, across = max(1, -(-rows // KERNEL_BLOCK)), max(1, -(-columns // KERNEL_BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    here = left.select("row_id", "v", block(down).alias("a")).select("*", every(across).alias("b"))
+    there = right.select("row_id", "v", block(across).alias("b")).select("*", every(down).alias("a"))
+    k = len(weight)
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "h": pa.array([], pa.float64())})
+        v, w = (matrix(z["v"].combine_chunks(), len(z["v"][0]))[:, :k] for z in (x, y))
+        i, j = _pairs(x["row_id"].to_numpy(), y["row_id"].to_numpy())
+        return pa.table({"i": i, "j": j, "h": pa.array((v @ (w * weight).T).ravel())})
+
+    return here.groupBy("a", "b").cogroup(there.groupBy("a", "b")).applyInArrow(meet, "i long, j long, h double")

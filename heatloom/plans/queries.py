@@ -15,6 +15,7 @@ from heatloom.functions.dense import project_simplex
 from heatloom.operators import metrics
 from heatloom.operators.anchors import Anchors, hash_sample, subsample
 from heatloom.operators.graph import edges, walk
+from heatloom.operators.latent import Search, TrainingRows
 from heatloom.operators.neighbors import cluster_sizes, nearest_anchors, nearest_points
 from heatloom.operators.nystrom import Nystrom
 from heatloom.operators.spectrum import gram_pairs, heat_kernel, spectrum_from_weights
@@ -24,6 +25,8 @@ from heatloom.plans.flagship import document_quality
 from heatloom.sources.points import TEXT_FEATURES, document_points, embedding_points, read_table
 
 S, R, A2, EPSILON, NEAR = 20, 3, 0.5, 0.5, 5
+#: The ridge of the Newton queries: large, so that rows differ from what they share.
+NEWTON_RIDGE = 0.5
 KEY = "(row_id * 2654435761) % 1000003"
 #: Steps that make weights exact to the digits that are compared; a diffusion time, a noise, and two eigenvalues.
 EXACT, TIME, NOISE, PAIR = {"tol": 1e-18, "steps": 2000}, 1.5, 0.3, np.array([1.0, 0.5])
@@ -134,9 +137,9 @@ def q_lae_pair(spark, sf_dir):
 
 
 def q_heat_kernel(spark, sf_dir):
-    vectors = embedding_points(spark, sf_dir).select("row_id", F.slice("x", 1, 4).alias("v"), "x")
-    right = hash_sample(vectors, S, key=KEY)
-    return heat_kernel(vectors, right, 1 / (1 + np.arange(4.0)), 1.5).select("i", "j", _six(F.col("h"), "h"))
+    """Of all points with each other, with all coordinates as eigenvectors."""
+    vectors = embedding_points(spark, sf_dir).select("row_id", F.col("x").alias("v"))
+    return heat_kernel(vectors, vectors, 1 / (1 + np.arange(64.0)), 1.5).select("i", "j", _six(F.col("h"), "h"))
 
 
 def q_label(spark, sf_dir):
@@ -175,6 +178,46 @@ def q_laplace_mode(spark, sf_dir):
     return spark.createDataFrame([(int(k), round(float(f), 6) + 0.0) for k, f in zip(labels, mode.f, strict=True)], "label long, f double")
 
 
+def _one_hot(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Points with labels by sign of their anchor's first coordinate (every 97th turned), and their vectors: one-hot by nearest of random anchors, times the root of the points over the anchor's own."""
+    points = embedding_points(spark, sf_dir)
+    anchors = subsample(points, S, "random")
+    up = (anchors.u[:, 0] > 0).astype(int)
+    own = nearest_anchors(points, anchors.u, 1).select("row_id", F.col("idx")[0].alias("own")).persist()
+    scale = np.sqrt(anchors.size.sum() / np.maximum(anchors.size, 1))
+    entry = F.transform(F.lit(list(range(S))), lambda a: F.when(a == F.col("own"), F.element_at(F.lit(scale.tolist()), F.col("own") + 1)).otherwise(0.0))
+    label = F.pmod(F.element_at(F.lit(up.tolist()), F.col("own") + 1) + (F.col("row_id") % 97 == 0).cast("int"), F.lit(2)).cast("double")
+    rows = points.select("row_id", F.col("x")[0].alias("x0"), (F.col("row_id") % 2 == 0).alias("is_train")).join(own.select("row_id", label.alias("y")), "row_id")
+    return rows, own.select("row_id", "own", entry.alias("v"))
+
+
+def _newton(spark, sf_dir) -> tuple[TrainingRows, tuple]:
+    points, vectors = _one_hot(spark, sf_dir)
+    rows = TrainingRows(points, vectors, S)
+    return rows, rows.modes([Search(np.ones(S), NEWTON_RIDGE)], tol=1e-10)[0]
+
+
+def q_newton_mode(spark, sf_dir):
+    """Latent values of all training rows, by Newton steps of which only sums leave the tasks."""
+    rows, (_, search, _) = _newton(spark, sf_dir)
+    return rows.latent(search).select("row_id", _six(F.col("f"), "f"))
+
+
+def q_newton_evidence(spark, sf_dir):
+    rows, (evidence, _, _) = _newton(spark, sf_dir)
+    rows.release()
+    return spark.createDataFrame([(round(evidence, 4),)], "evidence double")
+
+
+def q_gp_mean_blocks(spark, sf_dir):
+    """The posterior mean given all training rows, under a kernel of one block for each anchor and a noise."""
+    points, vectors = _one_hot(spark, sf_dir)
+    train = points.where("is_train").join(vectors, "row_id").orderBy("row_id").select("own", "x0").toPandas()
+    own = train["own"].to_numpy()
+    weights = gp.predict_regression((own[:, None] == own).astype(float) + 0.5 * np.eye(len(own)), train["x0"].to_numpy(), (np.arange(S)[:, None] == own).astype(float))
+    return vectors.select("row_id", _six(F.element_at(F.lit(weights.tolist()), F.col("own") + 1), "y_pred"))
+
+
 def q_split(spark, sf_dir):
     points = document_points(spark, sf_dir)
     return points.groupBy("is_train").agg(F.count("*").alias("n"), F.count("y").alias("labelled"))
@@ -565,6 +608,13 @@ blk AS (SELECT anchor_id, (SELECT count(*) FROM embeddings)::DOUBLE / m AS c FRO
 sgn AS (SELECT anchor_id, max(v) FILTER (k = 0) > 0 AS s0, max(v) FILTER (k = 1) > 0 AS s1 FROM u GROUP BY 1),
 o AS (SELECT row_id, is_train, x0, anchor_id, (s0::INT + (row_id % 97 = 0)::INT) % 2 AS two, (CASE WHEN s0 THEN 0 WHEN s1 THEN 1 ELSE 2 END + (row_id % 97 = 0)::INT) % 3 AS three
   FROM pts JOIN own USING (row_id) JOIN sgn USING (anchor_id))"""
+_NEWTON = f"""cnt AS (SELECT anchor_id AS g, c, coalesce(sum(two) FILTER (is_train), 0) AS n1, coalesce(sum(1 - two) FILTER (is_train), 0) AS n0 FROM blk JOIN o USING (anchor_id) GROUP BY ALL),
+start AS (SELECT g, c::DOUBLE AS c, n1::DOUBLE AS n1, n0::DOUBLE AS n0, 0.0::DOUBLE AS f1, 0.0::DOUBLE AS f0, 0 AS step FROM cnt),
+newton AS (SELECT * FROM start UNION ALL SELECT g, c, n1, n0, c * shift + {NEWTON_RIDGE} * (b1 - w1 * c * shift) / (1 + {NEWTON_RIDGE} * w1), c * shift + {NEWTON_RIDGE} * (b0 - w0 * c * shift) / (1 + {NEWTON_RIDGE} * w0), step + 1
+  FROM (SELECT *, (n1 * b1 / (1 + {NEWTON_RIDGE} * w1) + n0 * b0 / (1 + {NEWTON_RIDGE} * w0)) / (1 + c * (n1 * w1 / (1 + {NEWTON_RIDGE} * w1) + n0 * w0 / (1 + {NEWTON_RIDGE} * w0))) AS shift
+    FROM (SELECT *, w1 * f1 + 1 - p1 AS b1, w0 * f0 - p0 AS b0 FROM (SELECT *, p1 * (1 - p1) AS w1, p0 * (1 - p0) AS w0 FROM (SELECT *, 1 / (1 + exp(-f1)) AS p1, 1 / (1 + exp(-f0)) AS p0 FROM newton)))) WHERE step < 40),
+done AS (SELECT *, n1 * p1 * (1 - p1) / (1 + {NEWTON_RIDGE} * p1 * (1 - p1)) + n0 * p0 * (1 - p0) / (1 + {NEWTON_RIDGE} * p0 * (1 - p0)) AS shared
+  FROM (SELECT *, 1 / (1 + exp(-f1)) AS p1, 1 / (1 + exp(-f0)) AS p0 FROM newton WHERE step = 40))"""
 _CLUSTER_LOGIT = f"""{_ONE_ANCHOR},
 cnt AS (SELECT anchor_id AS g, c, coalesce(sum(two) FILTER (is_train), 0) AS n1, coalesce(sum(1 - two) FILTER (is_train), 0) AS n0 FROM blk JOIN o USING (anchor_id) GROUP BY ALL), {_modes_sql("cnt", RIDGE)}
 SELECT row_id, is_train, round(w, 4) + 0.0 AS mean, round(var, 4) + 0.0 AS var FROM o JOIN mode ON anchor_id = g"""
@@ -643,8 +693,15 @@ SELECT row_id, CAST(k AS BIGINT) AS k, round(greatest(v - theta, 0), 6) + 0.0 AS
     "q_lae_pair": f"""{_BASE}, two AS (SELECT row_id, max(anchor_id) FILTER (rank = 1) AS a, max(anchor_id) FILTER (rank = 2) AS b FROM nn WHERE rank <= 2 GROUP BY 1)
 SELECT row_id, a AS anchor_id, round(least(greatest(sum((e.v - q.v) * (p.v - q.v)) / sum((p.v - q.v) * (p.v - q.v)), 0), 1), 4) AS w
 FROM two JOIN e USING (row_id) JOIN u p ON p.anchor_id = a AND p.k = e.k JOIN u q ON q.anchor_id = b AND q.k = e.k GROUP BY ALL""",
-    "q_heat_kernel": f"""{_BASE} SELECT a.row_id AS i, b.row_id AS j, round(sum(a.v * exp(-1.5 * (1 - 1.0 / (1 + a.k))) * b.v), 6) + 0.0 AS h
-FROM e a JOIN e b USING (k) JOIN pick ON b.row_id = vec_id WHERE k < 4 GROUP BY ALL""",
+    "q_heat_kernel": """WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
+SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(range(1, 65), lambda k: a.x[k] * exp(-1.5 * (1 - 1.0 / k)) * b.x[k])), 6) + 0.0 AS h FROM p a, p b""",
+    "q_newton_mode": f"""{_ONE_ANCHOR}, {_NEWTON}
+SELECT row_id, round(CASE WHEN two = 1 THEN f1 ELSE f0 END, 6) + 0.0 AS f FROM o JOIN done ON anchor_id = g WHERE is_train""",
+    "q_newton_evidence": f"""{_ONE_ANCHOR}, {_NEWTON}
+SELECT round(sum(n1 * ln(p1) + n0 * ln(1 - p0) - 0.5 * (n1 * (1 - p1) * f1 - n0 * p0 * f0)
+  - 0.5 * (n1 * ln(1 + {NEWTON_RIDGE} * p1 * (1 - p1)) + n0 * ln(1 + {NEWTON_RIDGE} * p0 * (1 - p0)) + ln(1 + c * shared))), 4) AS evidence FROM done""",
+    "q_gp_mean_blocks": f"""{_ONE_ANCHOR}, t AS (SELECT anchor_id, sum(x0) AS sy, count(*) AS n FROM o WHERE is_train GROUP BY 1)
+SELECT row_id, round(coalesce(sy / (n + 0.5), 0), 6) + 0.0 AS y_pred FROM o LEFT JOIN t USING (anchor_id)""",
     "q_label": f"""{_BASE}, f AS (SELECT row_id, sum(v * CASE k WHEN 0 THEN 1 WHEN 1 THEN -2 WHEN 2 THEN 3 ELSE -4 END) AS f FROM e WHERE k < 4 GROUP BY 1)
 SELECT row_id, round(1 / (1 + exp(-f)), 6) + 0.0 AS pi, CASE WHEN f > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y_pred FROM f""",
     "q_one_vs_rest": "SELECT vec_id AS row_id, j.range AS class, CAST(label = j.range AS DOUBLE) AS y FROM embeddings, range(10) j",

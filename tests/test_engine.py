@@ -354,3 +354,18 @@ def test_oversampled_seeding_costs_as_little_as_the_greedy_one(spark, monkeypatc
     monkeypatch.undo()
     far = A.PointRows(rows.points.repartition(3), rows.n, rows.d)
     assert np.allclose(A.seeding(far, 30, 0), ours[0])
+
+
+def test_kernel_by_blocks_equals_the_sent_side(spark, monkeypatch):
+    from heatloom.operators import spectrum as S
+
+    rng = np.random.default_rng(2)
+    make = lambda n, first: spark.createDataFrame([(first + i, rng.normal(size=4).tolist()) for i in range(n)], "row_id long, v array<double>").persist()
+    left, right, values = make(23, 0), make(17, 10), np.array([1.0, 0.8, 0.5, 0.1])
+    table = lambda: {(r["i"], r["j"]): r["h"] for r in S.heat_kernel(left, right, values, 2.0, 3).collect()}
+    near = table()
+    monkeypatch.setattr(S, "SENT_VALUES", 0)
+    monkeypatch.setattr(S, "KERNEL_BLOCK", 5)
+    far = table()
+    assert len(near) == 23 * 17 and near.keys() == far.keys() and all(abs(near[k] - far[k]) < 1e-12 for k in near)
+    assert S.heat_kernel(left, right.limit(0), values, 2.0).collect() == []
