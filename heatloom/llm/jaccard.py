@@ -307,7 +307,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts link when the Jaccard similarity of their sets of ``k``-word shingles is ``least`` or more. Equal sets are
     one node. The nodes' wide SimHashes are joined by binary tries, a trie for each window of the fingerprint, within
-    a Hamming budget that similar sets keep; inside the components that this gives, whole shingle sets decide.
+    a Hamming budget that similar sets keep; inside the components that this gives, whole shingle sets decide. A pair of
+    similarity ``least`` passes some window with a chance of ``REACH`` by calculation, more similar ones with a larger one; there is no
+    exact way for those who need every such link by proof.
+
+    Null texts count as empty; texts without words are one set. Texts of fewer words than ``k`` are one shingle. Texts are read
+    whole; a component of many or long texts is settled in chunks of bounded shingles. Repeated rows and ids have a row each,
+    and a null id is never a component_id unless its component has no other. An empty table gives no rows; other columns are ignored.
     """
     rows = written(signatures(docs, id_col, text_col, k))
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("size").alias("size"), *[F.first(f).alias(f) for f in _FPS]))
@@ -327,6 +333,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each group of near duplicates, that of the smallest id; all columns stay.
 
     Null texts count as empty, and texts without words are one group. Rows of equal id are one document, of
-    which one row stays. Rows of a null id can't be named in a decision and all stay.
+    which one row stays. Rows of a null id can't be named in a decision and all stay. Texts of any length are read whole, ties go to
+    the smallest id, other columns may have any names, also those used inside (``__drop``, ``node``), and an empty table gives none.
     """
     return drop_repeats(docs, written(components(docs, id_col, text_col, k, least)), id_col)

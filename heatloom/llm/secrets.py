@@ -260,7 +260,12 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` with every secret of its texts replaced by a mark; all columns and rows stay. Null texts stay null."""
+    """``docs`` with every secret of its texts replaced by a mark; all columns and rows stay.
+
+    Null texts stay null, empty ones empty; texts are read whole, in time near the number of their secrets. Where a text changes,
+    ``chars_col`` (if there is one) gets its new length. Each row is judged by its own text, so repeated rows and ids stay alike. Other
+    columns may have any names and stay as they are. An empty table gives none.
+    """
     name = "spans"
     while name in docs.columns:
         name += "_"

@@ -311,10 +311,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def drop_repeats(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without those whose id isn't their ``groups``' component_id (doc_id, component_id), and one row of each id."""
-    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    kept = docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
-    repeated = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
+    drop, twice = (_unused(docs, name) for name in ("__drop", "__twice"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(drop)).distinct()
+    kept = docs.join(gone, docs[id_col] == gone[drop], "left_anti")
+    repeated = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(twice)).count().where("count > 1").select(twice)
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, kept[id_col] == repeated["__twice"], "left_anti")
-    return once.unionByName(kept.join(repeated, kept[id_col] == repeated["__twice"], "left_semi").dropDuplicates([id_col]))
+    once = kept.join(repeated, kept[id_col] == repeated[twice], "left_anti")
+    return once.unionByName(kept.join(repeated, kept[id_col] == repeated[twice], "left_semi").dropDuplicates([id_col]))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name

@@ -341,3 +341,11 @@ def test_a_full_block_of_items_fits_a_worker():
     assert peak < 1 << 30
     (hits,) = matcher.find(["well, " + items[7][1] + " indeed"])
     assert [h[0] for h in hits] == [7]
+
+
+def test_near_duplicates_with_names_used_inside(spark):
+    rows = [(1, "a b c d e f g h i j", "x", "y", "z", 4), (2, "a b c d e f g h i j", "x", "y", "z", 4), (2, "a b c d e f g h i j", "x", "y", "z", 4), (3, "other words here", "x", "y", "z", 4), (3, "other words here", "x", "y", "z", 4), (None, None, "x", "y", "z", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __drop string, __twice string, __of string, node int")
+    kept = jaccard.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None"]
+    assert all(r["__drop"] == "x" and r["node"] == 4 for r in kept.collect())
