@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,3 +70,64 @@ def fit_rbf(x: np.ndarray, y: np.ndarray, u: np.ndarray, sigma: float = 1e-5, no
     best, objective = minimize_positive(f, np.ones(1 + size), np.r_[T_LOW, np.full(size, NOISE_LOW)])
     weights = evidence(d2_xu, d2_uu, y, best[0], spread(best) + sigma)[2]
     return RbfFit(float(best[0]), float(best[1]) if noise == "same" else best[1:], -objective, u, weights)
+
+
+@dataclass(frozen=True)
+class RbfSums:
+    """All that one noise needs of the rows at one t: C'C, C'Y, Y'Y and their number, for C = kernel(rows, anchors)."""
+
+    gram: np.ndarray
+    cross: np.ndarray
+    square: float
+    rows: float
+
+    @staticmethod
+    def flat(x: np.ndarray, y: np.ndarray, u: np.ndarray, t: float) -> np.ndarray:
+        c = kernel(squared_distances(x, u), t)
+        return np.r_[(c.T @ c).ravel(), (c.T @ y).ravel(), (y * y).sum(), len(x)]
+
+    @classmethod
+    def of(cls, flat: np.ndarray, s: int) -> RbfSums:
+        return cls(flat[: s * s].reshape(s, s), flat[s * s : -2].reshape(s, -1), float(flat[-2]), float(flat[-1]))
+
+
+def evidence_of_sums(sums: RbfSums, d2_uu: np.ndarray, t: float, z: float) -> tuple[float, float, np.ndarray]:
+    """As ``evidence`` with one noise ``z`` for all rows: the value, its gradient in z, and the anchors' weights."""
+    q, k = sums.cross.shape[1], kernel(d2_uu, t) + 1e-8 * np.eye(len(d2_uu))
+    lower = cholesky(k + sums.gram / z)
+    weights = solve_chol(lower, sums.cross / z)
+    quadratic = (sums.square - (sums.cross * weights).sum()) / z
+    value = 0.5 * quadratic / q + np.log(np.diag(lower)).sum() - np.log(np.diag(cholesky(k))).sum() + 0.5 * sums.rows * np.log(z)
+    part = np.trace(np.linalg.solve(lower, np.linalg.solve(lower, sums.gram).T)) / z**2
+    alpha = (sums.square - 2 * (sums.cross * weights).sum() + (weights * (sums.gram @ weights)).sum()) / z**2
+    return float(value), float(0.5 * (sums.rows / z - part) - 0.5 * alpha / q), weights
+
+
+def fit_rbf_by_sums(passed: Callable[[list[float]], list[RbfSums]], u: np.ndarray, sigma: float = 1e-5, approach: str = "posterior") -> RbfFit:
+    """``fit_rbf`` with one noise where rows stay elsewhere: a call of ``passed`` sums over them for several t at once."""
+    posterior, d2_uu = check_approach(approach), squared_distances(u, u)
+    known: dict[float, RbfSums] = {}
+
+    def at(times: list[float]) -> list[RbfSums]:
+        new = [t for t in times if t not in known]
+        if len(known) > 12:
+            known.clear()
+            new = times
+        known.update(zip(new, passed(new) if new else [], strict=True))
+        return [known[t] for t in times]
+
+    def f(p: np.ndarray) -> tuple[float, np.ndarray]:
+        z, times = p[1] + sigma, [float(p[0] * np.exp(s * STEP)) for s in (0, 1, -1)]
+        try:
+            (value, by_noise, _), (up, _, _), (down, _, _) = (evidence_of_sums(s, d2_uu, t, z) for s, t in zip(at(times), times, strict=True))
+        except np.linalg.LinAlgError:
+            return np.inf, np.zeros(2)
+        if posterior:
+            a, b = NOISE_PRIOR
+            value, by_noise = value + (a + 1) * np.log(z) + b / z, by_noise + (a + 1) / z - b / z**2
+        return value, np.array([(up - down) / (2 * STEP) / p[0], by_noise])
+
+    best, objective = minimize_positive(f, np.ones(2), np.array([T_LOW, NOISE_LOW]))
+    t, noise = float(best[0]), float(best[1])
+    weights = evidence_of_sums(at([t])[0], d2_uu, t, noise + sigma)[2]
+    return RbfFit(t, noise, -objective, u, weights)

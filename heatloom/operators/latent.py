@@ -247,9 +247,9 @@ class TrainingRows:
 
         return half * (right - inner @ solved), state.mapInArrow(rows, "row_id long, own double")
 
-    def fit(self, values: np.ndarray, sigma: float, approach: str, sweeps: int, seed: int, ridge_in_posterior: bool = True, average: bool = False) -> tuple[gp.LogitFit, DataFrame]:
-        """As ``gp.fit_logit``, and (row_id, own): the training rows' own weights, which times sigma ridge adds to their labels."""
-        t, objective = self.best_time(values, sigma, approach)
+    def fit(self, values: np.ndarray, sigma: float, approach: str, sweeps: int, seed: int, ridge_in_posterior: bool = True, average: bool = False, best: tuple[float, float] | None = None) -> tuple[gp.LogitFit, DataFrame]:
+        """As ``gp.fit_logit``, and (row_id, own): the training rows' own weights, which times sigma ridge adds to their labels; ``best`` is what ``best_time`` gave, if it is known."""
+        t, objective = best or self.best_time(values, sigma, approach)
         lam = gp.heat(values, t)
         _, _, at = self.modes([Search(lam, sigma if ridge_in_posterior else 0.0)])[0]
         half = np.sqrt(lam)

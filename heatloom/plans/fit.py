@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from heatloom.functions import gp
 from heatloom.functions.arrow import lists, matrix, sum_arrays
-from heatloom.functions.rbf import RbfFit, fit_rbf
+from heatloom.functions.rbf import RbfFit, RbfSums, fit_rbf, fit_rbf_by_sums
 from heatloom.operators.anchors import subsample
 from heatloom.operators.graph import graph_base, graph_eigen
 from heatloom.operators.latent import TrainingRows
@@ -341,10 +341,10 @@ def _logit_in_tasks(points: DataFrame, found: Candidates, sigma: float, approach
             rows.release()
 
     found.at_once = 1
-    a2, _ = best_of(found, one, lambda b: b[-1])
+    a2, best = best_of(found, one, lambda b: b[-1])
     spec = found.whole(a2)
     rows = training_rows(points, spec)
-    best, own = rows.fit(spec.values, sigma, approach, sweeps, seed, average=average)
+    best, own = rows.fit(spec.values, sigma, approach, sweeps, seed, average=average, best=best)
     rows.release()
     predicted = project(spec.vectors, "latent double, mean double, var double", lambda _, x: [x @ best.label, x @ best.mean, quadratic(x, best.spread) + sigma])
     latent = F.col("latent") + sigma * F.coalesce("own", F.lit(0.0))
@@ -368,17 +368,17 @@ def fit_multinomial(points: DataFrame, method: str = "lae", s: int | None = None
     if far:  # class by class, by sums over tasks
         found.at_once = 1
 
-        def each(spec: Spectrum, f: Callable[[TrainingRows], object]) -> list:
+        def each(spec: Spectrum, f: Callable[[TrainingRows, int], object]) -> list:
             out = []
             for j in range(classes):
                 rows = training_rows(points, spec, j)
-                out.append(f(rows))
+                out.append(f(rows, j))
                 rows.release()
             return out
 
-        a2, objective = best_of(found, lambda spec: sum(o for _, o in each(spec, lambda rows: rows.best_time(spec.values, sigma, approach))), lambda o: o)
-        spec = found.whole(a2)
-        fits = each(spec, lambda rows: rows.fit(spec.values, sigma, approach, sweeps, seed, ridge_in_posterior=False)[0])
+        a2, times = best_of(found, lambda spec: each(spec, lambda rows, _: rows.best_time(spec.values, sigma, approach)), lambda b: sum(o for _, o in b))
+        spec, objective = found.whole(a2), sum(o for _, o in times)
+        fits = each(spec, lambda rows, j: rows.fit(spec.values, sigma, approach, sweeps, seed, ridge_in_posterior=False, best=times[j])[0])
     else:
         ids, labels = training_labels(points, ["y"])
         y, ones = labels["y"].astype(int), np.ones(len(ids))
@@ -404,15 +404,42 @@ def fit_multinomial(points: DataFrame, method: str = "lae", s: int | None = None
     return Fit({"t": [f.t for f in fits], "a2": a2, "sigma": sigma, "objective": objective}, spec, out, points, sigma, found.held)
 
 
+def rbf_sums(points: DataFrame, u: np.ndarray, d: int) -> Callable[[list[float]], list[RbfSums]]:
+    """Sums over the training rows, which stay in the tasks, for several t in one pass."""
+    rows = points.where("is_train").select("x", F.col("y").cast("double").alias("y"))
+    if rows.where(F.col("y").isNull() | F.isnan("y")).limit(1).count():
+        raise ValueError("training rows must have labels")
+
+    def passed(times: list[float]) -> list[RbfSums]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    x, y = matrix(part.column(0), d), part.column(1).to_numpy()[:, None]
+                    flat = np.concatenate([RbfSums.flat(x, y, u, t) for t in times])
+                    total = flat if total is None else total + flat
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["a"])
+
+        return [RbfSums.of(x, len(u)) for x in sum_arrays(rows.mapInArrow(run, "a array<double>")).reshape(len(times), -1)]
+
+    return passed
+
+
 def fit_rbf_regression(points: DataFrame, s: int, sigma: float = 1e-5, noise: str = "same", approach: str = "posterior", subsample_method: str = "kmeans", nstart: int = 1, seed: int = 0) -> tuple[RbfFit, DataFrame]:
     """A squared-exponential kernel seen through anchors: the fit, and row_id, is_train, y_pred of every point."""
     d = check_points(points)
     u = subsample(points, s, subsample_method, nstart, seed).u
-    ids, labels = training_labels(points, ["y"])
-    if len(ids) * max(d, len(u)) > MAX_TRAIN_VALUES:
-        raise ValueError(f"{len(ids)} training rows by {len(u)} anchors don't fit the driver; take fewer of either")
-    x = np.array([r["x"] for r in sorted(points.where("is_train").select("row_id", "x").collect(), key=lambda r: r["row_id"])])
-    fit = fit_rbf(x, labels["y"], u, sigma, noise, approach)
+    if noise == "same" and points.where("is_train").count() * max(d, len(u)) > MAX_TRAIN_VALUES:
+        fit = fit_rbf_by_sums(rbf_sums(points, u, d), u, sigma, approach)
+    else:
+        ids, labels = training_labels(points, ["y"])
+        if len(ids) * max(d, len(u)) > MAX_TRAIN_VALUES:
+            raise ValueError(f"a noise for each of {len(ids)} training rows doesn't fit the driver; take one noise")
+        got = points.where("is_train").select("row_id", "x").toArrow().combine_chunks()
+        x = matrix(got.column(1).chunk(0), d)[np.argsort(got.column(0).chunk(0).to_numpy(), kind="stable")]
+        fit = fit_rbf(x, labels["y"], u, sigma, noise, approach)
     predicted = project(points.withColumnRenamed("x", "v"), "y_pred double", lambda _, v: [fit.predict(v)[:, 0]])
     return fit, predicted.join(points.select("row_id", "is_train"), "row_id").select("row_id", "is_train", "y_pred")
 

@@ -156,3 +156,19 @@ def test_subset_of_regressors():
         assert np.sqrt(((fit.predict(x) - np.sin(2 * x)) ** 2).mean()) < 0.15
     with pytest.raises(ValueError):
         rbf.fit_rbf(x, y, u, noise="other")
+
+
+def test_rbf_by_sums_equals_rbf_by_rows():
+    from heatloom.functions import rbf
+
+    rng = np.random.default_rng(8)
+    x, u = rng.normal(size=(80, 2)), rng.normal(size=(9, 2))
+    y = np.sin(x[:, :1]) + 0.1 * rng.normal(size=(80, 1))
+    d2_xu, d2_uu = dense.squared_distances(x, u), dense.squared_distances(u, u)
+    value, by_row, weights = rbf.evidence(d2_xu, d2_uu, y, 0.7, np.full(80, 0.2))
+    got, by_noise, other = rbf.evidence_of_sums(rbf.RbfSums.of(rbf.RbfSums.flat(x, y, u, 0.7), 9), d2_uu, 0.7, 0.2)
+    assert got == pytest.approx(value) and by_noise == pytest.approx(by_row.sum()) and np.allclose(other, weights, atol=1e-6)
+    near = rbf.fit_rbf(x, y, u)
+    far = rbf.fit_rbf_by_sums(lambda ts: [rbf.RbfSums.of(rbf.RbfSums.flat(x, y, u, t), 9) for t in ts], u)
+    assert far.t == pytest.approx(near.t, rel=1e-3) and far.noise == pytest.approx(near.noise, rel=1e-3)
+    assert np.allclose(near.predict(x), far.predict(x), atol=1e-3)

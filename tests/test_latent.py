@@ -87,15 +87,19 @@ def test_fits_in_tasks_equal_fits_on_the_driver(blobs, monkeypatch):
 
     binary = blobs.withColumn("y", (F.col("y") > 0).cast("double"))
     by_id = lambda fit: fit.predictions.orderBy("row_id").toPandas()
-    near = fits.fit_logit(binary, "lae", s=12, k=5, sweeps=30, average=True)
-    many = fits.fit_multinomial(blobs, "se", s=12, k=4, a2s=[0.5, 2.0], sweeps=10)
+    near = fits.fit_logit(binary, "lae", s=12, k=5, sweeps=20, average=True)
+    many = fits.fit_multinomial(blobs, "se", s=12, k=4, a2s=[2.0], sweeps=4)
+    line = blobs.withColumn("y", F.sin(2 * F.col("x")[0]) + F.col("x")[1] ** 2 + 0.3 * F.sin(37.0 * F.col("row_id")))
+    rbf, _ = fits.fit_rbf_regression(line, 8)
     monkeypatch.setattr(fits, "MAX_TRAIN_VALUES", 0)
-    far = fits.fit_logit(binary, "lae", s=12, k=5, sweeps=30, average=True)
+    far = fits.fit_logit(binary, "lae", s=12, k=5, sweeps=20, average=True)
     assert far.params["t"] == pytest.approx(near.params["t"], rel=1e-6) and far.params["objective"] == pytest.approx(near.params["objective"], abs=1e-6)
     a, b = by_id(near), by_id(far)
     assert np.allclose(a["mean"], b["mean"], atol=1e-6) and np.allclose(a["var"], b["var"], atol=1e-6)
     assert (a["y_pred"] == b["y_pred"]).mean() > 0.95 and np.corrcoef(a["pi"], b["pi"])[0, 1] > 0.98
-    far = fits.fit_multinomial(blobs, "se", s=12, k=4, a2s=[0.5, 2.0], sweeps=10)
+    far = fits.fit_multinomial(blobs, "se", s=12, k=4, a2s=[2.0], sweeps=4)
+    other, rows = fits.fit_rbf_regression(line, 8)
+    assert other.objective == pytest.approx(rbf.objective, rel=1e-3) and np.allclose(other.predict(np.eye(2)), rbf.predict(np.eye(2)), atol=1e-2) and rows.count() == 90
     assert far.params["a2"] == many.params["a2"] and np.allclose(far.params["t"], many.params["t"], rtol=1e-6)
     a, b = by_id(many), by_id(far)
     assert np.allclose(np.stack(a["mean"]), np.stack(b["mean"]), atol=1e-6) and np.allclose(np.stack(a["var"]), np.stack(b["var"]), atol=1e-6)
