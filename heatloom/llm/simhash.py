@@ -240,11 +240,11 @@ def trie_edges(distinct: DataFrame, budget: int) -> DataFrame:
     return by_group(keys.select(*[F.col(c).cast("long") for c in group], "fp"), group, n * len(masks)).mapInArrow(run, "a long, b long")
 
 
-def star_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), by alternating large-star and small-star rounds.
 
-    Two rounds end in a table in the shared folder. A hub's edges are joined with its one
-    minimum, a join that adaptive execution splits where it is skewed.
+    Each round ends in a table in the shared folder: a plan of two would work out the first one many times over. A hub's edges
+    are joined with its one minimum, a join that adaptive execution splits where it is skewed.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -267,7 +267,7 @@ def star_components(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     if not seen[0]:
         return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     for _ in range(max_rounds):
-        edges = written(star(star(star(star(edges, True), False), True), False))
+        edges = written(star(star(edges, True), False))
         if (now := mark(edges)) == seen:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         seen = now
