@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from heatloom.functions.dense import TINY, top_eigen
 from heatloom.functions.gp import heat
 from heatloom.functions.arrow import lists, matrix
+from heatloom.operators.qr import QR_ANCHORS, dense, right_vectors, triangle
 from heatloom.operators.weights import column_sums
 
-#: Singular values below this share of the largest are noise: a Gram matrix squares the condition number.
-NEGLIGIBLE = 1e-7
+#: Singular values below this share of the largest are noise in a Gram matrix, which squares the condition number. Where a
+#: wanted one is below the second share, the weights are decomposed without squaring.
+NEGLIGIBLE, PRECISE = 1e-7, 1e-4
 #: Values of one side's vectors up to which that side goes to all tasks (16 MB), and rows of a block where both sides are dealt.
 SENT_VALUES, KERNEL_BLOCK = 2_000_000, 1024
 
@@ -60,9 +62,8 @@ class LocalWeights:
 
     def projection(self, s: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         sums = np.bincount(self.idx.ravel(), weights=self.w.ravel(), minlength=s)
-        dense = np.zeros((len(self.ids), s))
-        np.put_along_axis(dense, self.idx.astype(np.int64), self.w, 1)
-        return projection(sums, dense.T @ dense, len(self.ids), k)
+        rows = dense(self.idx.astype(np.int64), self.w, s)
+        return projection(sums, rows.T @ rows, len(self.ids), k, lambda scale: np.linalg.qr(rows * scale, mode="r"))
 
     def spectrum(self, s: int, k: int, root: bool) -> tuple[np.ndarray, np.ndarray]:
         """Values and the vectors of all rows."""
@@ -74,12 +75,18 @@ class LocalWeights:
         return sum(self.w[:, c : c + 1] * right[self.idx[:, c]] for c in range(self.w.shape[1]))
 
 
-def projection(sums: np.ndarray, squares: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Singular values of A = Z diag(sums)^-1/2 and what turns a row of Z into its scaled left vectors; ``squares`` is Z'Z."""
+def projection(sums: np.ndarray, squares: np.ndarray, n: int, k: int, exact: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values of A = Z diag(sums)^-1/2 and what turns a row of Z into its scaled left vectors.
+
+    ``squares`` is Z'Z. If a value that is wanted is too small for it, ``exact`` gives a triangle of Z with scaled columns.
+    """
     scale = 1 / np.sqrt(np.abs(sums) + TINY)
-    found, right = top_eigen(squares * scale[:, None] * scale, len(sums) if k < 0 else min(k, len(sums)))
+    wanted = len(sums) if k < 0 else min(k, len(sums))
+    found, right = top_eigen(squares * scale[:, None] * scale, wanted)
     sigma = np.sqrt(np.maximum(found, 0.0))
-    keep = sigma > NEGLIGIBLE * max(float(sigma[0]), TINY)
+    if sigma[-1] < PRECISE * sigma[0] and len(sums) <= QR_ANCHORS:
+        sigma, right = right_vectors(exact(scale), wanted)
+    keep = sigma > (0.0 if len(sums) <= QR_ANCHORS else NEGLIGIBLE * max(float(sigma[0]), TINY))
     return sigma[keep], scale[:, None] * right[:, keep] / sigma[keep] * np.sqrt(n)
 
 
@@ -104,8 +111,8 @@ def gram(z: DataFrame, s: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums)], names=["k", "g"])
 
     out = np.zeros(s * s)
-    for r in z.select("idx", "w").mapInArrow(run, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).toLocalIterator():
-        out[r["k"]] = r["g"]
+    got = z.select("idx", "w").mapInArrow(run, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).toArrow()
+    out[got.column("k").to_numpy()] = got.column("g").to_numpy()
     return out.reshape(s, s)
 
 
@@ -113,11 +120,12 @@ def spectrum_from_weights(z: DataFrame, s: int, k: int = -1, root: bool = False)
     """Left singular vectors of A = Z diag(colsum)^-1/2 times the root of the number of rows, with values sigma^2 (sigma if ``root``).
 
     A'A is summed over the points and decomposed on the driver; a second pass multiplies each row by the
-    right vectors. ``k`` below 0 or above the rank takes all there are.
+    right vectors. ``k`` below 0 or above the rank takes all there are. Values down to 1e-12 of the largest are right (1e-7
+    beyond 4000 anchors): where squares can't tell a wanted one, a tree of QR decompositions over tasks does.
     """
     n = z.count()
     local = LocalWeights.of(z) if n * s <= LOCAL_VALUES else None
-    sigma, project = local.projection(s, k) if local else projection(column_sums(z, s), gram(z, s), n, k)
+    sigma, project = local.projection(s, k) if local else projection(column_sums(z, s), gram(z, s), n, k, lambda scale: triangle(z, scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
