@@ -53,6 +53,11 @@ class Nystrom:
     def extend(self, x: np.ndarray) -> np.ndarray:
         return self.weights(x) @ self.vectors / (np.abs(self.values) + TINY)
 
+    def features(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Vectors of a batch of row_id and x (and more)."""
+        parts = (batch.column(1).slice(at, BATCH) for at in range(0, batch.num_rows, BATCH))
+        return np.vstack([self.extend(matrix(part, self.u.shape[1])) for part in parts])
+
     def vectors_of(self, points: DataFrame) -> DataFrame:
         """row_id and v of every point; stateless, so streams can be extended too."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions.dense import TINY, top_eigen
-from heatloom.functions.gp import heat
+from heatloom.functions.gp import Moments, heat
 from heatloom.functions.arrow import lists, matrix
 from heatloom.operators.qr import QR_ANCHORS, dense, right_vectors, triangle
 from heatloom.operators.weights import column_sums
@@ -35,6 +35,7 @@ class Spectrum:
     vectors: DataFrame
     local: tuple[np.ndarray, np.ndarray] | None = None
     held: tuple[DataFrame, ...] = ()  # persisted tables that the vectors are computed from
+    moments: Callable[[DataFrame], Moments] | None = None  # of training rows, where those of several spectra are summed at once
 
 
 @dataclass(frozen=True)

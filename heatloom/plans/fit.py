@@ -21,6 +21,7 @@ from heatloom.functions.arrow import lists, matrix, sum_arrays
 from heatloom.functions.rbf import RbfFit, RbfSums, fit_rbf, fit_rbf_by_sums
 from heatloom.operators.anchors import subsample
 from heatloom.operators.graph import graph_base, graph_eigen
+from heatloom.operators.grid import NystromGrid, SeGrid, stacked_moments, targets
 from heatloom.operators.latent import TrainingRows
 from heatloom.operators.neighbors import nearest_anchors
 from heatloom.operators.nystrom import Nystrom
@@ -32,6 +33,8 @@ from heatloom.sources.points import check_points
 #: Training rows by eigenpairs up to which classification takes them to the driver (160 MB), where jobs would cost more than
 #: the arithmetic; beyond, they stay in the tasks. A noise for each row and the kernel seen through anchors have no other form.
 MAX_TRAIN_VALUES = 20_000_000
+#: Values of Gram matrices or eigenvectors of several bandwidths that the driver holds at once (200 MB).
+STACKED_VALUES = 25_000_000
 #: Bandwidths that are tried by default, and how many at once.
 BANDWIDTHS, AT_ONCE = tuple(float(v) for v in np.exp(np.linspace(math.log(0.1), math.log(10), 10))), 4
 
@@ -131,9 +134,19 @@ def candidates(points: DataFrame, method: str, s: int | None, r: int, k: int, a2
         anchors = subsample(points, s, models.subsample, nstart, seed)
         near = nearest_anchors(points, anchors.u, min(r, len(anchors.u))).persist()
         mean = mean_distance(near)
-        build = lambda a2: spectrum_from_weights(normalize(se_weights(near, a2 * mean), anchors, models.gl), len(anchors.u), k, models.root)
         if near.count() * len(anchors.u) > LOCAL_VALUES:
-            return Candidates(grid, build, build, [near])
+            at_once = max(1, STACKED_VALUES // len(anchors.u) ** 2)
+            made: dict[int, SeGrid] = {}
+
+            def stacked(a2: float) -> Spectrum:
+                part, a = divmod(grid.index(a2), at_once)
+                if part not in made:
+                    made.clear()
+                    made[part] = SeGrid(near, anchors, [b * mean for b in grid[part * at_once : (part + 1) * at_once]], models.gl, k, models.root)
+                return made[part].spectrum(a)
+
+            return Candidates(grid, stacked, stacked, [near], 1)  # sums of all bandwidths come with the first
+        build = lambda a2: spectrum_from_weights(normalize(se_weights(near, a2 * mean), anchors, models.gl), len(anchors.u), k, models.root)
         few = LocalWeights.of(near, "d2")
 
         def local(a2: float) -> Spectrum:
@@ -146,10 +159,12 @@ def candidates(points: DataFrame, method: str, s: int | None, r: int, k: int, a2
         u = subsample(points, s, models.subsample, nstart, seed).u
         train = points.where("is_train").persist()
 
+        stack = NystromGrid(u, grid, k, train) if len(grid) * len(u) * (len(u) if k < 0 else min(k, len(u))) <= STACKED_VALUES else None
+
         def extended(rows: DataFrame) -> Callable[[float], Spectrum]:
             def build(a2: float) -> Spectrum:
-                n = Nystrom.build(u, a2, k)
-                return Spectrum(n.values, n.vectors_of(rows))
+                n = stack.model(a2) if stack else Nystrom.build(u, a2, k)
+                return Spectrum(n.values, n.vectors_of(rows), moments=(lambda points: stack.moments(points, a2)) if stack else None)
 
             return build
 
@@ -228,22 +243,10 @@ def moments(points: DataFrame, spectrum: Spectrum, known: Callable[[], tuple]) -
     if spectrum.local:
         ids, labels = known()
         return gp.Moments.of(training_vectors(points, spectrum, ids), labels["y"])
-    y = F.col("y") if dict(points.dtypes)["y"].startswith("array") else F.array(F.col("y").cast("double"))
-    rows = spectrum.vectors.join(points.where("is_train").select("row_id", y.alias("ys")), "row_id").select("v", "ys")
-    k, q = len(spectrum.values), rows.select(F.max(F.size("ys"))).first()[0]
-    if not q:
-        raise ValueError("there are no training rows")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v, t = matrix(batch.column(0), k), matrix(batch.column(1), q)
-                yield pa.RecordBatch.from_arrays([pa.array([np.r_[(v.T @ v).ravel(), (v.T @ t).ravel(), (t * t).sum(), len(v)].tolist()], pa.list_(pa.float64()))], names=["a"])
-
-    total = sum_arrays(rows.mapInArrow(run, "a array<double>"))
-    if np.isnan(total).any():
-        raise ValueError("training rows must have labels")
-    return gp.Moments(total[: k * k].reshape(k, k), total[k * k : k * k + k * q].reshape(k, q), float(total[-2]), int(total[-1]))
+    if spectrum.moments:
+        return spectrum.moments(points)
+    rows = spectrum.vectors.join(targets(points), "row_id").select("v", "ys")
+    return stacked_moments(rows, [lambda batch: matrix(batch.column(0), len(batch.column(0)[0]))], [len(spectrum.values)])[0]
 
 
 def project(vectors: DataFrame, schema: str, f: Callable[[np.ndarray, np.ndarray], list]) -> DataFrame:
