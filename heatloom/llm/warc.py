@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import file_system, shared_dir, tasks_for, written
+from heatloom.llm.common import file_system, shared_dir, slices, tasks_for, written
 
 #: Fixed values of the seekable format: the seek table's skippable frame, its footer, and its descriptor (checksums present).
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, DESCRIPTOR = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -149,8 +149,8 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 1000, id_co
 
     Each attempt of a task writes files of its own; the index names only those of attempts that
     ended well, so lost executors leave nothing that is read. A null payload is empty, a null url is left out, a
-    null id has an empty record id. Repeated rows have a record each; other columns may have any names. An
-    empty table gives an empty index and no archives.
+    null id has an empty record id. Repeated rows have a record each; other columns may have any names. A record of
+    2 GiB or more raises. An empty table gives an empty index and no archives.
     """
     raw = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), raw.alias("payload"), F.sha1(raw).alias("digest"))
@@ -162,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 1000, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, store, writer, n, name = TaskContext.get(), None, None, 0, ""
-        for batch in batches:
+        for batch in slices(batches, 64):
             out = []
             for row in batch.to_pylist():
                 if writer is None:
