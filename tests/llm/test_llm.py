@@ -613,6 +613,21 @@ def test_base_secrets_equal_brute_force(spark, docs, awkward):
     assert Counter((r["doc_id"], tuple((s["start"], s["kind"], s["end"]) for s in r["spans"] if s["kind"] < 3)) for r in got.collect()) == want
 
 
+def test_secrets_query_counts_each_kind(spark, tmp_path):
+    """Counts are of kinds, not of places among a text's spans; the digest is of the same spans."""
+    rng = random.Random(5)
+    parts = ["password=", "toKen: ", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", " ", "é😀", "\u017fecret=", "x" * 12]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.choice([1, 4, 30])))) for i in range(150)] + [(200, None), (201, ""), (None, "0123456789abcdef " * 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for d, t in rows:
+        spans = brute_spans(t or "")
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        want[(d, *(sum(k == kind for _, k, _ in spans) for kind in range(3)), hashlib.sha256(text.encode()).hexdigest())] += 1
+    got = QUERIES["op8_secrets"](spark, str(tmp_path)).drop("spans")
+    assert Counter(map(tuple, got.collect())) == want
+
+
 def test_battery_keeps_random_tokens(spark):
     rng = random.Random(6)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
