@@ -369,3 +369,20 @@ def test_kernel_by_blocks_equals_the_sent_side(spark, monkeypatch):
     far = table()
     assert len(near) == 23 * 17 and near.keys() == far.keys() and all(abs(near[k] - far[k]) < 1e-12 for k in near)
     assert S.heat_kernel(left, right.limit(0), values, 2.0).collect() == []
+    own = {(r["i"], r["j"]): r["h"] for r in S.heat_kernel(left, left, values, 2.0, 3).collect()}  # both sides of one table
+    one = {(r["i"], r["j"]): r["h"] for r in S.heat_kernel(left, left.where("row_id >= 10").select("v", "row_id"), values, 2.0, 3).collect()}
+    monkeypatch.setattr(S, "SENT_VALUES", 10**6)
+    near = {(r["i"], r["j"]): r["h"] for r in S.heat_kernel(left, left, values, 2.0, 3).collect()}
+    assert len(near) == 23 * 23 and near.keys() == own.keys() and all(abs(near[k] - own[k]) < 1e-12 for k in near)
+    assert len(one) == 23 * 13 and all(abs(near[k] - one[k]) < 1e-12 for k in one)
+
+
+def test_heat_kernel_query_of_blocks(spark, sf_dir, monkeypatch):
+    """Both sides are one table, whose columns had other names before."""
+    from heatloom.operators import spectrum as S
+    from heatloom.plans.queries import QUERIES
+
+    total = lambda: tuple(round(x, 3) for x in QUERIES["q_heat_kernel"](spark, sf_dir).agg(F.count("*"), F.sum("h"), F.sum(F.col("h") * F.col("i")), F.sum(F.col("h") * F.col("j"))).first())
+    near = total()
+    monkeypatch.setattr(S, "SENT_VALUES", 64 * 100)
+    assert total() == near
