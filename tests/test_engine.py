@@ -386,3 +386,14 @@ def test_heat_kernel_query_of_blocks(spark, sf_dir, monkeypatch):
     near = total()
     monkeypatch.setattr(S, "SENT_VALUES", 64 * 100)
     assert total() == near
+
+
+def test_block_means_take_no_training_rows_to_the_driver(spark, sf_dir, monkeypatch):
+    """A covariance of all training rows would be quadratic in them."""
+    from heatloom.functions import gp
+    from heatloom.plans.queries import QUERIES
+
+    sizes, solve = [], gp.cholesky
+    monkeypatch.setattr(gp, "cholesky", lambda c: sizes.append(len(c)) or solve(c))
+    assert QUERIES["q_gp_mean_blocks"](spark, sf_dir).count() == 500
+    assert sizes and max(sizes) <= 20
