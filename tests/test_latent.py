@@ -115,3 +115,40 @@ def test_labels_that_are_refused(blobs):
                 fit(odd, "lae", s=12, k=4)
     with pytest.raises(ValueError):
         fits.fit_logit(blobs.withColumn("is_train", F.lit(False)), "lae", s=12, k=4)
+
+
+def test_newton_searches_of_many_rows_end(monkeypatch):
+    """Rounding of all rows adds up to more than the tolerance; steps at that level are the last, on the driver and by sums."""
+    from heatloom.functions.dense import cholesky
+    from heatloom.operators import latent
+
+    n, k = 20_000, 20
+    rng = np.random.default_rng(1)
+    own = rng.integers(0, k, n)
+    v = np.zeros((n, k))
+    v[np.arange(n), own] = np.sqrt(n / np.bincount(own, minlength=k))[own]
+    y, solved = ((own % 2) ^ (np.arange(n) % 97 == 0)).astype(float), []
+    counted = lambda c: solved.append(1) or cholesky(c)
+    monkeypatch.setattr(gp, "cholesky", counted)
+    near = gp.laplace_mode(v, np.ones(k), 0.5, y, np.ones(n), tol=1e-10)
+    assert len(solved) < 20
+
+    class Rows(latent.TrainingRows):
+        passes, rows = 0, n
+
+        def __init__(self):
+            self.k = k
+
+        def sums(self, searches):
+            self.passes += 1
+            (s,) = searches
+            f, last = latent.replay(v, y, np.ones(n), s)
+            pi = gp.sigmoid(f)
+            weight, gap = pi * (1 - pi), y - pi
+            b, share = weight * f + gap, weight / (1 + s.ridge * weight)
+            return [latent.Sums.of(np.r_[(v.T @ (v * share[:, None])).ravel(), v.T @ b, v.T @ (share * b), v.T @ gap, last if s.steps else (0.0,) * 4], k)]
+
+    far = Rows()
+    evidence, search, _ = far.modes([latent.Search(np.ones(k), 0.5)], tol=1e-10)[0]
+    assert far.passes < 20
+    assert abs(evidence - near.evidence) < 1e-6 and np.abs(latent.replay(v, y, np.ones(n), search)[0] - near.f).max() < 1e-7
