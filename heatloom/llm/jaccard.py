@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heatloom.llm.common import sent, slices, written
+from heatloom.llm.common import flagged, sent, slices, written
 from heatloom.llm.simhash import CELL, SEED, Part, by_group, drop_repeats, in_cells, numbered, star_components, trie_components, whole_groups
 
 #: Words of 64 bits of a fingerprint, and how many of them are compared as a whole.
@@ -321,7 +321,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     loose = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     loose = written(nodes.select("node", "low", "size", *_FPS[:CHECKED]).join(loose, "node"))
     wanted = loose.select("node", "root", "low", "size", *_FPS[:CHECKED])
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(wanted, F.col("__id").eqNullSafe(F.col("low"))).drop("__id", "low")
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    texts = flagged(texts, F.col("__id"), wanted.select("low"), "__flag").where("__flag").drop("__flag")
+    texts = texts.join(wanted, F.col("__id").eqNullSafe(F.col("low"))).drop("__id", "low")
     sets = written(shingle_sets(texts, k))
     joined = with_labels(nodes.select("node", "low"), links_of(loose, sets, least))
     lowest = joined.groupBy("label").agg(F.min("low").alias("component_id"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import sent, slices, tasks_for, written
+from heatloom.llm.common import flagged, sent, slices, tasks_for, unused, written
 
 SEED = 42
 #: Rows, and pairs of trie nodes, that are held at once.
@@ -304,24 +304,23 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each group of near duplicates, that of the smallest id; all columns stay.
 
     Rows of equal id are one document, of which one row stays. Rows of a null id can't be named in a
-    decision and all stay. Texts move at most once, in the join with the ids to drop.
+    decision and all stay. Texts move at most once, in the join with the ids to drop, and few of those that stay.
     """
     return drop_repeats(docs, written(near_duplicates(docs, id_col, text_col, shingle, budget)), id_col)
 
 
 def drop_repeats(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without those whose id isn't their ``groups``' component_id (doc_id, component_id), and one row of each id."""
-    drop, twice = (_unused(docs, name) for name in ("__drop", "__twice"))
+    """``docs`` without those whose id isn't their ``groups``' component_id (doc_id, component_id), and one row of each id.
+
+    Only rows that a bitmap of the ids flags are joined with the ids to drop; the others stay where they are.
+    """
+    drop, twice, flag = (unused(docs, name) for name in ("__drop", "__twice", "__flag"))
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(drop)).distinct()
-    kept = docs.join(gone, docs[id_col] == gone[drop], "left_anti")
+    told = flagged(docs, docs[id_col], gone, flag)
+    doubtful = told.where(F.col(flag)).drop(flag)
+    kept = told.where(~F.col(flag)).drop(flag).unionByName(doubtful.join(gone, doubtful[id_col] == gone[drop], "left_anti"))
     repeated = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(twice)).count().where("count > 1").select(twice)
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, kept[id_col] == repeated[twice], "left_anti")
     return once.unionByName(kept.join(repeated, kept[id_col] == repeated[twice], "left_semi").dropDuplicates([id_col]))
-
-
-def _unused(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name

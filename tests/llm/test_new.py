@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heatloom.llm import decontaminate, divergence, jaccard, suffix, whitening
+from heatloom.llm import common, decontaminate, divergence, jaccard, suffix, whitening
 from heatloom.llm.queries import QUERIES
 
 LONG = "lorem ipsum dolor " * 4000
@@ -349,3 +349,40 @@ def test_near_duplicates_with_names_used_inside(spark):
     kept = jaccard.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None"]
     assert all(r["__drop"] == "x" and r["node"] == 4 for r in kept.collect())
+
+
+def test_flags_miss_no_id(spark, monkeypatch):
+    """Nulls among them; however many bitmaps there are, and where there would be too many of them all rows are flagged."""
+    rows = spark.range(40_000).select((F.col("id") * 7919 - 1000).alias("__map")).unionByName(spark.sql("select cast(null as long) as __map"))
+    ids = rows.where("__map % 10 = 0 or __map is null").select(F.col("__map").alias("i"))
+    for few in (64, 0):
+        monkeypatch.setattr(common, "PARTIAL_BITMAPS", few)
+        got = Counter((r["__map"] is None or r["__map"] % 10 == 0, r["flag"]) for r in common.flagged(rows, F.col("__map"), ids, "flag").collect())
+        assert got[True, True] == 4001 and not got[True, False] and got[False, True] < 0.08 * 36_000
+    monkeypatch.setattr(common, "SENT_BITMAPS", 0)
+    assert common.flagged(rows, F.col("__map"), ids, "flag").where("flag").count() == 40_001
+
+
+def test_near_duplicates_shuffle_few_texts(spark):
+    """Without broadcast joins, as with many ids, only texts that may be near copies are shuffled; before, all of them twice."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(24):x}" for _ in range(1500)) for _ in range(900)]
+    rows = list(enumerate(texts + [t + " end" for t in texts[:60]]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    assert df.count() == 960
+    sc, most = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        before = shuffled()
+        kept = jaccard.drop_near_duplicates(df).collect()
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert sorted(r["doc_id"] for r in kept) == list(range(900))
+    print("moved", moved, "of", sum(len(t) for _, t in rows))
+    assert moved < 0.6 * sum(len(t) for _, t in rows)
